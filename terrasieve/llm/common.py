@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: A-Z to a-z, every other byte as it is.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
+_own: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,34 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # unset in tests and in local mode only
-        import tempfile
+        if not _own:
+            import tempfile
 
-        base = "file://" + tempfile.mkdtemp(prefix="terrasieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+            _own.append("file://" + tempfile.mkdtemp(prefix="terrasieve-"))
+        base = _own[0]
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
+    path = work_path(df.sparkSession, name)
     df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def pick(df: DataFrame, *columns: str) -> DataFrame:
+    """Only the named columns, found by exact name first, whatever else the table has."""
+    names = df.columns
+    lower = [x.lower() for x in names]
+    at = [names.index(c) if c in names else lower.index(c.lower()) for c in columns]
+    plain = df.toDF(*[f"c{i}" for i in range(len(names))])
+    return plain.select(*[F.col(f"c{i}").alias(c) for i, c in zip(at, columns)])
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text, one Python object at a time."""
-    for x in batch.column(column).cast(pa.binary() if batch.schema.field(column).type == pa.string() else pa.large_binary()):
-        yield x.as_py()
+    x = batch.column(column)
+    for y in x.cast(pa.large_binary() if pa.types.is_large_string(x.type) else pa.binary()):
+        yield y.as_py()
 
 
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of a column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
-
-
-def pick(df: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, by exact position where names clash by case."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
