@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, jump, mpeg, wavelet
 
 QUERIES = {
+    "op2_mpeg_media": mpeg.op2_mpeg_media,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_wavelet_ids": wavelet.op6_wavelet_ids,
+    "op8_jump_shards": jump.op8_jump_shards,
 }
 
 SQL: dict[str, str] = {}
