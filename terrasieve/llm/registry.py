@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, jump, mpeg, wavelet
+from . import bpe, jump, mpeg, simhash, wavelet
 
 QUERIES = {
     "op2_mpeg_media": mpeg.op2_mpeg_media,
+    "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_wavelet_ids": wavelet.op6_wavelet_ids,
     "op8_jump_shards": jump.op8_jump_shards,
