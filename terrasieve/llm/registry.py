@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, jump, mpeg, simhash, wavelet
+from . import bpe, jump, mpeg, simhash, suffixes, wavelet
 
 QUERIES = {
+    "op1_suffix_decontamination": suffixes.op1_suffix_decontamination,
     "op2_mpeg_media": mpeg.op2_mpeg_media,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
