@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, jump, mpeg, simhash, suffixes, wavelet
+from . import bpe, jump, mixture, mpeg, simhash, suffixes, wavelet
 
 QUERIES = {
     "op1_suffix_decontamination": suffixes.op1_suffix_decontamination,
     "op2_mpeg_media": mpeg.op2_mpeg_media,
+    "op3_language_mixture": mixture.op3_language_mixture,
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_wavelet_ids": wavelet.op6_wavelet_ids,
