@@ -32,10 +32,20 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = work_path(df.sparkSession, name)
-    df.write.options(**{"compression": "zstd"} | options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write to the shared folder and read back: cuts lineage, survives lost executors.
+
+    The shuffle files of the write are let go at its end, where Spark can do that.
+    """
+    spark, done = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = work_path(spark, name), spark.conf.get(done, None)
+    try:
+        if before is not None:
+            spark.conf.set(done, "true")
+        df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(done, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, jump, mixture, mpeg, simhash, suffixes, wavelet
+from . import align, bpe, jump, mixture, mpeg, phrases, simhash, suffixes, wavelet
 
 QUERIES = {
     "op1_suffix_decontamination": suffixes.op1_suffix_decontamination,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_wavelet_ids": wavelet.op6_wavelet_ids,
     "op8_jump_shards": jump.op8_jump_shards,
+    "op9_phrase_parsing": phrases.op9_phrase_parsing,
     "op10_line_alignment": align.op10_line_alignment,
 }
 
