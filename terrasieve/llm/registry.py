@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, jump, mixture, mpeg, phrases, simhash, suffixes, wavelet
+from . import align, bpe, gru, jump, mixture, mpeg, phrases, simhash, suffixes, wavelet
 
 QUERIES = {
     "op1_suffix_decontamination": suffixes.op1_suffix_decontamination,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op6_wavelet_ids": wavelet.op6_wavelet_ids,
+    "op7_gru_scores": gru.op7_gru_scores,
     "op8_jump_shards": jump.op8_jump_shards,
     "op9_phrase_parsing": phrases.op9_phrase_parsing,
     "op10_line_alignment": align.op10_line_alignment,
