@@ -2,8 +2,9 @@
 
 Byte-level BPE patterns give a space to the word after it, so a text may be cut
 before any space that has a non-space on at least one side: no match of the
-pattern spans such a cut. Chunks repeat, and each worker encodes one once. Texts
-where white space stands on both sides of a space are encoded whole.
+pattern spans such a cut. Chunks repeat, and each worker encodes one once while it
+stays in the cache. Texts where white space stands on both sides of a space are
+encoded whole.
 """
 
 from __future__ import annotations
@@ -12,30 +13,38 @@ from collections.abc import Callable, Iterable, Iterator
 
 
 class ChunkCache:
-    """``encode_many`` maps strings to packed ids; the cache is emptied when it has ``limit`` chunks."""
+    """``encode_many`` maps strings to packed ids. Two generations of ``limit`` chunks each are kept."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 200_000):
         self.encode_many, self.limit = encode_many, limit
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads = list({c[0] for c in cut if c[0]})
-        head_ids = dict(zip(heads, self.encode_many(heads))) | {"": b""}
-        known = self.known
-        missing = {x for c in cut for x in c[1:] if x not in known}
-        if len(known) + len(missing) > self.limit:
-            known.clear()
-            missing = {x for c in cut for x in c[1:]}
-        plain = [x for x in missing if x and not x[0].isspace()]
-        known.update(dict.fromkeys(missing))  # None: white space after the space
-        known.update(zip(plain, self.encode_many([" " + x for x in plain])))
-        out = []
-        for text, (head, *rest) in zip(texts, cut):
-            try:
-                out.append(head_ids[head] + b"".join([known[x] for x in rest]))
-            except TypeError:
-                out.append(self.encode_many([text])[0])
+        get, heads, rests, missing = self.known.get, [], [], []
+        for t in texts:
+            head, *rest = t.split(" ")
+            got = list(map(get, rest))
+            at = -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                missing.append((got, at, rest[at]))
+            heads.append(head)
+            rests.append(got)
+        found = {x: self.old.get(x) for _, _, x in missing}
+        new = [x for x, ids in found.items() if ids is None]
+        plain = [x for x in new if x and not x[0].isspace()]
+        first = list({x for x in heads if x})
+        ids = self.encode_many([*first, *[" " + x for x in plain]])
+        found.update(dict.fromkeys(new, False))  # False: white space after the space
+        found.update(zip(plain, ids[len(first) :]))
+        for got, at, x in missing:
+            got[at] = found[x]
+        self.known.update(found)
+        of_head = dict(zip(first, ids)) | {"": b""}
+        out = [of_head[h] + b"".join(got) if False not in got else self.encode_many([t])[0] for t, h, got in zip(texts, heads, rests)]
+        if len(self.known) > self.limit:
+            self.old, self.known = self.known, {}
         return out
 
 

@@ -1,10 +1,11 @@
 """Token ids in one compressed file a shard: a wavelet matrix with rank and select.
 
 File of a shard (before zstd), little endian: ``WMX1``, bits (u8), n (u64),
-n_docs (u64); n_docs doc ids (i64), a packed bit for each that says if the id is
-null, n_docs + 1 starts (u64); then for each bit from the highest down: the count
-of zeros (u64), the plane (packed bits, padded to 64 bytes) and its directory, the
-ones before each block of 512 bits (u64).
+n_docs (u64), n_symbols (u64); n_docs doc ids (i64), a packed bit for each that says
+if the id is null, n_docs + 1 starts (u64), the symbols that occur in ascending
+order (u32), whose places are what the planes hold; then for each bit from the
+highest down: the count of zeros (u64), the plane (packed bits, padded to 64 bytes)
+and its directory, the ones before each block of 512 bits (u64).
 
 Documents go to shards in ascending doc_id (nulls first, equal ids by the text's
 hash). Shards travel as rows of a Parquet table in the shared folder, since
@@ -20,6 +21,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +56,8 @@ class WaveletMatrix:
             counts = np.bitwise_count(plane.view(np.uint64)).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint64)
             planes.append(plane)
             ranks.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)]))
-            low = rest[~one]
-            zeros.append(len(low))
-            rest = np.concatenate([low, rest[one]])
+            zeros.append(len(ids) - int(ranks[-1][-1]))
+            rest = rest[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])]
         return cls(len(ids), bits, zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -131,28 +132,60 @@ class WaveletMatrix:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
-            above[~one] = out[: self.zeros[level]]
-            above[one] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = out[: self.zeros[level]]
+            above[np.flatnonzero(one)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
             out = above
         return out
 
 
-def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None], bits: int) -> bytes:
-    m = WaveletMatrix.build(ids, bits)
+@dataclass
+class Shard:
+    """A shard's documents and ids, as read from its file."""
+
+    matrix: WaveletMatrix
+    symbols: np.ndarray
+    starts: np.ndarray
+    doc_ids: list[int | None]
+
+    def _place(self, token: int) -> int | None:
+        i = int(np.searchsorted(self.symbols, token))
+        return i if i < len(self.symbols) and self.symbols[i] == token else None
+
+    def access(self, i: int) -> int:
+        return int(self.symbols[self.matrix.access(i)])
+
+    def count(self, token: int) -> int:
+        place = self._place(token)
+        return 0 if place is None else self.matrix.count(place)
+
+    def find(self, token: int) -> list[int]:
+        """All positions of a token."""
+        place = self._place(token)
+        return [] if place is None else self.matrix.find(place)
+
+    def decode(self) -> np.ndarray:
+        return self.symbols[self.matrix.decode()] if self.matrix.n else self.symbols[:0]
+
+
+def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None]) -> bytes:
+    seen = np.bincount(ids) > 0 if len(ids) else np.zeros(0, bool)
+    symbols = np.flatnonzero(seen).astype("<u4")
+    bits = max(1, (len(symbols) - 1).bit_length())
+    place = np.cumsum(seen) - 1
+    m = WaveletMatrix.build(place.astype(np.uint16 if bits <= 16 else np.uint32)[ids], bits)
     null = np.packbits([x is None for x in doc_ids], bitorder="little") if doc_ids else np.zeros(0, np.uint8)
-    parts = [b"WMX1", struct.pack("<BQQ", bits, len(ids), len(doc_ids)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), starts.astype("<u8").tobytes()]
+    parts = [b"WMX1", struct.pack("<BQQQ", bits, len(ids), len(doc_ids), len(symbols)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), starts.astype("<u8").tobytes(), symbols.tobytes()]
     for z, plane, ranks in zip(m.zeros, m.planes, m.ranks):
         parts += [struct.pack("<Q", z), plane.tobytes(), ranks.tobytes()]
     return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
-def read_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]]:
-    """The matrix, the starts of the documents and the end, and the doc ids."""
+def read_shard(data: bytes) -> Shard:
     raw = zstandard.ZstdDecompressor().decompress(data)
     if raw[:4] != b"WMX1":
         raise ValueError("not a wavelet shard")
-    bits, n, n_docs = struct.unpack_from("<BQQ", raw, 4)
-    at = 4 + struct.calcsize("<BQQ")
+    bits, n, n_docs, n_symbols = struct.unpack_from("<BQQQ", raw, 4)
+    at = 4 + struct.calcsize("<BQQQ")
 
     def take(dtype: str, count: int) -> np.ndarray:
         nonlocal at
@@ -160,7 +193,7 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]
         at += out.nbytes
         return out
 
-    ids, nulls, starts = take("<i8", n_docs), take("u1", -(-n_docs // 8)), take("<u8", n_docs + 1)
+    ids, nulls, starts, symbols = take("<i8", n_docs), take("u1", -(-n_docs // 8)), take("<u8", n_docs + 1), take("<u4", n_symbols)
     null = np.unpackbits(nulls, count=n_docs, bitorder="little")
     zeros, planes, ranks = [], [], []
     blocks = -(-max(n, 1) // BLOCK)
@@ -168,7 +201,28 @@ def read_shard(data: bytes) -> tuple[WaveletMatrix, np.ndarray, list[int | None]
         zeros.append(int(take("<u8", 1)[0]))
         planes.append(take("u1", blocks * BLOCK // 8))
         ranks.append(take("<u8", blocks + 1))
-    return WaveletMatrix(n, bits, zeros, planes, ranks), starts.astype(np.int64), [None if k else int(x) for x, k in zip(ids, null)]
+    return Shard(WaveletMatrix(n, bits, zeros, planes, ranks), symbols, starts.astype(np.int64), [None if k else int(x) for x, k in zip(ids, null)])
+
+
+class Encoder:
+    """The tokenizers library behind a chunk cache, on one core: Spark keeps the others busy."""
+
+    def __init__(self, tokenizer: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.model = Tokenizer.from_str(tokenizer)
+        self.model.encode_special_tokens = True
+        self.encode = ChunkCache(self.encode_many)
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: The encoder of this Python worker; its cache serves one task after the other.
+_encoders: dict[int, Encoder] = {}
 
 
 def write_shards(docs: DataFrame, tokenizer: str, end: int = 0, *, shard_ids: int = SHARD_IDS) -> DataFrame:
@@ -180,17 +234,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 0, *, shard_ids: in
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from tokenizers import Tokenizer
 
-        model = Tokenizer.from_str(shared.value)
-        model.encode_special_tokens = True
-        bits = max(1, (model.get_vocab_size() - 1).bit_length())
+        if hash(shared.value) not in _encoders:
+            _encoders.clear()
+            _encoders[hash(shared.value)] = Encoder(shared.value)
+        encode, last = _encoders[hash(shared.value)].encode, struct.pack("<I", end)
         part, shard = TaskContext.get().partitionId(), 0
-
-        def encode_many(texts: list[str]) -> list[bytes]:
-            return [np.array(x.ids, "<u4").tobytes() for x in model.encode_batch_fast(texts, add_special_tokens=False)]
-
-        encode, last = ChunkCache(encode_many), struct.pack("<I", end)
         doc_ids: list[int | None] = []
         packed: list[bytes] = []
         size = 0
@@ -198,7 +247,7 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 0, *, shard_ids: in
         def flush() -> pa.RecordBatch:
             nonlocal shard, size
             starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])])
-            data = write_shard(np.frombuffer(b"".join(packed), "<u4"), starts, doc_ids, bits)
+            data = write_shard(np.frombuffer(b"".join(packed), "<u4"), starts, doc_ids)
             out = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(doc_ids)], pa.int64()), pa.array([int(starts[-1])], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "n_docs", "n_ids", "file"])
             doc_ids.clear()
             packed.clear()
@@ -231,8 +280,8 @@ def read_documents(shards: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data, at in zip(batch.column("file"), batch.column("first").to_pylist()):
-                m, starts, doc_ids = read_shard(data.as_py())
-                ids = m.decode().astype("<u4")
+                x = read_shard(data.as_py())
+                ids, starts, doc_ids = x.decode(), x.starts, x.doc_ids
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts[:-1] + at, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
