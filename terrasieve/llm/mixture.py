@@ -98,28 +98,29 @@ class Mixture:
                 counts[at[lang], chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(c, np.int64)
         return cls(known, counts)
 
-    def infer(self, text: bytes, steps: int = 12) -> tuple[str, float, dict[str, float]]:
-        """Language, score and the proportions of the chosen set."""
+    def infer(self, text: bytes, steps: int = 12) -> tuple[str, float, dict[str, float], float]:
+        """Language, score, the proportions of the chosen set, and its log-likelihood for an n-gram over that of uniform buckets."""
         if not self.langs or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
-            return UNDETERMINED, 0.0, {}
+            return UNDETERMINED, 0.0, {}, 0.0
         seen = np.bincount(grams(text), minlength=1 << BITS)
         where = np.flatnonzero(seen)
         weight = seen[where].astype(np.float64)
         p, n = self.p[where], weight.sum()
         theta = self._climb(p, weight, np.full(len(self.langs), 1 / len(self.langs)), steps)
         order = np.argsort(-theta, kind="stable")
-        best, chosen = -np.inf, None
+        best, chosen, gain = -np.inf, None, 0.0
         for k in range(1, len(order) + 1):
             own = np.sort(order[:k])
             q = np.ascontiguousarray(p[:, own])
             t = np.ones(1) if k == 1 else self._climb(q, weight, theta[own] / theta[own].sum(), steps) if k < len(order) else theta
-            fit = float(weight @ np.log(q @ t)) - (k - 1) * np.log(n)
+            log = float(weight @ np.log(q @ t))
+            fit = log - (k - 1) * np.log(n)
             if fit <= best:
                 break
-            best, chosen = fit, (own, t)
+            best, chosen, gain = fit, (own, t), log / n + BITS * np.log(2)
         own, t = chosen
         i = int(np.argmax(t))
-        return self.langs[own[i]], float(min(1.0, t[i])), {self.langs[j]: float(x) for j, x in zip(own, t)}
+        return self.langs[own[i]], float(min(1.0, t[i])), {self.langs[j]: float(x) for j, x in zip(own, t)}, gain
 
     @staticmethod
     def _climb(p: np.ndarray, weight: np.ndarray, theta: np.ndarray, steps: int) -> np.ndarray:
@@ -136,21 +137,21 @@ class Mixture:
 
 
 def identify(docs: DataFrame, model: Mixture, *, keep: tuple[str, ...] = ("doc_id",), proportions: bool = False) -> DataFrame:
-    """``keep`` columns with lang_pred and score, and with ``proportions`` a map of them."""
+    """``keep`` columns with lang_pred and score, and with ``proportions`` a map of them and the gain over uniform n-grams."""
     from pyspark.sql import types as T
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if proportions:
-        schema = schema.add("proportions", T.MapType(T.StringType(), T.DoubleType()))
+        schema = schema.add("proportions", T.MapType(T.StringType(), T.DoubleType())).add("gain", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.infer(x) if x is not None else (UNDETERMINED, 0.0, {}) for x in texts_of(batch)]
+            found = [m.infer(x) if x is not None else (UNDETERMINED, 0.0, {}, 0.0) for x in texts_of(batch)]
             columns = [*[batch.column(c) for c in keep], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if proportions:
-                columns.append(pa.array([list(x[2].items()) for x in found], pa.map_(pa.string(), pa.float64())))
+                columns += [pa.array([list(x[2].items()) for x in found], pa.map_(pa.string(), pa.float64())), pa.array([x[3] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -161,6 +162,12 @@ def training_rows(docs: DataFrame) -> DataFrame:
     return docs.where(crc_mod("doc_id", 4) != 2).where("lang is not null").select("text", "lang")
 
 
+def keep_language(docs: DataFrame, model: Mixture) -> DataFrame:
+    """docs less those in no learned language: undetermined, or no better explained by any mixture than by uniform n-grams."""
+    found = identify(docs, model, keep=tuple(docs.columns), proportions=True)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > 0)).select(*docs.columns)
+
+
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
     found = identify(docs, Mixture.fit(training_rows(docs)))

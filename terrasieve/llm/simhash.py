@@ -23,6 +23,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, pick, stored, table, texts_of
@@ -50,16 +51,16 @@ def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, text) to doc_id and fp, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, k: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """``keep`` columns and fp, the fingerprint of ``text`` as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = np.array([fingerprint(x, k) for x in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fp)], [*keep, "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, fp long")
 
 
 def block_masks(b: int) -> list[int]:
@@ -161,20 +162,29 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
 
 
 def group(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """(doc_id, fp) to doc_id, fp and component_id, the smallest doc_id reachable."""
+    """fps (doc_id, fp and others) with root, the same for all fingerprints of a component, and component_id, the smallest doc_id reachable."""
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     roots = components(near_links(distinct.select("fp"), distance))
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = stored(rooted.join(names, "root").select("fp", "component_id"), "labels")
-    return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(stored(rooted.join(names, "root").select("fp", "root", "component_id"), "labels"), "fp")
 
 
 def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFrame:
-    """doc_id, fp and component_id of (doc_id, text)."""
+    """doc_id, fp, root and component_id of (doc_id, text)."""
     return group(stored(fingerprints(docs, k), "fingerprints"), distance)
 
 
+def keep_first(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFrame:
+    """One row of docs for each component: that of the least doc_id (a null id last, then the least text hash)."""
+    keyed = docs.withColumn("t_", F.xxhash64("text"))
+    fps = group(stored(fingerprints(keyed, k, ("doc_id", "t_")), "fingerprints"), distance)
+    first = fps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t_")).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.t_").alias("w_t"))
+    kept = keyed.join(first, keyed["t_"].eqNullSafe(first["w_t"]) & keyed["doc_id"].eqNullSafe(first["w_id"])).drop("w_id", "w_t")
+    rows = kept.withColumn("n_", F.row_number().over(W.partitionBy("doc_id", "t_").orderBy("doc_id")))  # repeated rows
+    return rows.where("n_ = 1").select(*docs.columns)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(pick(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
