@@ -126,7 +126,8 @@ def repeated(pieces: DataFrame, docs: DataFrame, length: int, level: int, *own:
     last = level + 1 == len(GRAINS)
     key = ["core", "ctx"] if last else ["core"]
     groups = pieces.groupBy(*key).agg(F.sum("n").alias("total"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("total > 1")
-    groups = groups.select(*key, (F.col("a") != F.col("b")).alias("mixed"))
+    # written first, so that the join has an exchange on both sides and Spark can split a hot key
+    groups = stored(groups.select(*key, (F.col("a") != F.col("b")).alias("mixed")), f"groups-{level}")
     found = stored(pieces.join(groups, key), f"phrases-{level}")
     whole = found.where("not mixed").select(*own, F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi"))).alias("ranges"))
     if last:
@@ -137,7 +138,7 @@ def repeated(pieces: DataFrame, docs: DataFrame, length: int, level: int, *own:
     below = repeated(parts, docs, length, level + 1, "up_core", "up_ctx", "off")
     moved = below.select("up_core", "up_ctx", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("off")).alias("lo"), (r["hi"] + F.col("off")).alias("hi"))).alias("ranges"))
     of_entry = moved.groupBy(F.col("up_core").alias("core"), F.col("up_ctx").alias("ctx")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = mixed.alias("m").join(of_entry.alias("e"), ["core", "ctx"])
+    joined = mixed.alias("m").join(stored(of_entry, f"entries-{level}").alias("e"), ["core", "ctx"])
     return whole.union(joined.select(*[f"m.{c}" for c in own], "e.ranges"))
 
 
