@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from . import evaluation, relational, rows, season
+
 FLAGSHIP = "season_features"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+for part in (rows, relational, season, evaluation):
+    QUERIES |= part.QUERIES
+    SQL |= part.SQL
