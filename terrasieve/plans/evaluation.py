@@ -125,11 +125,11 @@ def map_to_pixel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _plots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A rectangle for each supplier: wide by key, high by key."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("plot"), (F.col("s_suppkey") % 50 * 40.0).alias("x"), (F.col("s_suppkey") * 7.0).alias("y"), (F.col("s_suppkey") % 9 * 10 + 12.0).alias("w"), (F.col("s_suppkey") % 6 * 10 + 12.0).alias("h"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("plot"), (F.col("s_suppkey") % 50 * 40.0).alias("x"), (F.col("s_suppkey") * 7.0 + 0.3).alias("y"), (F.col("s_suppkey") % 9 * 10 + 12.0).alias("w"), (F.col("s_suppkey") % 6 * 10 + 12.0).alias("h"))
     return s.withColumn("wkt", F.format_string("POLYGON ((%s %s, %s %s, %s %s, %s %s, %s %s))", F.col("x"), F.col("y"), F.expr("x + w"), F.col("y"), F.expr("x + w"), F.expr("y + h"), F.col("x"), F.expr("y + h"), F.col("x"), F.col("y")))
 
 
-_RECT = "p AS (SELECT s_suppkey AS plot, s_suppkey % 50 * 40.0 AS x, s_suppkey * 7.0 AS y, s_suppkey % 9 * 10 + 12.0 AS w, s_suppkey % 6 * 10 + 12.0 AS h FROM supplier)"
+_RECT = "p AS (SELECT s_suppkey AS plot, s_suppkey % 50 * 40.0 AS x, s_suppkey * 7.0 + 0.3 AS y, s_suppkey % 9 * 10 + 12.0 AS w, s_suppkey % 6 * 10 + 12.0 AS h FROM supplier)"
 
 
 @query(f"WITH {_RECT} SELECT plot, round(w * h, 4) AS area, round(x + w / 2, 4) AS cx, round(y + h / 2, 4) AS cy FROM p")
