@@ -94,6 +94,7 @@ def blocks_to_delete(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     arrays = stored(arrays, "line-hashes")
     each = arrays.select("doc_id", "h", F.explode(F.arrays_zip("lines", "words")).alias("x")).where("x.words > 0").select("doc_id", "h", F.col("x.lines").alias("line")).distinct()
     shared = each.groupBy("line").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    shared = stored(shared, "shared-lines")  # so that the join has an exchange on both sides and Spark can split a hot line
     pairs = each.join(shared, "line").where(~(F.struct("doc_id", "h").eqNullSafe(F.col("first")))).select("doc_id", "h", F.col("first.doc_id").alias("a_id"), F.col("first.h").alias("a_h")).distinct()
     holder = arrays.select(F.col("doc_id").alias("a_id"), F.col("h").alias("a_h"), F.col("lines").alias("a_lines")).dropDuplicates(["a_id", "a_h"])
     later = arrays.dropDuplicates(["doc_id", "h"])
