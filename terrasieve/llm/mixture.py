@@ -30,11 +30,17 @@ CHUNK = 1 << 12
 #: Languages a model can hold; bounds what is broadcast to 64 MB.
 MOST_LANGUAGES = 256
 UNDETERMINED = "und"
+#: How surely a text must be in no learned language to be rejected, in nats.
+EVIDENCE = 30.0
+
+
+#: ASCII letters to lower case, bytes of other letters as they are, all else to spaces.
+LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
 
 
 def grams(text: bytes, n: int = GRAM, bits: int = BITS) -> np.ndarray:
-    """Hash of each byte n-gram of a lower-cased text, with a space before and two after."""
-    b = np.frombuffer(b" " + text.translate(LOWER) + b"  ", np.uint8).astype(np.uint64)
+    """Hash of each byte n-gram of the words, one space between them, one before and two after: numbers and signs are no language."""
+    b = np.frombuffer(b" " + b" ".join(text.translate(LETTERS).split()) + b"  ", np.uint8).astype(np.uint64)
     if len(b) < n:
         return np.zeros(0, np.int64)
     x = np.zeros(len(b) - n + 1, np.uint64)
@@ -99,7 +105,7 @@ class Mixture:
         return cls(known, counts)
 
     def infer(self, text: bytes, steps: int = 12) -> tuple[str, float, dict[str, float], float]:
-        """Language, score, the proportions of the chosen set, and its log-likelihood for an n-gram over that of uniform buckets."""
+        """Language, score, the proportions of the chosen set, and its log-likelihood less that of uniform n-grams."""
         if not self.langs or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return UNDETERMINED, 0.0, {}, 0.0
         seen = np.bincount(grams(text), minlength=1 << BITS)
@@ -117,7 +123,7 @@ class Mixture:
             fit = log - (k - 1) * np.log(n)
             if fit <= best:
                 break
-            best, chosen, gain = fit, (own, t), log / n + BITS * np.log(2)
+            best, chosen, gain = fit, (own, t), log + n * BITS * np.log(2)
         own, t = chosen
         i = int(np.argmax(t))
         return self.langs[own[i]], float(min(1.0, t[i])), {self.langs[j]: float(x) for j, x in zip(own, t)}, gain
@@ -163,9 +169,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_language(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs less those in no learned language: undetermined, or no better explained by any mixture than by uniform n-grams."""
+    """docs less those in no learned language: undetermined, or with uniform n-grams likelier than any mixture by e to the EVIDENCE."""
     found = identify(docs, model, keep=tuple(docs.columns), proportions=True)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > 0)).select(*docs.columns)
+    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > -EVIDENCE)).select(*docs.columns)
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
