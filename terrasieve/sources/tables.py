@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 from ..operators.joins import not_done
 
 
+#: What Spark decodes without a switch.
+PLAIN_CHARSETS = ("us-ascii", "iso-8859-1", "utf-8", "utf-16be", "utf-16le", "utf-16", "utf-32")
+
+
 def parquet(spark: SparkSession, path: str, *, glob: str | None = None) -> DataFrame:
     """Parquet files, or those whose name fits a pattern."""
     return (spark.read.option("pathGlobFilter", glob) if glob else spark.read).parquet(path)
 
 
 def csv(spark: SparkSession, path: str, schema: str, *, encoding: str = "UTF-8", drop_first: bool = False) -> DataFrame:
-    """CSV with a header in any encoding, e.g. windows-874; an unnamed index column can be dropped."""
+    """CSV with a header in any encoding, e.g. windows-874; an unnamed index column can be dropped.
+
+    Encodings beyond Spark's short list need its switch for Java charsets, which stays on for the session.
+    """
+    if encoding.lower() not in PLAIN_CHARSETS:
+        spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = spark.read.option("header", True).option("encoding", encoding).schema(schema).csv(path)
     return df.select(df.columns[1:]) if drop_first else df
 
