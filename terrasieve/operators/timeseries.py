@@ -79,7 +79,8 @@ def run_features(df: DataFrame, by: Sequence[str], ts: str, thresholds: Mapping[
     """Percent of a group's pixels by length of their longest run under each threshold, strict and with single gaps filled."""
     part = S.stretch(ts, first, last) if last is not None else F.slice(F.col(ts), first + 1, F.size(ts))
     runs = {f"{name}_{mode}": S.longest_run(f(S.under(part, v))) for name, v in thresholds.items() for mode, f in (("strict", lambda x: x), ("relax", S.relax))}
-    binned = df.select(*by, *[digitize(r, edges).alias(name) for name, r in runs.items()])
+    measured = df.select(*by, *[r.alias(name) for name, r in runs.items()])  # each run once, then binned
+    binned = measured.select(*by, *[digitize(name, edges).alias(name) for name in runs])
     shares = [(100 * F.count_if(F.col(name) == k) / F.count("*")).alias(f"{name}_b{k}") for name in runs for k in range(1, len(edges) + 1)]
     return binned.groupBy(*by).agg(*shares)
 
@@ -89,7 +90,7 @@ def horizons(df: DataFrame, by: Sequence[str], ts: str, periods: Mapping[int, in
     table = F.array(*[F.struct(F.lit(d).alias("horizon"), F.lit(n).alias("n")) for d, n in periods.items()])
     each = df.select(*by, ts, F.inline(table))
     run = S.longest_run(S.under(F.slice(F.col(ts), F.lit(1), F.col("n")), threshold))
-    return each.withColumn("_b", digitize(run, edges)).groupBy(*by, "horizon").agg(F.count("*").alias("n_rows"), *[(100 * F.count_if(F.col("_b") == k) / F.count("*")).alias(f"run_b{k}") for k in range(len(edges) + 1)])
+    return each.withColumn("_r", run).withColumn("_b", digitize("_r", edges)).groupBy(*by, "horizon").agg(F.count("*").alias("n_rows"), *[(100 * F.count_if(F.col("_b") == k) / F.count("*")).alias(f"run_b{k}") for k in range(len(edges) + 1)])
 
 
 def min_composite(df: DataFrame, pixel: Sequence[str], day: str, bands: Sequence[str], shadow: Column) -> DataFrame:

@@ -30,7 +30,9 @@ def query(sql: str | None):
 def power(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pixel, plot and ts: the mean power of each day. Hundredths are summed as whole numbers, so any engine gets the same mean."""
     e = table(spark, sf_dir, "events")
-    p = e.groupBy(F.col("user_id").alias("pixel"), (F.col("user_id") % 5).alias("plot"), F.datediff(F.to_date("ts"), F.lit(ORIGIN)).alias("t")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / (F.count("*") * 100000)).alias("v"))
+    days = e.select(F.col("user_id").alias("pixel"), (F.col("user_id") % 5).alias("plot"), F.datediff(F.to_date("ts"), F.lit(ORIGIN)).alias("t"), F.round(F.col("value") * 100).cast("long").alias("c"))
+    # dealt by pixel once: days and series are then made without another shuffle
+    p = days.repartition("pixel", "plot").groupBy("pixel", "plot", "t").agg((F.sum("c") / (F.count("*") * 100000)).alias("v"))
     return T.to_series(p, ["pixel", "plot"], "t", "v", PERIODS)
 
 
