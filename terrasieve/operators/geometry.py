@@ -225,3 +225,52 @@ def to_utm(lon: Column | str, lat: Column | str, zone: Column | int) -> tuple[Co
 def degrees_north(m: float) -> float:
     """Metres as degrees of latitude, roughly."""
     return m / (6371008.8 * radians(1))
+
+
+def _ring_points(p: list[list[np.ndarray]]) -> np.ndarray:
+    return np.concatenate([r for q in p for r in q])
+
+
+def polygons_related(a: Column | str, b: Column | str, *, within: bool) -> Column:
+    """If polygon a lies within b (``within``), or if both meet at all."""
+
+    @F.pandas_udf("boolean")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        parsed: dict[str, list] = {}
+        out = []
+        for u, v in zip(left, right):
+            p, q = (parsed.setdefault(w, rings(w)) if w is not None else [] for w in (u, v))
+            if not p or not q:
+                out.append(None)
+                continue
+            cross = any(_crosses(r, s) for x in p for r in x for y in q for s in y)
+            inside = contains(q, *_ring_points(p).T)
+            if within:
+                out.append(bool(not cross and inside.all()))
+            else:
+                out.append(bool(cross or inside.any() or contains(p, *_ring_points(q).T).any()))
+        return pd.Series(out, dtype=object)
+
+    return of(a, b)
+
+
+def _crosses(r: np.ndarray, s: np.ndarray) -> bool:
+    """If edges of two closed rings cross inside both."""
+    a, b, c, d = r, np.roll(r, -1, axis=0), s, np.roll(s, -1, axis=0)
+    side = lambda p, q, x: np.sign((q[:, None, 0] - p[:, None, 0]) * (x[None, :, 1] - p[:, None, 1]) - (q[:, None, 1] - p[:, None, 1]) * (x[None, :, 0] - p[:, None, 0]))
+    return bool(((side(a, b, c) * side(a, b, d) < 0) & (side(c, d, a) * side(c, d, b) < 0).T).any())
+
+
+def related(left: DataFrame, right: DataFrame, a: str, b: str, cell: float, *, within: bool) -> DataFrame:
+    """Pairs of polygons, the left within the right or both meeting: boxes meet on grid cells, each pair is tested in the first cell it shares."""
+    at = lambda c: F.floor(c / cell).cast("int")
+
+    def celled(df: DataFrame, wkt: str, m: str) -> DataFrame:
+        boxed = df.withColumn(m, measures(wkt)).where(f"{m}.valid")
+        return boxed.withColumn("_cx", F.explode(F.sequence(at(F.col(f"{m}.xmin")), at(F.col(f"{m}.xmax"))))).withColumn("_cy", F.explode(F.sequence(at(F.col(f"{m}.ymin")), at(F.col(f"{m}.ymax")))))
+
+    met = celled(left, a, "_ma").join(celled(right, b, "_mb"), ["_cx", "_cy"])
+    first = (F.col("_cx") == F.greatest(at(F.col("_ma.xmin")), at(F.col("_mb.xmin")))) & (F.col("_cy") == F.greatest(at(F.col("_ma.ymin")), at(F.col("_mb.ymin"))))
+    boxes = (F.col("_ma.xmin") <= F.col("_mb.xmax")) & (F.col("_mb.xmin") <= F.col("_ma.xmax")) & (F.col("_ma.ymin") <= F.col("_mb.ymax")) & (F.col("_mb.ymin") <= F.col("_ma.ymax"))
+    kept = met.where(first & boxes).drop("_cx", "_cy", "_ma", "_mb")
+    return kept.where(polygons_related(a, b, within=within))

@@ -132,3 +132,52 @@ def band_numbers(df: DataFrame, by: Sequence[str], day: str, present: Column) ->
     """Band number of each available day: the count of available days up to it."""
     w = W.partitionBy(*by).orderBy(day).rowsBetween(W.unboundedPreceding, 0)
     return df.withColumn("band", F.when(present, F.sum(present.cast("int")).over(w)))
+
+
+def by_day_index(df: DataFrame, key: Sequence[str], day: str, plant: str, value: str, step: int, n: int) -> DataFrame:
+    """Series by days since planting: index = half-even (days - d0 % step) / step, where d0 is the key's first offset."""
+    since = F.datediff(F.col(day), F.col(plant))
+    first = df.withColumn("_d", since).where(F.col("_d") >= 0)
+    offset = first.groupBy(*key).agg((F.min("_d") % step).alias("_o"))
+    placed = first.join(offset, list(key)).withColumn("_i", F.bround((F.col("_d") - F.col("_o")) / step).cast("int"))
+    return to_series(placed, key, "_i", value, n)
+
+
+def window_at(series: DataFrame, anchors: DataFrame, key: Sequence[str], t: str, ts: str = "ts", before: int = 2, after: int = 1, fill: float = 0.0) -> DataFrame:
+    """Values of a second series from ``before`` periods before an anchor to ``after`` behind it; what is missing is ``fill``."""
+    joined = anchors.join(series, list(key), "left")
+    held = F.coalesce(S.around(ts, F.col(t), before, after), F.array_repeat(F.lit(None).cast("double"), before + after + 1))
+    return joined.withColumn("window", F.transform(held, lambda x: F.coalesce(x, F.lit(fill)))).drop(ts)
+
+
+def merged_runs(df: DataFrame, stages: Sequence[str]) -> DataFrame:
+    """Runs under the median (area, size, edge) of successive stages: one that touches the end of its stage takes in the next
+    stage's that touches its begin, stage by stage in order."""
+    out = df
+    for a, b in zip(stages, stages[1:]):
+        join = F.col(f"{a}.edge") & F.col(f"{b}.edge")
+        whole = F.struct((F.col(f"{a}.area") + F.col(f"{b}.area")).alias("area"), (F.col(f"{a}.size") + F.col(f"{b}.size")).alias("size"), F.col(f"{b}.edge").alias("edge"))
+        out = out.withColumn("_m", F.when(join, whole)).withColumn(a, F.coalesce("_m", a)).withColumn(b, F.coalesce("_m", b)).drop("_m")
+    return out
+
+
+def rolled_up(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Pixels to plots: min, max, mean, quartiles of each column in one aggregate."""
+    outs, picks = [], []
+    for c in columns:
+        outs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}_q")]
+        picks += [f"{c}_min", f"{c}_max", f"{c}_mean", *[F.col(f"{c}_q")[i].alias(f"{c}_p{p}") for i, p in enumerate((25, 50, 75))]]
+    return df.groupBy(*by).agg(*outs).select(*by, *picks)
+
+
+def event_curve(df: DataFrame, by: Sequence[str], ts: str, t: str, reach: int) -> DataFrame:
+    """Mean value at each distance from the event, and its change from the distance before."""
+    each = df.select(*by, F.posexplode(S.around(ts, F.col(t), reach, reach)).alias("_p", "_v")).select(*by, (F.col("_p") - reach).alias("distance"), "_v")
+    mean = each.groupBy(*by, "distance").agg(F.avg("_v").alias("mean"))
+    return mean.withColumn("change", F.col("mean") - F.lag("mean").over(W.partitionBy(*by).orderBy("distance")))
+
+
+def two_satellites(first: str, last: str, cycle: int = 12) -> Column:
+    """Days of two alternating satellites: (day, satellite) every half cycle."""
+    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"interval {cycle // 2} day"))
+    return F.transform(days, lambda d, i: F.struct(d.alias("day"), F.when(i % 2 == 0, "A").otherwise("B").alias("satellite")))

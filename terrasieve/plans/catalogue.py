@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import evaluation, relational, rows, season
+from . import evaluation, features, relational, rows, season
 
 FLAGSHIP = "season_features"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (rows, relational, season, evaluation):
+for part in (rows, relational, season, evaluation, features):
     QUERIES |= part.QUERIES
     SQL |= part.SQL
