@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.series import interpolate, windows
 from .metrics import precision_recall, roc_curve
 
 
@@ -130,6 +131,14 @@ def rolled_up(df: DataFrame, plot: str, keep: Sequence[str]) -> DataFrame:
     return df.groupBy(plot).agg(F.avg("score").alias("score_mean"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("score_std"), *[F.any_value(c).alias(c) for c in keep])
 
 
+def scored_windows(model: PipelineModel, df: DataFrame, key: Sequence[str], ts: str, features: Sequence[str]) -> DataFrame:
+    """The score of every stretch of as many periods as the model has features; pixels with a value not above zero are left out, gaps are filled."""
+    usable = df.where(F.forall(F.filter(ts, lambda x: x.isNotNull()), lambda x: x > 0) & F.exists(ts, lambda x: x.isNotNull()))
+    each = usable.withColumn(ts, interpolate(ts)).select(*key, F.posexplode(windows(ts, len(features))).alias("first", "_w"))
+    named = each.select(*key, "first", *[F.col("_w")[i].alias(c) for i, c in enumerate(features)])
+    return scored(model, named).select(*key, "first", "score")
+
+
 def path_clusters(df: DataFrame, coordinates: Sequence[str], levels: int, seed: int = 0) -> DataFrame:
     """Two means inside each cluster, level by level; ``path`` has a bit for each level. One model a node, written in as an expression."""
     out = VectorAssembler(inputCols=list(coordinates), outputCol="_v").transform(df).withColumn("path", F.lit(0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from terrasieve.functions import series as S
 from terrasieve.operators import geometry as G
 from terrasieve.operators import joins, metrics, ml, raster, sampling, timeseries, windows
-from terrasieve.sources import shapefile, tables
+from terrasieve.sources import geotiff, shapefile, tables
 from terrasieve.streaming import flood
 
 
@@ -158,3 +158,32 @@ def test_models(spark):
     assert len(fits) == 6
     made = ml.oversampled(df, "y", 1, ["a", "b"], "k")
     assert made.where("a is null or y <> 1").count() == 0 and made.count() > 100
+    series = spark.createDataFrame([(1, [1.0, None, 3.0, 4.0]), (2, [1.0, -1.0, 2.0, 3.0])], "p int, ts array<double>")
+    found = ml.scored_windows(ml.forest(["a", "b", "c"], "y", trees=5).fit(df), series, ["p"], "ts", ["a", "b", "c"])
+    assert sorted((r.p, r.first) for r in found.select("p", "first").collect()) == [(1, 0), (1, 1)]
+
+
+def test_runs_of_successive_stages_merge_in_order(spark):
+    run = "struct<area:double,size:int,edge:boolean>"
+    df = spark.createDataFrame([(1, (1.0, 2, True), (2.0, 3, True), (4.0, 1, False)), (2, (1.0, 2, False), (2.0, 3, True), (4.0, 1, True))], f"k int, s1 {run}, s2 {run}, s3 {run}")
+    got = {r.k: (r.s1.area, r.s2.area, r.s3.area, r.s3.size) for r in timeseries.merged_runs(df, ["s1", "s2", "s3"]).collect()}
+    assert got == {1: (3.0, 3.0, 4.0, 1), 2: (1.0, 6.0, 6.0, 4)}
+
+
+def test_geotiff_round_trip(spark, tmp_path):
+    x = np.arange(150 * 70, dtype=np.float32).reshape(150, 70)
+    x[3, 4] = -9999
+    t = (600_000.0, 30.0, 0.0, 1_500_000.0, 0.0, -30.0)
+    (tmp_path / "a.tif").write_bytes(geotiff.encode(x, t, -9999))
+    (tmp_path / "b.tif").write_bytes(geotiff.encode((x % 250).astype(np.uint8)))
+    assert geotiff.header((tmp_path / "a.tif").read_bytes()).transform == t
+    df = geotiff.read(spark, str(tmp_path))
+    a = df.where("path like '%a.tif'")
+    assert a.count() == x.size and a.where("value is null").collect()[0].asDict().items() >= {"row": 3, "col": 4, "band": 1}.items()
+    assert a.where("row = 149 and col = 69").first().value == 150 * 70 - 1
+    back = geotiff.tiles(a.withColumn("image", F.lit("a")), "image", "value", 64, t)
+    assert back.count() == 6
+    tile = back.where("tile_row = 2 and tile_col = 1").first().content
+    assert geotiff.header(tile).transform == (600_000.0 + 64 * 30, 30.0, 0.0, 1_500_000.0 - 128 * 30, 0.0, -30.0)
+    [(band, r, c, v)] = list(geotiff.blocks(tile))
+    assert (band, r, c) == (1, 0, 0) and (v[: 150 - 128, : 70 - 64] == x[128:, 64:]).all() and (v[22:] == -9999).all()
