@@ -45,14 +45,18 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], day: str
     return a.join(b, [*by, "_cell"]).where(F.col(day).between(F.col(first), F.col(last))).drop("_cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], key: Sequence[str], at: str, day: str, k: int = 4, reach: int = 64) -> DataFrame:
-    """The k right rows nearest in days to each left row, no further than ``reach`` days; the earlier of ties. ``n`` numbers them in order of day."""
-    bounded = left.withColumn("_lo", F.date_sub(at, reach)).withColumn("_hi", F.date_add(at, reach))
-    pairs = interval_join(bounded, right, by, day, "_lo", "_hi").drop("_lo", "_hi")
-    gap = F.abs(F.datediff(F.col(day), F.col(at)))
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, day: str, k: int = 4, reach: int = 64) -> DataFrame:
+    """The k right rows nearest in days to each left row, no further than ``reach`` days; the earlier of ties. ``n`` numbers them in order of day.
+
+    The right side is one array of days a key, so a left row meets one row and no pairs are shuffled.
+    """
     others = [c for c in right.columns if c not in by and c != day]
-    kept = pairs.withColumn("_k", F.row_number().over(W.partitionBy(*key).orderBy(gap, day, *others))).where(F.col("_k") <= k)
-    return kept.withColumn("n", F.row_number().over(W.partitionBy(*key).orderBy(day, *others))).drop("_k")
+    held = right.groupBy(*by).agg(F.collect_list(F.struct(day, *others)).alias("_r"))
+    near = F.filter("_r", lambda r: F.abs(F.datediff(r[day], F.col(at))) <= reach)
+    ranked = F.array_sort(F.transform(near, lambda r: F.struct(F.abs(F.datediff(r[day], F.col(at))).alias("gap"), r.alias("r"))))
+    first = F.array_sort(F.transform(F.slice(ranked, 1, k), lambda x: x["r"]))
+    found = left.join(held, list(by)).select(*left.columns, F.posexplode(first).alias("n", "_x"))
+    return found.select(*left.columns, (F.col("n") + 1).alias("n"), *[F.col(f"_x.{c}").alias(c) for c in (day, *others)])
 
 
 def to_intervals(points: DataFrame, by: Sequence[str], day: str) -> DataFrame:
