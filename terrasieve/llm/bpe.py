@@ -22,8 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .chunks import ChunkCache, batched
-from .common import pick, table, texts_of
+from .chunks import ChunkCache
+from .common import pick, table
 
 
 def byte_chars() -> dict[int, str]:
@@ -82,20 +82,25 @@ class PieceBPE:
         back = {c: b for b, c in chars.items()}
         self.bytes_of = [bytes(back[c] for c in self.model.id_to_piece(i)) for i in range(self.model.get_piece_size() - 1)]
         self.ids_of = {t: i for i, t in enumerate(self.bytes_of)}
-        self.encode = ChunkCache(self._encode_many)
+        self.chunks = ChunkCache(self._encode_many, lambda x: self._encode_many([x])[0])
 
-    def _encode_many(self, texts: list[str]) -> list[bytes]:
-        """Packed little-endian ids of each text; a pre-token that is a token needs no merging."""
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Packed little-endian ids of each text."""
+        return list(self.chunks(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())))
+
+    def _encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and the length of each; a pre-token that is a token needs no merging."""
         cut = [[x.encode() for x in self.find(t)] for t in texts]
         ids, new = {}, []
         for x in {x for xs in cut for x in xs}:
             if x in self.ids_of:
-                ids[x] = struct.pack("<I", self.ids_of[x])
+                ids[x] = [self.ids_of[x]]
             else:
                 new.append(x)
         found = self.model.encode(["".join(map(self.to_char.__getitem__, x)) for x in new], out_type=int, num_threads=1) if new else []
-        ids.update((x, struct.pack(f"<{len(i)}I", *i)) for x, i in zip(new, found))
-        return [b"".join([ids[x] for x in xs]) for xs in cut]
+        ids.update(zip(new, found))
+        lengths = np.array([sum([len(ids[x]) for x in xs]) for xs in cut], np.int64)
+        return np.array([i for xs in cut for x in xs for i in ids[x]], np.uint32), lengths
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(packed, "<u4").tolist()))
@@ -118,15 +123,14 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, kee
         bpe = PieceBPE(*shared.value)
         for batch in batches:
             n, ids, decoded, packed, plain = [], [], [], [], []
-            for some in batched((x or b"").decode() for x in texts_of(batch)):
-                for p in bpe.encode(some):
-                    d = bpe.decode(p)
-                    n.append(len(p) // 4)
-                    ids.append(hashlib.sha256(p).hexdigest())
-                    decoded.append(hashlib.sha256(d).hexdigest())
-                    if real:
-                        packed.append(p)
-                        plain.append(d)
+            for p in bpe.chunks(batch.column("text")):
+                d = bpe.decode(p)
+                n.append(len(p) // 4)
+                ids.append(hashlib.sha256(p).hexdigest())
+                decoded.append(hashlib.sha256(d).hexdigest())
+                if real:
+                    packed.append(p)
+                    plain.append(d)
             columns = [*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
             if real:
                 columns += [pa.array(packed, pa.binary()), pa.array(plain, pa.binary())]

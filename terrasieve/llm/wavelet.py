@@ -30,8 +30,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .chunks import ChunkCache, batched
-from .common import pick, stored, table, texts_of
+from .bpe import byte_chars
+from .chunks import ChunkCache, gathered
+from .common import pick, stored, table
 
 BLOCK = 512
 #: Ids in a shard before the next is begun; bounds what a task holds.
@@ -49,7 +50,7 @@ class WaveletMatrix:
         zeros, planes, ranks = [], [], []
         rest = ids.astype(np.uint16 if bits <= 16 else np.uint32)
         for b in range(bits - 1, -1, -1):
-            one = (rest >> rest.dtype.type(b)) & rest.dtype.type(1) != 0
+            one = rest & rest.dtype.type(1 << b) != 0
             packed = np.packbits(one, bitorder="little")
             plane = np.zeros(-(-max(len(ids), 1) // BLOCK) * BLOCK // 8, np.uint8)
             plane[: len(packed)] = packed
@@ -57,7 +58,7 @@ class WaveletMatrix:
             planes.append(plane)
             ranks.append(np.concatenate([np.zeros(1, np.uint64), np.cumsum(counts, dtype=np.uint64)]))
             zeros.append(len(ids) - int(ranks[-1][-1]))
-            rest = rest[np.concatenate([np.flatnonzero(~one), np.flatnonzero(one)])]
+            rest = np.concatenate([np.compress(~one, rest), np.compress(one, rest)])
         return cls(len(ids), bits, zeros, planes, ranks)
 
     def _ones(self, level: int, i: int) -> int:
@@ -205,9 +206,14 @@ def read_shard(data: bytes) -> Shard:
 
 
 class Encoder:
-    """The tokenizers library behind a chunk cache, on one core: Spark keeps the others busy."""
+    """The tokenizers library behind a word cache, on one core: Spark keeps the others busy.
+
+    Words of letters are pre-tokens already. Where the file's pre-tokens are byte-level, they
+    go to its BPE model mapped to its characters, many in one call, parted by carriage returns.
+    """
 
     def __init__(self, tokenizer: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -215,10 +221,40 @@ class Encoder:
 
         self.model = Tokenizer.from_str(tokenizer)
         self.model.encode_special_tokens = True
-        self.encode = ChunkCache(self.encode_many)
-
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        spec = json.loads(tokenizer)
+        level = spec.get("pre_tokenizer") or {}
+        self.words = None
+        if level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space") and not spec.get("normalizer") and byte_chars()[13] in spec["model"]["vocab"]:
+            self.chars = byte_chars()
+            self.mark = spec["model"]["vocab"][self.chars[13]]
+            self.words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None, "decoder": None, "added_tokens": []}))
+        self.encode = ChunkCache(self.encode_words, self.encode_text)
+
+    def encode_text(self, text: str) -> np.ndarray:
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words end to end, and the length of each."""
+        letters = [w[1:].isalpha() for w in words] if self.words else [False] * len(words)
+        lead = {" ": self.chars[32], "\n": self.chars[10] + "\n"} if self.words else {}  # a line end is a pre-token of its own
+        parts, lengths = [], np.zeros(len(words), np.int64)
+        fast, rest = np.flatnonzero(letters), np.flatnonzero(~np.array(letters, bool))
+        for a in range(0, len(fast), 4096):
+            some = [words[i] for i in fast[a : a + 4096].tolist()]
+            mapped = [lead[w[0]] + (w[1:] if w.isascii() else w[1:].encode().decode("latin-1").translate(self.chars)) for w in some]
+            ids = np.array(self.words.encode_batch_fast([f"\n{self.chars[13]}\n".join(mapped)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = ids == self.mark
+            lengths[fast[a : a + 4096]] = np.diff(np.flatnonzero(ends), prepend=-1, append=len(ids)) - 1
+            parts.append(ids[~ends])
+        for x, i in zip(self.model.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False), rest.tolist()):
+            parts.append(np.array(x.ids, np.uint32))
+            lengths[i] = len(parts[-1])
+        flat, order = np.concatenate(parts) if parts else np.zeros(0, np.uint32), np.concatenate([fast, rest])
+        if not len(fast) or not len(rest):
+            return flat, lengths
+        first = np.empty(len(words), np.int64)
+        first[order] = np.cumsum(lengths[order]) - lengths[order]
+        return gathered(flat, first, lengths), lengths
 
 
 #: The encoder of this Python worker; its cache serves one task after the other.
@@ -255,14 +291,12 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 0, *, shard_ids: in
             return out
 
         for batch in batches:
-            ids = iter(batch.column("doc_id").to_pylist())
-            for some in batched((x or b"").decode() for x in texts_of(batch)):
-                for p in encode(some):
-                    if packed and size + len(p) // 4 >= shard_ids:
-                        yield flush()
-                    doc_ids.append(next(ids))
-                    packed.append(p + last)
-                    size += len(p) // 4 + 1
+            for doc_id, p in zip(batch.column("doc_id").to_pylist(), encode(batch.column("text"))):
+                if packed and size + len(p) // 4 >= shard_ids:
+                    yield flush()
+                doc_ids.append(doc_id)
+                packed.append(p + last)
+                size += len(p) // 4 + 1
         if packed:
             yield flush()
 
