@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, stored, table
+from .common import pick, shielded, stored, table
 
 #: A block of fewer words stays.
 MIN_WORDS = 5
@@ -116,6 +116,7 @@ def blocks_to_delete(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 def delete_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with ``text`` less its deleted lines, and n_lines and n_removed; needs doc_id and text."""
+    docs, restore = shielded(docs, "doc_id", "text")
     blocks = blocks_to_delete(docs.select("doc_id", "text"), min_words)
     keyed = docs.withColumn("h", F.xxhash64("text"))
     on = F.col("d.h").eqNullSafe(F.col("k.h")) & F.col("d.doc_id").eqNullSafe(F.col("k.doc_id"))
@@ -125,7 +126,8 @@ def delete_blocks(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     marked = joined.withColumn("n_lines", F.when(F.length("text") > 0, F.size(lines)).otherwise(0).cast("long"))
     marked = marked.withColumn("kept", F.when(F.col("blocks").isNotNull(), kept))
     marked = marked.withColumn("n_removed", F.when(F.col("kept").isNotNull(), F.col("n_lines") - F.size("kept")).otherwise(0).cast("long"))
-    return marked.withColumn("text", F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text"))).select(*docs.columns, "n_lines", "n_removed")
+    done = marked.withColumn("text", F.when(F.col("kept").isNotNull(), F.array_join("kept", "\n")).otherwise(F.col("text")))
+    return restore(done, "n_lines", "n_removed")
 
 
 def op10_line_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

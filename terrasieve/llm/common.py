@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +57,21 @@ def pick(df: DataFrame, *columns: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(c) for i, c in zip(at, columns)])
 
 
+def shielded(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """docs with all but the needed columns renamed, so that none clashes with an operator's own, and what gives the names back.
+
+    Columns that an operator adds come last and take the place of any of the same name.
+    """
+    names = docs.columns
+    plain = [c if c in needed else f"_kept{i}" for i, c in enumerate(names)]
+
+    def restore(df: DataFrame, *added: str) -> DataFrame:
+        taken = {a.lower() for a in added}
+        return df.select(*[F.col(p).alias(c) for p, c in zip(plain, names) if c.lower() not in taken], *added)
+
+    return docs.toDF(*plain), restore
+
+
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text, one Python object at a time."""
     x = batch.column(column)

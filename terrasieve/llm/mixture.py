@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, pick, table, texts_of
+from .common import LOWER, crc_mod, pick, shielded, table, texts_of
 
 GRAM = 4
 BITS = 16
@@ -170,8 +170,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 def keep_language(docs: DataFrame, model: Mixture) -> DataFrame:
     """docs less those in no learned language: undetermined, or with uniform n-grams likelier than any mixture by e to the EVIDENCE."""
+    docs, restore = shielded(docs, "text")
     found = identify(docs, model, keep=tuple(docs.columns), proportions=True)
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > -EVIDENCE)).select(*docs.columns)
+    return restore(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > -EVIDENCE)))
 
 
 def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import LOWER, pick, stored, table, texts_of
+from .common import LOWER, pick, shielded, stored, table, texts_of
 from .graph import components
 
 #: Members of a tile at most, about half of them from either side.
@@ -177,12 +177,13 @@ def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFr
 
 def keep_first(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFrame:
     """One row of docs for each component: that of the least doc_id (a null id last, then the least text hash)."""
+    docs, restore = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn("t_", F.xxhash64("text"))
     fps = group(stored(fingerprints(keyed, k, ("doc_id", "t_")), "fingerprints"), distance)
     first = fps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t_")).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.t_").alias("w_t"))
     kept = keyed.join(first, keyed["t_"].eqNullSafe(first["w_t"]) & keyed["doc_id"].eqNullSafe(first["w_id"])).drop("w_id", "w_t")
     rows = kept.withColumn("n_", F.row_number().over(W.partitionBy("doc_id", "t_").orderBy("doc_id")))  # repeated rows
-    return rows.where("n_ = 1").select(*docs.columns)
+    return restore(rows.where("n_ = 1"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, pick, stored, table, texts_of
+from .common import LOWER, pick, shielded, stored, table, texts_of
 
 #: Bytes outside [0-9A-Za-z\x80-\xff] become spaces, A-Z become a-z.
 WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in LOWER)
@@ -295,7 +295,8 @@ def report(docs: DataFrame, items: DataFrame, *, window: int = 10, longest: bool
 
 def clean(docs: DataFrame, items: DataFrame, *, window: int = 10, **options: int) -> DataFrame:
     """The documents that hold no window of any item, with all their columns."""
-    return find(docs, items, keep=tuple(docs.columns), window=window, longest=False, **options).where(F.size("hit") == 0).select(*docs.columns)
+    docs, restore = shielded(docs, "doc_id", "text")
+    return restore(find(docs, items, keep=tuple(docs.columns), window=window, longest=False, **options).where(F.size("hit") == 0))
 
 
 def op1_suffix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

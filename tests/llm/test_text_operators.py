@@ -404,6 +404,19 @@ def test_op10_deletes_from_the_later_document_only(spark, sf, rows):
     assert len(done) == len(rows) and sum(r.n_removed for r in done) > 0
 
 
+def test_clashing_columns_keep_their_values(spark):
+    names = ["h", "items", "hit", "n_words", "t_", "n_", "fp", "root", "component_id", "gain", "lang_pred", "blocks", "kept", "k", "proportions"]
+    rows = [(i, sentence(40 + i), "en", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, " + ", ".join(f"{n} string" for n in names))
+    bench = spark.createDataFrame([(1, "not in any of them")], "item_id long, text string")
+    model = mixture.Mixture.fit(docs)
+    for done in (align.delete_blocks(docs), suffixes.clean(docs, bench), simhash.keep_first(docs), mixture.keep_language(docs, model)):
+        got = done.collect()
+        assert len(got) == 6 and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    taken = align.delete_blocks(docs.withColumnRenamed("h", "N_Removed"))
+    assert [c for c in taken.columns if c.lower() == "n_removed"] == ["n_removed"] and taken.first().n_removed == 0
+
+
 def test_patience_aligns_in_order():
     for _ in range(300):
         a, b = (R.choices(range(8), k=R.randint(0, 12)) for _ in range(2))
