@@ -63,12 +63,13 @@ def numbered(df: DataFrame, group: str, *order: str) -> DataFrame:
         part, last, count = TaskContext.get().partitionId(), None, 0
         for batch in batches:
             g = batch.column(group).to_numpy(zero_copy_only=False)
-            new = np.flatnonzero(np.concatenate([[len(g) > 0 and g[0] != last], g[1:] != g[:-1]]))
-            at = np.arange(len(g), dtype=np.int64) + count
-            for i in new:
-                at[i:] = np.arange(len(g) - i)
-            if len(g):
-                last, count = g[-1], int(at[-1]) + 1
+            if not len(g):
+                continue
+            row = np.arange(len(g), dtype=np.int64)
+            new = np.concatenate([[g[0] != last], g[1:] != g[:-1]])
+            begun = np.maximum.accumulate(np.where(new, row, -1))  # -1: in the batch before
+            at = np.where(begun < 0, row + count, row - begun)
+            last, count = g[-1], int(at[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(g), part, np.int32)), pa.array(at)], schema.names)
 
     dealt = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order)
