@@ -1,7 +1,9 @@
 """Connected components of an edge table, by alternating large and small stars.
 
 Each round is written to the shared folder, so that lineage stays short and a
-lost executor costs one round at most. Edges never leave the executors.
+lost executor costs one round at most. Least neighbours are written before they are
+joined back, so that both sides of the join have an exchange and Spark can split a
+node with very many edges. Edges never leave the executors.
 """
 
 from __future__ import annotations
@@ -15,24 +17,24 @@ from .common import stored
 def _large(e: DataFrame) -> DataFrame:
     """Each node's larger neighbours go to the least node it knows."""
     both = e.union(e.select("b", "a"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours go to the least of these."""
     down = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = stored(down.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) pairs of longs to (node, root): the least node reachable. Nodes without edges are left out; loops are ignored."""
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
     while True:
-        e = stored(_small(_large(e)), "stars")
+        e = stored(_small(stored(_large(e), "large")), "stars")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root")).union(e.select("b", "b").distinct())

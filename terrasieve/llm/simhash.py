@@ -151,7 +151,7 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
         "fp",
         F.inline(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for c, m in combos])),
     )
-    full = keyed.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1")
+    full = stored(keyed.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
     half = TILE // 2
     cut = keyed.join(full, ["combo", "key"]).withColumn("c", F.when(F.col("n") <= TILE, 1).otherwise(F.ceil(F.col("n") / half)).cast("int"))
     mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
