@@ -1,4 +1,4 @@
-"""Agreement of predictions with what happened. Scores are counted before they are ordered, so curves window over distinct scores only."""
+"""Agreement of predictions with what happened. Scores are counted before they are ordered, and ordered in ranges."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .windows import ranged
+
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     """Counts of each pair, and their share of the actual class."""
@@ -23,21 +25,28 @@ def fuzzy_confusion(df: DataFrame, predicted: str, actual: str, by: Sequence[str
     return m.withColumns({"oa": F.try_divide(F.expr("tp + tn"), F.expr("tp + tn + fp + fn")), "dt": F.try_divide(F.col("tp"), F.expr("tp + fn")), "fa": F.try_divide(F.col("fp"), F.expr("fp + tn"))})
 
 
-def roc_curve(df: DataFrame, score: str, label: Column, by: Sequence[str] = ()) -> DataFrame:
-    """A point for each distinct score, from the highest down: threshold, fpr, tpr."""
+def roc_curve(df: DataFrame, score: str, label: Column, by: Sequence[str] = (), buckets: int = 32) -> DataFrame:
+    """A point for each distinct score, from the highest down: threshold, fpr, tpr; tp and fp so far, p and q at it.
+
+    Scores are cut in ranges, added up inside each and moved by the sums of the ranges above, so a
+    curve with many scores needs no task of its own.
+    """
     n = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("threshold")).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("q"))
+    cut = ranged(n, by, "threshold", buckets)
     w = W.partitionBy(*by)
-    run = w.orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
-    share = lambda c: F.try_divide(F.sum(c).over(run), F.sum(c).over(w))
-    return n.select(*by, "threshold", share("q").alias("fpr"), share("p").alias("tpr"), F.sum("p").over(run).alias("tp"), F.sum("q").over(run).alias("fp"))
+    down = w.orderBy(F.desc("_b")).rowsBetween(W.unboundedPreceding, 0)
+    sums = cut.groupBy(*by, "_b").agg(F.sum("p").alias("_p"), F.sum("q").alias("_q"))
+    above = sums.select(*by, "_b", *[(F.sum(c).over(down) - F.col(c)).alias(f"{c}a") for c in ("_p", "_q")], *[F.sum(c).over(w).alias(f"{c}n") for c in ("_p", "_q")])
+    run = W.partitionBy(*by, "_b").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
+    inside = cut.withColumn("_pi", F.sum("p").over(run)).withColumn("_qi", F.sum("q").over(run))
+    whole = inside.join(above, [*by, "_b"]).withColumn("tp", F.col("_pi") + F.col("_pa")).withColumn("fp", F.col("_qi") + F.col("_qa"))
+    return whole.select(*by, "threshold", F.try_divide(F.col("fp"), F.col("_qn")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_pn")).alias("tpr"), "tp", "fp", "p", "q")
 
 
 def auc(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Area under a curve from roc_curve, by trapezoids from (0, 0)."""
-    w = W.partitionBy(*by).orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(w), F.lit(0.0))
-    part = (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2
-    return curve.withColumn("_a", part).groupBy(*by).agg(F.sum("_a").alias("auc"))
+    """Area under a curve from roc_curve, by trapezoids from (0, 0): each point knows its own step, so nothing is ordered again."""
+    area = F.sum(F.col("q") * (2 * F.col("tp") - F.col("p")).cast("double"))
+    return curve.groupBy(*by).agg(F.try_divide(area, 2.0 * F.sum("p") * F.sum("q")).alias("auc"))
 
 
 def precision_recall(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:

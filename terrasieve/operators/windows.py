@@ -9,14 +9,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def ranged(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str = "_b") -> DataFrame:
+    """Number of the value range of each row, from approximate quantiles of its group; null for null. Any bounds do: they only spread the work."""
+    bounds = df.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_q"))
+    cut = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))  # one row
+    return cut.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col(value))))).drop("_q")
+
+
 def percent_rank_avg(df: DataFrame, by: Sequence[str], value: str, name: str = "pct", buckets: int = 32) -> DataFrame:
     """Rank with averaged ties over the count of known values; null for null.
 
-    A group is cut in value ranges by approximate quantiles, ranked inside each and moved by the
-    count of the ranges below, so the ranks are exact and no group needs a task of its own.
+    A group is cut in value ranges, ranked inside each and moved by the count of the ranges
+    below, so the ranks are exact and no group needs a task of its own.
     """
-    bounds = df.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_q"))
-    cut = df.join(bounds, list(by)).withColumn("_b", F.when(F.col(value).isNotNull(), F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col(value))))).drop("_q")
+    cut = ranged(df, by, value, buckets)
     counts = cut.where("_b is not null").groupBy(*by, "_b").agg(F.count("*").alias("_n"))
     w = W.partitionBy(*by)
     below = counts.select(*by, "_b", (F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).alias("_below"), F.sum("_n").over(w).alias("_all"))
