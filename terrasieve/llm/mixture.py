@@ -169,7 +169,9 @@ def training_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_language(docs: DataFrame, model: Mixture) -> DataFrame:
-    """docs less those in no learned language: undetermined, or with uniform n-grams likelier than any mixture by e to the EVIDENCE."""
+    """docs less those in no learned language: undetermined, or with uniform n-grams likelier than any mixture by e to the EVIDENCE. Where no language was learned, those without a letter."""
+    if not model.langs:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     docs, restore = shielded(docs, "text")
     found = identify(docs, model, keep=tuple(docs.columns), proportions=True)
     return restore(found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("gain") > -EVIDENCE)))

@@ -162,6 +162,8 @@ def test_op3_on_held_out_rows_and_edges(spark, sf):
     assert mixture.Mixture.fit(docs.where("doc_id < 0")).infer(b"abc") == ("und", 0.0, {}, 0.0)
     kept = mixture.keep_language(docs.union(spark.createDataFrame([(999, "zxqj wvkp " * 30, "aa")], docs.schema)), model)
     assert kept.count() == len(data)
+    unlabelled = spark.createDataFrame([(1, "abc", None), (2, "12", None), (3, None, None)], docs.schema)
+    assert [r.doc_id for r in mixture.keep_language(unlabelled, mixture.Mixture.fit(unlabelled)).collect()] == [1]
 
 
 def brute_components(fps, distance=4):
