@@ -196,3 +196,14 @@ def stitch_max(a: Column | str, b: Column | str, overlap: int) -> Column:
     n = F.size(a) - overlap
     shared = F.zip_with(F.slice(a, n + 1, overlap), F.slice(b, F.lit(1), F.lit(overlap)), lambda x, y: F.greatest(x, y))
     return F.concat(F.slice(a, F.lit(1), n), shared, F.slice(b, F.lit(overlap + 1), F.size(b)))
+
+
+def lowest(ts: Column | str, k: int) -> Column:
+    """Indexes of the k least values, least first; the earlier of ties."""
+    pairs = F.transform(col(ts), lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+    return F.transform(F.slice(F.array_sort(F.filter(pairs, lambda p: p["x"].isNotNull())), 1, k), lambda p: p["i"])
+
+
+def agreed_day(a: Column | str, b: Column | str, k: int) -> Column:
+    """The period lowest in a that is among the k lowest of both series; null where they share none."""
+    return F.get(F.array_intersect(lowest(a, k), lowest(b, k)), F.lit(0))

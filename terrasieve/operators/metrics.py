@@ -92,3 +92,9 @@ def detection(df: DataFrame, activity: str, flag: Column, reported: Column) -> D
     cells = (("tp", 1, 1), ("fp", 1, 0), ("fn", 0, 1), ("tn", 0, 0))
     n = one.agg(*[F.count_if((F.col("f") == a) & (F.col("r") == b)).alias(c) for c, a, b in cells])
     return n.withColumn("detection", F.try_divide(F.col("tp"), F.expr("tp + fn"))).withColumn("false_alarm", F.try_divide(F.col("fp"), F.expr("fp + tn")))
+
+
+def map_agreement(df: DataFrame, a: Column, b: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Two maps by region: pixels in both, in either, their ratio, and the share of b that a finds."""
+    n = df.groupBy(*by).agg(F.count_if(a & b).alias("both"), F.count_if(a | b).alias("either"), F.count_if(b).alias("_b"))
+    return n.select(*by, "both", "either", F.try_divide(F.col("both"), F.col("either")).alias("iou"), F.try_divide(F.col("both"), F.col("_b")).alias("found"))

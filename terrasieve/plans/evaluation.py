@@ -213,3 +213,11 @@ def two_stage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 3)
     return ml.oversampled(d, "y", 1, names, "vec_id")
+
+
+@query("""SELECT l_suppkey % 10 AS region, count(*) FILTER (l_discount > 0.05 AND l_tax > 0.03) AS n_both, count(*) FILTER (l_discount > 0.05 OR l_tax > 0.03) AS n_either,
+round(count(*) FILTER (l_discount > 0.05 AND l_tax > 0.03) / count(*) FILTER (l_discount > 0.05 OR l_tax > 0.03), 4) AS iou, round(count(*) FILTER (l_discount > 0.05 AND l_tax > 0.03) / count(*) FILTER (l_tax > 0.03), 4) AS found FROM lineitem GROUP BY 1""")
+def map_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("region"), "l_discount", "l_tax")
+    m = M.map_agreement(d, F.col("l_discount") > 0.05, F.col("l_tax") > 0.03, ["region"])
+    return m.select("region", F.col("both").alias("n_both"), F.col("either").alias("n_either"), r4("iou", "iou"), r4("found", "found"))

@@ -50,6 +50,9 @@ def array(*x, kind="double"):
         (lambda: S.count_null(array(1, None, None)), 2),
         (lambda: S.clean_db(array(*[0] * 10, 1)), None),
         (lambda: S.stitch_max(array(1, 2, 3), array(9, 0, 4), 2), [1, 9, 3, 4]),
+        (lambda: S.lowest(array(3, None, 1, 1), 2), [2, 3]),
+        (lambda: S.agreed_day(array(3, 0, 1, 5), array(9, 8, 2, 1), 2), 2),
+        (lambda: S.agreed_day(array(0, 1), array(1, 0), 1), None),
         (lambda: X.finite(F.lit(float("inf"))), None),
         (lambda: X.finite(F.lit(float("nan"))), None),
         (lambda: X.outcome(F.lit(True), F.lit(False)), "FP"),
