@@ -33,7 +33,7 @@ WORDS = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in
 
 #: Bytes of text under one suffix array, and of benchmark text in one broadcast.
 SHARD_BYTES = 8 << 20
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: bytes | None) -> list[bytes]:
