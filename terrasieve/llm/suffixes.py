@@ -135,18 +135,20 @@ class Shard:
         # windows of the same words are searched once; shorter ones are padded with the least and the greatest number
         keep = np.arange(window)[None, :] < self.width[:, None]
         grid = benchmark.ids[np.minimum(self.at[:, None] + np.arange(window)[None, :], max(0, len(benchmark.ids) - 1))] if len(self.at) else np.zeros((0, window), np.int64)
-        grid = np.where(keep, grid, -1)
+        grid = np.where(keep, grid, -1).astype(np.int32)
         rows, self.which = np.unique(grid, axis=0, return_inverse=True)
         self.which = self.which.reshape(-1)
         self.wide = (rows >= 0).sum(1)
         flat, at = np.where(rows >= 0, rows, 0).reshape(-1), np.arange(len(rows)) * window
         high = np.where(rows >= 0, rows, self.base - 1).reshape(-1)
         self.low, self.high = packed_columns(flat, at, window, self.base), packed_columns(high, at, window, self.base)
-        order = np.argsort(self.which, kind="stable")
-        groups = np.split(order, np.cumsum(np.bincount(self.which, minlength=len(rows)))[:-1]) if len(rows) else []
-        self.by_window, self.by_row = [self.item[g] for g in groups], [g.tolist() for g in groups]
+        self.order = np.argsort(self.which, kind="stable")  # suffixes by window; those of window w begin at off[w]
+        self.off = np.concatenate([[0], np.cumsum(np.bincount(self.which, minlength=len(rows)))]).astype(np.int64)
         self.depth = int(benchmark.lengths.max()) if len(benchmark.lengths) else 0
 
+    def _suffixes(self, window: int) -> np.ndarray:
+        return self.order[self.off[window] : self.off[window + 1]]
+
     def search(self, docs: list[list[bytes]], longest: bool) -> list[tuple[list[int], np.ndarray, list[tuple[int, int, int, int]]]]:
         """For each document: ranges of words hit (begin, end, begin, ...), items found, and with ``longest`` the longest match of each item as (item, item word, doc word, words)."""
         lengths = np.array([len(d) for d in docs], np.int64)
@@ -179,7 +181,7 @@ class Shard:
         cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
         for rows in np.split(order, cuts[1:]):
             d = int(doc[rows[0]])
-            items = np.unique(np.concatenate([self.by_window[w] for w in np.unique(window[rows]).tolist()]))
+            items = np.unique(np.concatenate([self.item[self._suffixes(w)] for w in np.unique(window[rows]).tolist()]))
             lo, hi = np.searchsorted(turns, [starts[d], starts[d] + lengths[d] + 1])
             found[d] = ((turns[lo:hi] - starts[d]).tolist(), items, self._longest(ids, int(starts[d]), pos[rows], window[rows]) if longest else [])
         return found
@@ -189,7 +191,7 @@ class Shard:
         best: dict[int, tuple[int, int, int, int]] = {}
         reach: dict[tuple[int, int], int] = {}
         for p, w in sorted(zip(pos.tolist(), window.tolist())):
-            for s in self.by_row[w]:
+            for s in self._suffixes(w).tolist():
                 item, at = int(self.item[s]), int(self.at[s])
                 if reach.get((item, p - at), -1) >= p:
                     continue
