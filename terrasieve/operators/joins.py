@@ -3,12 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys where null equals null; the left's columns, then what only the right has."""
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in on]
+    met = left.alias("_l").join(right.alias("_r"), reduce(and_, same), how) if on else left.crossJoin(F.broadcast(right))
+    return met.select("_l.*", *[f"_r.{c}" for c in right.columns if c not in on]) if on else met
+
+
 def _asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, value: str, forward: bool) -> DataFrame:
     """One shuffle on ``by``: both sides in one order, the nearest right row carried along."""
     found = F.struct(F.col(right_on).alias("on"), F.col(value).alias("value"))

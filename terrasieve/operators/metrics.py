@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import null_safe
 from .windows import ranged
 
 
@@ -39,7 +40,7 @@ def roc_curve(df: DataFrame, score: str, label: Column, by: Sequence[str] = (),
     above = sums.select(*by, "_b", *[(F.sum(c).over(down) - F.col(c)).alias(f"{c}a") for c in ("_p", "_q")], *[F.sum(c).over(w).alias(f"{c}n") for c in ("_p", "_q")])
     run = W.partitionBy(*by, "_b").orderBy(F.desc("threshold")).rowsBetween(W.unboundedPreceding, 0)
     inside = cut.withColumn("_pi", F.sum("p").over(run)).withColumn("_qi", F.sum("q").over(run))
-    whole = inside.join(above, [*by, "_b"]).withColumn("tp", F.col("_pi") + F.col("_pa")).withColumn("fp", F.col("_qi") + F.col("_qa"))
+    whole = null_safe(inside, above, [*by, "_b"]).withColumn("tp", F.col("_pi") + F.col("_pa")).withColumn("fp", F.col("_qi") + F.col("_qa"))
     return whole.select(*by, "threshold", F.try_divide(F.col("fp"), F.col("_qn")).alias("fpr"), F.try_divide(F.col("tp"), F.col("_pn")).alias("tpr"), "tp", "fp", "p", "q")
 
 

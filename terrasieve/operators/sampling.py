@@ -8,12 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import null_safe
+
 
 def md5_order(*key: str, seed: int = 0) -> Column:
     """An order that SQL engines share."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]).cast("binary"))
 
 
+def hash_rank(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: int = 0, digits: int = 3) -> DataFrame:
+    """``_r``: each row's place from 1 in the hash order of its class.
+
+    Rows are numbered inside stretches of the hash and moved by the counts of the stretches before,
+    so a class, however large, is spread over 16 ** digits groups.
+    """
+    held = df.withColumn("_h", md5_order(*key, seed=seed)).withColumn("_s", F.substring("_h", 1, digits))
+    counts = held.groupBy(*by, "_s").agg(F.count("*").alias("_n"))
+    before = counts.select(*by, "_s", (F.sum("_n").over(W.partitionBy(*by).orderBy("_s")) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*by, "_s").orderBy("_h", *key))
+    return null_safe(held.withColumn("_i", inside), before, [*by, "_s"]).withColumn("_r", F.col("_before") + F.col("_i")).drop("_h", "_s", "_i", "_before")
+
+
 def fraction(df: DataFrame, key: Sequence[str], share: float, seed: int = 0) -> DataFrame:
     """A share of keys, all rows of a kept key together; no shuffle."""
     return df.where(F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) < int(share * (1 << 30)))
@@ -21,7 +36,7 @@ def fraction(df: DataFrame, key: Sequence[str], share: float, seed: int = 0) ->
 
 def cap_per_class(df: DataFrame, by: Sequence[str], key: Sequence[str], most: int, seed: int = 0) -> DataFrame:
     """At most ``most`` rows of a class, the first in hash order."""
-    return df.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(md5_order(*key, seed=seed), *key))).where(F.col("_r") <= most).drop("_r")
+    return hash_rank(df, by, key, seed).where(F.col("_r") <= most).drop("_r")
 
 
 def balanced(df: DataFrame, label: str, key: Sequence[str], by: Sequence[str] = (), ratio: float = 1.0, seed: int = 0) -> DataFrame:
@@ -29,9 +44,7 @@ def balanced(df: DataFrame, label: str, key: Sequence[str], by: Sequence[str] =
     keys = df.select(*by, label, *key).distinct()
     sizes = keys.groupBy(*by, label).agg(F.count("*").alias("_n"))
     least = sizes.groupBy(*by).agg(F.min("_n").alias("_least"))
-    numbered = keys.withColumn("_r", F.row_number().over(W.partitionBy(*by, label).orderBy(md5_order(*key, seed=seed), *key)))
-    sized = numbered.join(sizes, [*by, label])
-    sized = sized.join(least, list(by)) if by else sized.crossJoin(F.broadcast(least))
+    sized = null_safe(null_safe(hash_rank(keys, [*by, label], key, seed), sizes, [*by, label]), least, by)  # without strata one row
     kept = sized.where((F.col("_n") == F.col("_least")) | (F.col("_r") <= F.col("_least") * ratio)).select(*by, label, *key)
     return df.join(kept, [*by, label, *key], "left_semi")
 

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import null_safe
+
 
 def ranged(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str = "_b") -> DataFrame:
     """Number of the value range of each row, from approximate quantiles of its group; null for null. Any bounds do: they only spread the work."""
     bounds = df.groupBy(*by).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 1000).alias("_q"))
-    cut = df.join(bounds, list(by)) if by else df.crossJoin(F.broadcast(bounds))  # one row
+    cut = null_safe(df, bounds, by)  # without groups one row
     return cut.withColumn(name, F.when(F.col(value).isNotNull(), F.size(F.filter(F.array_distinct("_q"), lambda q: q < F.col(value))))).drop("_q")
 
 
@@ -29,7 +31,7 @@ def percent_rank_avg(df: DataFrame, by: Sequence[str], value: str, name: str = "
     inside = W.partitionBy(*by, "_b")
     ranked = cut.withColumn("_r", F.rank().over(inside.orderBy(value))).withColumn("_p", F.count("*").over(W.partitionBy(*by, "_b", value)))
     pct = (F.col("_below") + F.col("_r") + (F.col("_p") - 1) / 2) / F.col("_all")
-    return ranked.join(below, [*by, "_b"], "left").withColumn(name, pct).drop("_b", "_r", "_p", "_below", "_all")
+    return null_safe(ranked, below, [*by, "_b"], "left").withColumn(name, pct).drop("_b", "_r", "_p", "_below", "_all")
 
 
 def decile_counts(df: DataFrame, key: Sequence[str], pct: str) -> DataFrame:

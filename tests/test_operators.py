@@ -38,6 +38,13 @@ def test_percent_rank_of_ties(spark):
     assert got == [0.625, 0.25, 0.625, None, 1.0]
 
 
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 3.0), ("a", 3, 5.0)], "g string, k int, v double")
+    assert [r.pct for r in windows.percent_rank_avg(df, ["g"], "v").orderBy("k").collect()] == [0.5, 1.0, 1.0]
+    assert sampling.cap_per_class(df, ["g"], ["k"], 1).count() == 2
+    assert metrics.roc_curve(df, "v", F.col("k") > 1, ["g"]).count() == 3
+
+
 def test_fuzzy_confusion_and_threshold(spark):
     m = metrics.fuzzy_confusion(spark.createDataFrame([(0.5, 0.7), (1.0, 0.0)], "p double, a double"), "p", "a").first()
     assert [round(m[c], 6) for c in ("tn", "fp", "fn", "tp")] == [0.3, 1.3, 0.5, 0.5]
