@@ -20,11 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from .chunks import ChunkCache
 from .common import pick, table
 
+#: Text in a batch of results.
+SLICE_BYTES = 4 << 20
+
 
 def byte_chars() -> dict[int, str]:
     """A printable character for each byte: itself where printable, else from U+0100 on."""
@@ -122,19 +126,27 @@ def encode_decode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, kee
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = PieceBPE(*shared.value)
         for batch in batches:
-            n, ids, decoded, packed, plain = [], [], [], [], []
-            for p in bpe.chunks(batch.column("text")):
-                d = bpe.decode(p)
-                n.append(len(p) // 4)
-                ids.append(hashlib.sha256(p).hexdigest())
-                decoded.append(hashlib.sha256(d).hexdigest())
-                if real:
-                    packed.append(p)
-                    plain.append(d)
-            columns = [*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+            size = np.cumsum(pc.binary_length(pc.fill_null(batch.column("text"), "")).to_numpy(zero_copy_only=False), dtype=np.int64)
+            a = 0
+            while a < batch.num_rows:  # some megabytes at a time
+                b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES)))
+                yield rows(bpe, batch.slice(a, b - a))
+                a = b
+
+    def rows(bpe: PieceBPE, batch: pa.RecordBatch) -> pa.RecordBatch:
+        n, ids, decoded, packed, plain = [], [], [], [], []
+        for p in bpe.chunks(batch.column("text")):
+            d = bpe.decode(p)
+            n.append(len(p) // 4)
+            ids.append(hashlib.sha256(p).hexdigest())
+            decoded.append(hashlib.sha256(d).hexdigest())
             if real:
-                columns += [pa.array(packed, pa.binary()), pa.array(plain, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, schema.names)
+                packed.append(p)
+                plain.append(d)
+        columns = [*[batch.column(c) for c in keep], pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())]
+        if real:
+            columns += [pa.array(packed, pa.binary()), pa.array(plain, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select(*keep, "text").mapInArrow(run, schema)
 

@@ -18,8 +18,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Texts put through at once, in bytes.
-BATCH_BYTES = 8 << 20
 #: Single characters that may end a word.
 ENDS = (".", ",")
 EMPTY, IRREGULAR = 0, -1
@@ -59,11 +57,11 @@ class Pool:
 class ChunkCache:
     """``encode_words`` maps words, each led by a space or a line end, to their ids end to end and the length of each; ``encode_text`` any text to ids.
 
-    Two generations of ``limit`` words are kept.
+    Two generations of ``limit`` words are kept, and texts of ``batch_bytes`` are put through at once.
     """
 
-    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray], limit: int = 300_000):
-        self.encode_words, self.encode_text, self.limit = encode_words, encode_text, limit
+    def __init__(self, encode_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], encode_text: Callable[[str], np.ndarray], limit: int = 150_000, batch_bytes: int = 4 << 20):
+        self.encode_words, self.encode_text, self.limit, self.batch_bytes = encode_words, encode_text, limit, batch_bytes
         self.ends = [encode_text(x) for x in ENDS]
         self.new, self.old = Pool(self.ends), Pool(self.ends)
 
@@ -73,7 +71,7 @@ class ChunkCache:
         size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64)
         a = 0
         while a < len(texts):
-            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + BATCH_BYTES)))
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + self.batch_bytes)))
             yield from self._some(texts.slice(a, b - a))
             a = b
 

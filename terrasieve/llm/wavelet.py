@@ -217,7 +217,7 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_str(tokenizer)
         self.model.encode_special_tokens = True
@@ -227,24 +227,34 @@ class Encoder:
         if level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space") and not spec.get("normalizer") and byte_chars()[13] in spec["model"]["vocab"]:
             self.chars = byte_chars()
             self.mark = spec["model"]["vocab"][self.chars[13]]
-            self.words = Tokenizer.from_str(json.dumps(spec | {"pre_tokenizer": {"type": "CharDelimiterSplit", "delimiter": "\n"}, "post_processor": None, "decoder": None, "added_tokens": []}))
-        self.encode = ChunkCache(self.encode_words, self.encode_text)
+            kept = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+            merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in spec["model"]["merges"]]
+            options = {k: spec["model"][k] for k in kept if spec["model"].get(k) is not None}
+            # words come once, so the library's own cache would only cost
+            self.words = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, cache_capacity=0, **options))
+            self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        self.encode = ChunkCache(self.encode_words, self.encode_text, limit=300_000, batch_bytes=12 << 20)
 
     def encode_text(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words end to end, and the length of each."""
-        letters = [w[1:].isalpha() for w in words] if self.words else [False] * len(words)
         lead = {" ": self.chars[32], "\n": self.chars[10] + "\n"} if self.words else {}  # a line end is a pre-token of its own
-        parts, lengths = [], np.zeros(len(words), np.int64)
-        fast, rest = np.flatnonzero(letters), np.flatnonzero(~np.array(letters, bool))
-        for a in range(0, len(fast), 4096):
-            some = [words[i] for i in fast[a : a + 4096].tolist()]
-            mapped = [lead[w[0]] + (w[1:] if w.isascii() else w[1:].encode().decode("latin-1").translate(self.chars)) for w in some]
-            ids = np.array(self.words.encode_batch_fast([f"\n{self.chars[13]}\n".join(mapped)], add_special_tokens=False)[0].ids, np.uint32)
+        letters, mapped, other = [], [], []
+        for i, w in enumerate(words):
+            x = w[1:]
+            if self.words and x.isalpha():
+                letters.append(i)
+                mapped.append(lead[w[0]] + (x if x.isascii() else x.encode().decode("latin-1").translate(self.chars)))
+            else:
+                other.append(i)
+        fast, rest, parts, lengths = np.array(letters, np.int64), np.array(other, np.int64), [], np.zeros(len(words), np.int64)
+        for a in range(0, len(fast), 16_384):
+            found = self.words.encode_batch_fast([f"\n{self.chars[13]}\n".join(mapped[a : a + 16_384])], add_special_tokens=False)[0].ids
+            ids = np.fromiter(found, np.uint32, len(found))
             ends = ids == self.mark
-            lengths[fast[a : a + 4096]] = np.diff(np.flatnonzero(ends), prepend=-1, append=len(ids)) - 1
+            lengths[fast[a : a + 16_384]] = np.diff(np.flatnonzero(ends), prepend=-1, append=len(ids)) - 1
             parts.append(ids[~ends])
         for x, i in zip(self.model.encode_batch_fast([words[i] for i in rest.tolist()], add_special_tokens=False), rest.tolist()):
             parts.append(np.array(x.ids, np.uint32))
