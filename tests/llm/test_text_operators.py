@@ -425,3 +425,47 @@ def test_patience_aligns_in_order():
         pairs = align.patience(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
     assert align.patience([1, 2, 3, 4], [9, 1, 2, 3, 4]) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+def brute_deleted(docs: list[tuple[int, str]]) -> dict[int, list[int]]:
+    """Lines of each document that stand in a block aligned with any earlier one."""
+    split = {d: t.split("\n") for d, t in docs}
+    gone = {}
+    for d, b in split.items():
+        blocks = [x for a in split if a < d for x in align.common_blocks(split[a], b, [len(x.split()) for x in b])]
+        gone[d] = sorted({i for lo, hi in blocks for i in range(lo, hi)})
+    return gone
+
+
+def kept_lines(spark, docs: list[tuple[int, str]]) -> dict[int, str]:
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    return {r.doc_id: r.text for r in align.delete_blocks(df).collect()}
+
+
+def test_op10_finds_blocks_beyond_the_first_holder(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(6)) for c in "xyz")
+    moved = [(1, f"{x}\n{y}\nfirst"), (2, f"{y}\nown\n{x}\nsecond"), (3, f"{y}\nother\n{x}")]
+    assert kept_lines(spark, moved)[3] == "other"
+    twice = [(1, f"{x}\na\n{x}\nb"), (2, f"c\n{x}\nd\n{x}\ne")]
+    assert kept_lines(spark, twice)[2] == "c\nd\ne"
+    short = [(1, "p q\nfirst"), (2, "r s\nsecond"), (3, "t u\nthird"), (4, f"{z}\np q\nr s\nt u\nlast"), (5, "own\np q\nr s\nt u\nend")]
+    assert kept_lines(spark, short)[5] == "own\nend"
+
+
+def test_op10_equals_all_pairs(spark):
+    r = random.Random(5)
+    lines = [f"w{i} {'v ' * (i % 6)}".strip() for i in range(9)] + ["", "long line number one of many words", "long line number two of many words"]
+    docs = [(d, "\n".join([f"own {d}", *r.choices(lines, k=r.randint(1, 9))][d % 2 :])) for d in range(160)]
+    gone, got = brute_deleted(docs), kept_lines(spark, docs)
+    for d, t in docs:
+        assert got[d] == "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]), d
+
+
+def test_longest_common_subsequence():
+    for _ in range(200):
+        a, b = (R.choices(range(3), k=R.randint(0, 30)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, j in ((i, j) for i in range(len(a)) for j in range(len(b))):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        pairs = align.longest_common(a, b)
+        assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
