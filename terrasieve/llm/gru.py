@@ -8,8 +8,8 @@ truncated backpropagation in every task over its part of a round's rows, after
 which parameters are averaged by the tokens seen. Scoring carries the state through
 a whole document, however long, so the result is the log-likelihood of all of it.
 
-The rounds visit a fixed share of the training rows, chosen by a hash of the id, so
-the work grows with the input; the counts are over all of them. Words beyond the
+The rounds visit every training row once, dealt to them by a hash of the id, so the
+work grows with the input; the counts are over all of them. Words beyond the
 broadcast vocabulary are joined to their counts, so nothing that is broadcast grows
 with the data.
 
@@ -44,8 +44,8 @@ BROADCAST_WORDS = 200_000
 HIDDEN, EMBEDDING = 24, 16
 #: Steps of truncated backpropagation, documents side by side.
 STEPS, SIDE = 16, 128
-#: Training rows are dealt in PARTS by hash; round r takes part r.
-ROUNDS, PARTS = 3, 24
+#: Training rows are dealt in PARTS by hash; round r takes part r, so with as many rounds each row is visited once.
+ROUNDS = PARTS = 3
 RATE = 0.01
 #: Parameters to a row while they are averaged, and tasks averaged before all are.
 SLICE, FAN = 1 << 12, 64

@@ -469,3 +469,15 @@ def test_longest_common_subsequence():
             best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
         pairs = align.longest_common(a, b)
         assert len(pairs) == best[-1][-1] and all(a[i] == b[j] for i, j in pairs) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+
+
+def test_gru_learns_from_rows_of_every_part(spark):
+    rows = spark.range(400).selectExpr("id AS doc_id", "'the same few words again' AS text").where("pmod(xxhash64(doc_id), 24) >= 3")
+    each = [r.doc_id for r in rows.selectExpr("pmod(xxhash64(doc_id), 24) AS part", "doc_id").groupBy("part").agg({"doc_id": "min"}).toDF("part", "doc_id").collect()]
+    v = gru.Vocabulary.of(gru.count_words(rows.select("text")), 128)
+    start = gru.GRU(128)
+    start.start_at_counts(v)
+    assert len(each) == 21 and gru.ROUNDS == gru.PARTS
+    assert not np.array_equal(gru.train(rows, v, frequent=128).flat(), start.flat())
+    one = spark.createDataFrame([(each[0], "the same few words again")], "doc_id long, text string")
+    assert not np.array_equal(gru.train(one, v, frequent=128).flat(), start.flat())
