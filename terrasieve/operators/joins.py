@@ -54,17 +54,36 @@ def interval_join(left: DataFrame, right: DataFrame, by: Sequence[str], day: str
     return a.join(b, [*by, "_cell"]).where(F.col(day).between(F.col(first), F.col(last))).drop("_cell")
 
 
-def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, day: str, k: int = 4, reach: int = 64) -> DataFrame:
-    """The k right rows nearest in days to each left row, no further than ``reach`` days; the earlier of ties. ``n`` numbers them in order of day.
+def nearest(left: DataFrame, right: DataFrame, by: Sequence[str], at: str, day: str, k: int = 4, reach: int | None = None, width: int = 32) -> DataFrame:
+    """The k right rows nearest in days to each left row, at most ``reach`` days away if given; the earlier of ties. ``n`` numbers them in order of day.
 
-    The right side is one array of days a key, so a left row meets one row and no pairs are shuffled.
+    Each left row gives k rows; those beyond what is found are null. Of a key's day k rows count, so a
+    cell of ``width`` days holds a bounded array. A left row meets that of its cell, the last k rows
+    before and the first k after; these are carried over the key's cells, of which the calendar bounds the count.
     """
     others = [c for c in right.columns if c not in by and c != day]
-    held = right.groupBy(*by).agg(F.collect_list(F.struct(day, *others)).alias("_r"))
-    near = F.filter("_r", lambda r: F.abs(F.datediff(r[day], F.col(at))) <= reach)
-    ranked = F.array_sort(F.transform(near, lambda r: F.struct(F.abs(F.datediff(r[day], F.col(at))).alias("gap"), r.alias("r"))))
+    cell = lambda d: F.floor(F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) / width)
+    of_day = W.partitionBy(*by, day).orderBy(*others or [day])
+    few = right.where(F.col(day).isNotNull()).withColumn("_k", F.row_number().over(of_day)).where(F.col("_k") <= k)
+    held = few.groupBy(*by, cell(day).alias("_cell")).agg(F.array_sort(F.collect_list(F.struct(day, *others))).alias("_own"))
+    w = W.partitionBy(*by).orderBy("_cell")
+    some = lambda lo, hi: F.flatten(F.collect_list("_own").over(w.rowsBetween(lo, hi)))
+    held = held.withColumn("_upto", some(1 - k, 0)).withColumn("_onward", F.slice(some(0, k - 1), 1, k))
+    latest = F.array_sort(F.transform("_upto", lambda r: F.struct((-F.unix_date(r[day])).alias("ago"), r.alias("r"))))  # of a day the least rows first
+    held = held.withColumn("_upto", F.transform(F.slice(latest, 1, k), lambda x: x["r"]))
+    asked = left.select(*by, cell(at).alias("_cell")).distinct()
+    cells = held.unionByName(asked, allowMissingColumns=True).groupBy(*by, "_cell").agg(*[F.first(c, ignorenulls=True).alias(c) for c in ("_own", "_upto", "_onward")])
+    before = F.last("_upto", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    after = F.first("_onward", ignorenulls=True).over(w.rowsBetween(1, W.unboundedFollowing))
+    none = F.array().cast(cells.schema["_own"].dataType)
+    cells = cells.select(*by, "_cell", F.concat(*[F.coalesce(x, none) for x in (before, F.col("_own"), after)]).alias("_r"))
+    gap = lambda r: F.abs(F.datediff(r[day], F.col(at)))
+    met = left.withColumn("_cell", cell(at)).join(cells, [*by, "_cell"], "left").withColumn("_r", F.when(F.col(at).isNotNull(), F.col("_r")))
+    near = F.coalesce(F.col("_r") if reach is None else F.filter("_r", lambda r: gap(r) <= reach), none)
+    ranked = F.array_sort(F.transform(near, lambda r: F.struct(gap(r).alias("gap"), r.alias("r"))))
     first = F.array_sort(F.transform(F.slice(ranked, 1, k), lambda x: x["r"]))
-    found = left.join(held, list(by)).select(*left.columns, F.posexplode(first).alias("n", "_x"))
+    padded = F.slice(F.concat(first, F.array_repeat(F.lit(None).cast(cells.schema["_r"].dataType.elementType), k)), 1, k)
+    found = met.select(*left.columns, F.posexplode(padded).alias("n", "_x"))
     return found.select(*left.columns, (F.col("n") + 1).alias("n"), *[F.col(f"_x.{c}").alias(c) for c in (day, *others)])
 
 

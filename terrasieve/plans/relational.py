@@ -103,7 +103,7 @@ def interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {DAYS}, {PLANTED}, j AS (SELECT plot, d.day, d.v, row_number() OVER (PARTITION BY plot ORDER BY abs(d.day - plant), d.day) AS k FROM planted JOIN days d USING (pixel)),
 k AS (SELECT *, row_number() OVER (PARTITION BY plot ORDER BY day) AS n FROM j WHERE k <= 4) SELECT plot, n, strftime(day, '%Y-%m-%d') AS day, v FROM k""")
 def nearest_four(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = J.nearest(planted(spark, sf_dir), days(spark, sf_dir), ["pixel"], "plant", "day")
+    d = J.nearest(planted(spark, sf_dir), days(spark, sf_dir), ["pixel"], "plant", "day").where("day is not null")  # the SQL doesn't pad
     return d.select("plot", F.col("n").cast("long").alias("n"), F.col("day").cast("string").alias("day"), "v")
 
 

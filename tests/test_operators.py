@@ -194,3 +194,21 @@ def test_geotiff_round_trip(spark, tmp_path):
     assert geotiff.header(tile).transform == (600_000.0 + 64 * 30, 30.0, 0.0, 1_500_000.0 - 128 * 30, 0.0, -30.0)
     [(band, r, c, v)] = list(geotiff.blocks(tile))
     assert (band, r, c) == (1, 0, 0) and (v[: 150 - 128, : 70 - 64] == x[128:, 64:]).all() and (v[22:] == -9999).all()
+
+
+def test_nearest_has_no_reach_and_pads(spark):
+    import random
+    from datetime import date, timedelta
+
+    r, day = random.Random(3), lambda n: date(2000, 1, 1) + timedelta(n)
+    right = [(k, day(r.choice([r.randint(0, 3000), 1500])), r.randint(0, 50)) for k in range(5) for _ in range((0, 2, 9, 40, 300)[k])]
+    left = [(i, r.randint(-1, 4), day(r.randint(-500, 3500))) for i in range(60)] + [(60, 4, None), (61, None, day(9))]
+    a, b = spark.createDataFrame(left, "i int, p int, at date"), spark.createDataFrame(right, "p int, day date, v int")
+    for reach in (None, 64):
+        want = []
+        for i, p, at in left:
+            near = sorted((abs((d - at).days), d, v) for q, d, v in right if q == p and at) if at else []
+            best = sorted(x[1:] for x in [x for x in near if reach is None or x[0] <= reach][:4])
+            want += [(i, n + 1, *x) for n, x in enumerate([*best, *[(None, None)] * 4][:4])]
+        got = [(x.i, x.n, x.day, x.v) for x in joins.nearest(a, b, ["p"], "at", "day", reach=reach).collect()]
+        assert sorted(got, key=repr) == sorted(want, key=repr)
