@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -220,8 +221,8 @@ class Encoder:
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self.model = Tokenizer.from_str(tokenizer)
-        self.model.encode_special_tokens = True
         spec = json.loads(tokenizer)
+        self.added = [x["content"] for x in spec.get("added_tokens") or []]
         level = spec.get("pre_tokenizer") or {}
         self.words = None
         if level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level.get("add_prefix_space") and not spec.get("normalizer") and byte_chars()[13] in spec["model"]["vocab"]:
@@ -233,7 +234,17 @@ class Encoder:
             # words come once, so the library's own cache would only cost
             self.words = Tokenizer(models.BPE(vocab=spec["model"]["vocab"], merges=merges, cache_capacity=0, **options))
             self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
-        self.encode = ChunkCache(self.encode_words, self.encode_text, limit=300_000, batch_bytes=12 << 20)
+        self.cache = ChunkCache(self.encode_words, self.encode_text, limit=300_000, batch_bytes=12 << 20)
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """Packed ids of each text; those with an added token's text, which the library cuts first, are encoded whole."""
+        texts = pc.fill_null(texts, "")
+        whole = np.zeros(len(texts), bool)
+        for x in self.added:
+            whole |= pc.match_substring(texts, x).to_numpy(zero_copy_only=False)
+        plain = self.cache(pc.if_else(pa.array(whole), "", texts) if whole.any() else texts)
+        for i, packed in enumerate(plain):
+            yield self.encode_text(texts[i].as_py()).astype("<u4").tobytes() if whole[i] else packed
 
     def encode_text(self, text: str) -> np.ndarray:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from terrasieve.llm import align, bpe, gru, jump, mixture, mpeg, phrases, registry, simhash, suffixes, wavelet
@@ -481,3 +482,12 @@ def test_gru_learns_from_rows_of_every_part(spark):
     assert not np.array_equal(gru.train(rows, v, frequent=128).flat(), start.flat())
     one = spark.createDataFrame([(each[0], "the same few words again")], "doc_id long, text string")
     assert not np.array_equal(gru.train(one, v, frequent=128).flat(), start.flat())
+
+
+def test_op6_takes_added_tokens_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    spec = open(P.path("byte_bpe_50k.json")).read()
+    model, texts = Tokenizer.from_str(spec), ["one <|endoftext|> two", "a<|endoftext|>b  <|endoftext|>", None, "none of them", "<|endoftext|>"]
+    want = [np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(wavelet.Encoder(spec).encode(pa.array(texts))) == want
