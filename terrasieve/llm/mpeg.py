@@ -173,23 +173,26 @@ def read_mpeg(data: bytes) -> Stream:
     """Parses tags, Xing table and frames; finds the next frame again after bytes that are none."""
     out, at, synced = Stream(), 0, True
     end = len(data)
-    if end >= 128 and data[-128:-125] == b"TAG":  # ID3v1
-        end -= 128
-        for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
-            out.tags.setdefault(name, data[end + a : end + b].split(b"\0")[0].decode("latin-1").strip())
+    tag = end - 128 if end >= 128 and data[-128:-125] == b"TAG" else end  # ID3v1, unless a frame goes over its start
     parts = []
     while at < end:
+        if at == tag:
+            for name, a, b in (("TIT2", 3, 33), ("TPE1", 33, 63), ("TALB", 63, 93)):
+                out.tags.setdefault(name, data[at + a : at + b].split(b"\0")[0].decode("latin-1").strip())
+            break
         if data[at : at + 3] == b"ID3" and at + 10 <= end:
             at = _id3v2(data, at, out)
             continue
         head = parse_header(data[at : at + 4])
         nxt = at + head.size if head else 0
-        if not head or nxt > end or not synced and nxt < end and not parse_header(data[nxt : nxt + 4]):
+        over = at < tag < nxt < end and not parse_header(data[nxt : nxt + 4])  # cut short by the tag
+        if not head or nxt > end or over or not synced and nxt < end and nxt != tag and not parse_header(data[nxt : nxt + 4]):
             out.resyncs += synced
             synced = False
-            found = data.find(b"\xff", at + 1, end)
-            out.skipped += (found if found >= 0 else end) - at
-            at = found if found >= 0 else end
+            stop = tag if at < tag else end
+            found = data.find(b"\xff", at + 1, stop)
+            out.skipped += (found if found >= 0 else stop) - at
+            at = found if found >= 0 else stop
             continue
         synced = True
         start = at + 4 + 2 * head.crc

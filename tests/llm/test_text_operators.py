@@ -491,3 +491,20 @@ def test_op6_takes_added_tokens_as_the_library_does():
     model, texts = Tokenizer.from_str(spec), ["one <|endoftext|> two", "a<|endoftext|>b  <|endoftext|>", None, "none of them", "<|endoftext|>"]
     want = [np.array(model.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert list(wavelet.Encoder(spec).encode(pa.array(texts))) == want
+
+
+def test_mpeg_takes_no_tag_from_inside_a_frame():
+    for n in (128, 640, 5000):
+        p = bytearray(R.randbytes(n))
+        data = mpeg.write_mpeg(bytes(p))
+        at = len(data) - 128 - data.index(bytes(p[-60:])) + n - 60
+        at = at if 0 <= at <= n - 3 else n - 3
+        p[at : at + 3] = b"TAG"
+        data = mpeg.write_mpeg(bytes(p))
+        s = mpeg.read_mpeg(data)
+        assert s.payload == bytes(p) and "TALB" not in s.tags and s.skipped == 0, n
+    tagged = mpeg.read_mpeg(data[:-30] + b"TAG" + b"Title".ljust(125, b"\0"))  # the last frame is cut short by a tag
+    assert tagged.tags["TIT2"] == "Title" and len(tagged.offsets) == len(s.offsets) - 1
+    text = (b"x" * 29 + b"TAG").ljust(100, b"x")
+    p = mpeg.padded(text)
+    assert mpeg.write_mpeg(p)[-128:-125] == b"TAG" and mpeg.read_mpeg(mpeg.write_mpeg(p)).payload == p
