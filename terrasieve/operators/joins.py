@@ -18,18 +18,27 @@ def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "
     return met.select("_l.*", *[f"_r.{c}" for c in right.columns if c not in on]) if on else met
 
 
-def _asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, value: str, forward: bool) -> DataFrame:
-    """One shuffle on ``by``: both sides in one order, the nearest right row carried along."""
+def _asof(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, value: str, forward: bool, width: int = 32) -> DataFrame:
+    """Both sides in one order inside cells of ``width`` days of a key, the nearest right row carried along.
+
+    The frame only ever grows, so a cell is one pass; a key of many rows is spread over its cells,
+    and what the cells before hold is carried over as one row a cell, of which the calendar bounds the count.
+    """
+    cell = lambda c: F.floor(F.unix_date(F.col(c).cast("date")) / width)
     found = F.struct(F.col(right_on).alias("on"), F.col(value).alias("value"))
-    a = left.select(*by, F.col(left_on).alias("_at"), F.lit(1 if forward else 2).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(right.select(found.alias("f")).schema["f"].dataType).alias("_found"))
-    b = right.groupBy(*by, right_on).agg(F.min(value).alias(value)).select(*by, F.col(right_on).alias("_at"), F.lit(2 if forward else 1).alias("_side"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), found.alias("_found"))
-    w = W.partitionBy(*by).orderBy("_at", "_side")
-    if forward:
-        picked = F.first("_found", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    else:
-        picked = F.last("_found", ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    both = a.unionByName(b).withColumn("_picked", picked).where("_row is not null")
-    return both.select("_row.*", F.col("_picked.on").alias(f"asof_{right_on}"), F.col("_picked.value").alias(f"asof_{value}"))
+    known = right.where(F.col(right_on).isNotNull()).groupBy(*by, right_on).agg(F.min(value).alias(value)).select(*by, F.col(right_on).alias("_at"), cell(right_on).alias("_cell"), F.lit(1).alias("_side"), found.alias("_found"))
+    asked = left.select(*by, F.col(left_on).alias("_at"), cell(left_on).alias("_cell"), F.lit(2).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"))
+    order = lambda c: F.desc(c) if forward else F.asc(c)
+    w = W.partitionBy(*by, "_cell").orderBy(order("_at"), "_side").rowsBetween(W.unboundedPreceding, 0)
+    both = asked.unionByName(known, allowMissingColumns=True).withColumn("_picked", F.last("_found", ignorenulls=True).over(w)).where("_row is not null and _at is not null")
+    far = F.min("_found") if forward else F.max("_found")  # of a cell, the one nearest to the cells beyond it
+    held = known.groupBy(*by, "_cell").agg(far.alias("_far"))
+    cells = held.unionByName(asked.where("_at is not null").select(*by, "_cell").distinct(), allowMissingColumns=True).groupBy(*by, "_cell").agg(F.max("_far").alias("_far"))
+    over = W.partitionBy(*by).orderBy(order("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    carried = cells.select(*by, "_cell", F.last("_far", ignorenulls=True).over(over).alias("_carried")).where("_carried is not null")
+    got = null_safe(both, carried, [*by, "_cell"], "left").select("_row.*", F.coalesce("_picked", "_carried").alias("_p"))
+    without = left.where(F.col(left_on).isNull()).withColumn("_p", F.lit(None).cast(known.schema["_found"].dataType))
+    return got.unionByName(without).select(*left.columns, F.col("_p.on").alias(f"asof_{right_on}"), F.col("_p.value").alias(f"asof_{value}"))
 
 
 def asof_forward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, value: str) -> DataFrame:

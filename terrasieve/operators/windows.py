@@ -21,17 +21,19 @@ def ranged(df: DataFrame, by: Sequence[str], value: str, buckets: int, name: str
 def percent_rank_avg(df: DataFrame, by: Sequence[str], value: str, name: str = "pct", buckets: int = 32) -> DataFrame:
     """Rank with averaged ties over the count of known values; null for null.
 
-    A group is cut in value ranges, ranked inside each and moved by the count of the ranges
-    below, so the ranks are exact and no group needs a task of its own.
+    Rows are counted by value before anything is ordered, so a value that a third of the rows
+    have is one row. The counted values of a group are cut in ranges, summed inside each and moved
+    by the count of the ranges below: the ranks are exact and no group needs a task of its own.
     """
-    cut = ranged(df, by, value, buckets)
-    counts = cut.where("_b is not null").groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    cut = ranged(counted, by, value, buckets)
+    sums = cut.groupBy(*by, "_b").agg(F.sum("_n").alias("_s"))
     w = W.partitionBy(*by)
-    below = counts.select(*by, "_b", (F.sum("_n").over(w.orderBy("_b")) - F.col("_n")).alias("_below"), F.sum("_n").over(w).alias("_all"))
-    inside = W.partitionBy(*by, "_b")
-    ranked = cut.withColumn("_r", F.rank().over(inside.orderBy(value))).withColumn("_p", F.count("*").over(W.partitionBy(*by, "_b", value)))
-    pct = (F.col("_below") + F.col("_r") + (F.col("_p") - 1) / 2) / F.col("_all")
-    return null_safe(ranked, below, [*by, "_b"], "left").withColumn(name, pct).drop("_b", "_r", "_p", "_below", "_all")
+    below = sums.select(*by, "_b", (F.sum("_s").over(w.orderBy("_b")) - F.col("_s")).alias("_below"), F.sum("_s").over(w).alias("_all"))
+    inside = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, 0)
+    ranked = null_safe(cut.withColumn("_upto", F.sum("_n").over(inside)), below, [*by, "_b"])
+    pct = (F.col("_below") + F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_all")
+    return null_safe(df, ranked.select(*by, value, pct.alias(name)), [*by, value], "left")
 
 
 def decile_counts(df: DataFrame, key: Sequence[str], pct: str) -> DataFrame:

@@ -70,19 +70,19 @@ def percentile_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.to_series(ranked, ["pixel"], "t", "pct", 30).select("pixel", S.longest_run(S.under("ts", 0.2)).cast("long").alias("run"))
 
 
-@query(f"""WITH {DB}, {PLANTED}, a AS (SELECT plot AS act, pixel, CAST(date_diff('day', DATE '2024-01-01', plant) AS INTEGER) AS at_t FROM planted WHERE plot % 7 = 0)
+@query(f"""WITH {DB}, {PLANTED}, a AS (SELECT plot AS act, pixel, CAST(date_diff('day', DATE '2024-01-01', plant) AS INTEGER) AS at_t FROM planted)
 SELECT act, round(coalesce(max(x) FILTER (t = at_t - 2), 0) + 1e-9, 4) AS w0, round(coalesce(max(x) FILTER (t = at_t), 0) + 1e-9, 4) AS w2, round(coalesce(max(x) FILTER (t = at_t + 1), 0) + 1e-9, 4) AS w3 FROM a LEFT JOIN db ON db.pixel = a.pixel GROUP BY act""")
 def attach_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = planted(spark, sf_dir).where("plot % 7 = 0").select(F.col("plot").alias("act"), "pixel", F.datediff("plant", F.lit("2024-01-01")).alias("t"))
+    a = planted(spark, sf_dir).select(F.col("plot").alias("act"), "pixel", F.datediff("plant", F.lit("2024-01-01")).alias("t"))
     w = T.window_at(decibel(spark, sf_dir).select("pixel", "ts"), a, ["pixel"], "t")
     return w.select("act", *[r4(F.col("window")[i], f"w{i}") for i in (0, 2, 3)])
 
 
-@query(f"""WITH {DAYS}, {PLANTED}, d AS (SELECT plot, date_diff('day', plant, day) AS d, v FROM planted JOIN days USING (pixel) WHERE plot % 50 = 0 AND day >= plant),
+@query(f"""WITH {DAYS}, {PLANTED}, d AS (SELECT plot, date_diff('day', plant, day) AS d, v FROM planted JOIN days USING (pixel) WHERE day >= plant),
 o AS (SELECT plot, min(d) % 7 AS o FROM d GROUP BY 1), i AS (SELECT plot, CAST(round_even((d - o) / 7, 0) AS INTEGER) AS i, v FROM d JOIN o USING (plot))
 SELECT plot, i, round(avg(v) + 1e-9, 4) AS v FROM i WHERE i BETWEEN 0 AND 4 GROUP BY 1, 2""")
 def day_index_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = planted(spark, sf_dir).where("plot % 50 = 0").join(days(spark, sf_dir), "pixel")
+    p = planted(spark, sf_dir).join(days(spark, sf_dir), "pixel")
     s = T.by_day_index(p, ["plot"], "day", "plant", "v", 7, 5).select("plot", F.posexplode("ts").alias("i", "v"))
     return s.where("v is not null").select("plot", "i", r4("v", "v"))
 
@@ -112,10 +112,10 @@ def hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.cap_per_class(d, ["bucket"], ["l_orderkey"], 20, seed=5)
 
 
-@query(f"""WITH {DAYS}, {PLANTED}, r AS (SELECT plot, pixel, plant FROM planted WHERE plot % 20 = 0), j AS (SELECT plot, max(CAST(v > 120 AS INTEGER)) AS any_flood FROM r JOIN days USING (pixel) WHERE abs(day - plant) <= 3 GROUP BY 1)
+@query(f"""WITH {DAYS}, {PLANTED}, r AS (SELECT plot, pixel, plant FROM planted), j AS (SELECT plot, max(CAST(v > 120 AS INTEGER)) AS any_flood FROM r JOIN days USING (pixel) WHERE abs(day - plant) <= 3 GROUP BY 1)
 SELECT plot % 100 AS district, count(*) AS n, round(avg(any_flood) + 1e-9, 4) AS ratio FROM j GROUP BY 1""")
 def predicted_loss_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    reports = planted(spark, sf_dir).where("plot % 20 = 0").select("plot", "pixel", F.col("plant").alias("at"))
+    reports = planted(spark, sf_dir).select("plot", "pixel", F.col("plant").alias("at"))
     maps = days(spark, sf_dir).select("pixel", "day", (F.col("v") > 120).alias("flag"))
     found = T.any_flood_near(reports, maps, ["pixel"], "at", "day", "flag", 3)
     return found.groupBy((F.col("plot") % 100).alias("district")).agg(F.count("*").alias("n"), r4(F.avg("any_flood"), "ratio"))

@@ -65,9 +65,9 @@ def runs(flag: str, source: str, by: str = "pixel") -> str:
 len AS (SELECT {by}, th, isle, count(*) AS n FROM isl GROUP BY ALL), longest AS (SELECT {by}, th, max(n) AS run FROM len GROUP BY ALL)"""
 
 
-@query(f"WITH {GRID} SELECT pixel, t, round(v + 1e-10, 6) AS v FROM g WHERE pixel % 3 = 0")
+@query(f"WITH {GRID} SELECT pixel, t, round(v + 1e-10, 6) AS v FROM g")
 def grid_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = power(spark, sf_dir).where("pixel % 3 = 0")
+    p = power(spark, sf_dir)
     return p.select("pixel", F.posexplode("ts").alias("t", "v")).select("pixel", F.col("t").cast("long").alias("t"), F.round(F.col("v") + 1e-10, 6).alias("v"))
 
 
