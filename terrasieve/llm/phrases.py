@@ -1,22 +1,31 @@
-"""Removal of repeated passages by parsing texts into phrases, for text that repeats much.
+"""Removal of repeated passages by prefix-free parsing, for text that repeats much.
 
 A rolling hash sets triggers: positions whose hash is the least of a stretch of
-starts. Text between triggers is a phrase, and every passage of ``length`` bytes
-belongs to the first least position inside it, so equal passages belong to equal
-triggers at equal distance. A phrase with what follows it to the depth of one
-passage is an entry of the dictionary; the parse says where each entry occurs.
-Passages are the suffixes of a phrase followed by the parse. They need equality
-classes to depth ``length`` only, so instead of a total order the suffixes are
-dealt in classes by digests: first whole phrases, then, where entries that begin
-alike differ, blocks of ``GRAINS[1]`` suffixes, and last single suffixes. Entries
-that occur once or are settled as a whole go no further.
-
-A class is told by 128 bits of digests together. Nothing is held for a group:
-counts are aggregated before they are shuffled, and results are joined back.
+starts. A passage of ``length`` bytes belongs to the first least position among its
+first starts, so equal passages have equal triggers at equal distance, and what is
+before the trigger and what follows it can be ordered apart:
+
+* The dictionary holds every phrase that ends at a trigger once, in the order of its
+  bytes read back from there. Phrases that share a suffix stand together, and the
+  lengths that neighbours share say which suffixes are classes of their own: this is
+  the suffix array of the dictionary, all suffix lengths with the same phrases at a time.
+* The parse says what follows each occurrence of a phrase; its suffixes are sorted to
+  the depth of a passage.
+* Combined, a class of the dictionary with its suffixes of the parse in order is a
+  stretch of the corpus order. A passage occurs again if and only if it is as long as
+  what its place shares with one of its two neighbours there.
+
+Occurrences whose first bytes after the trigger occur once can't repeat, and those that
+agree in all their context repeat as a whole; both are settled by counting digests
+(128 bits) and are not ordered. Everything that is ordered is compared by bytes. Sorts
+are by range over keys that no two rows share, so no class or phrase has to fit in a task;
+what neighbouring ranges have in common is passed on as one or two rows a range.
 
 Defined results: a null text is empty; texts shorter than ``length`` keep all bytes;
-passages never cross documents but may repeat in one; rows with the same doc_id and
-text count as two occurrences; extra columns are ignored.
+passages never cross documents but may repeat in one; very long texts are cut in slices
+of ``SLICE`` starts while they are parsed, without effect on the result; rows with the same
+doc_id and text count as two occurrences; ties (equal passages) all go; an empty table gives
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +44,6 @@ from .common import pick, stored, table, texts_of
 #: Bytes under the rolling hash, and starts in the stretch of which a trigger is the least.
 GRAM = 8
 STRETCH = 300
-#: Suffixes in an entry: all of a phrase, then blocks, then one.
-GRAINS = (STRETCH, 16, 1)
 #: Starts handled at once; positions in a slice take 24 bits.
 SLICE = 1 << 23
 
@@ -85,61 +93,229 @@ def parse(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "core long, ctx long, doc_id long, t long, start long, size int, lead int")
 
 
-def smaller(entries: DataFrame, docs: DataFrame, length: int, grain: int) -> DataFrame:
-    """Each entry cut in blocks of ``grain`` suffixes, read at one of its places. up_core, up_ctx and off say where a block belongs."""
-    from xxhash import xxh3_64_intdigest as digest
-
-    def cut(x: bytes, start: int, size: int, lead: int) -> Iterator[tuple[int, int, int, int, int]]:
-        m, off = start + lead, 0
-        while off < size:
-            near = m - (m - start - off) // grain * grain  # the last start of the block, by distance to the trigger
-            end = min(size, near - start + 1)
-            if grain == 1:
-                passage = x[near : near + length]
-                yield digest(passage), digest(passage, 1), off, end, m - start - off
-            else:
-                yield digest(x[near : near - grain + 1 + length]), digest(x[start + off : start + end + length - 1]), off, end, m - start - off
-            off = end
+def read_entries(entries: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Each distinct entry with its bytes, read at one of its places: ``left`` before the trigger, turned round, ``right`` from it on; passages begin ``low`` bytes before it or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            ids, ts = batch.column("doc_id").to_pylist(), batch.column("t").to_pylist()
-            for x, doc_id, t, entries in zip(texts_of(batch), ids, ts, batch.column("entries")):
-                for e in entries.as_py():
-                    for core, ctx, off, end, lead in cut(x, e["start"], e["size"], e["lead"]):
-                        rows.append((core, ctx, e["core"], e["ctx"], off, doc_id, t, e["start"] + off, end - off, lead, e["n"]))
-            cols = list(zip(*rows)) or [()] * len(names)
-            longs = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in cols[:2]]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([*longs, *[pa.array(v, k) for v, k in zip(cols[2:], kinds)]], names)
-
-    names = ["core", "ctx", "up_core", "up_ctx", "off", "doc_id", "t", "start", "size", "lead", "n"]
-    per_text = entries.groupBy("place.doc_id", "place.t").agg(F.collect_list(F.struct("core", "ctx", "place.start", "place.size", "place.lead", "n")).alias("entries"))
+            core, ctx, low, left, right = [], [], [], [], []
+            for x, found in zip(texts_of(batch), batch.column("entries")):
+                for e in found.as_py():
+                    m, after = e["start"] + e["lead"], length - e["lead"] + e["size"] - 1
+                    core.append(e["core"])
+                    ctx.append(e["ctx"])
+                    low.append(e["lead"] - e["size"] + 1)
+                    left.append(x[e["start"] : m][::-1])
+                    right.append(x[m : m + after])
+                    if len(core) == 1 << 14:
+                        yield rows(core, ctx, low, left, right)
+                        core, ctx, low, left, right = [], [], [], [], []
+            yield rows(core, ctx, low, left, right)
+
+    def rows(core: list, ctx: list, low: list, left: list, right: list) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip((core, ctx, low, left, right), kinds)], ["core", "ctx", "low", "left", "right"])
+
+    per_text = entries.groupBy("place.doc_id", "place.t").agg(F.collect_list(F.struct("core", "ctx", "place.start", "place.size", "place.lead")).alias("entries"))
     on = F.col("d.t").eqNullSafe(F.col("p.t")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
-    read = docs.alias("d").join(per_text.alias("p"), on).select("d.doc_id", "d.t", "d.text", "p.entries")
-    return read.mapInArrow(run, "core long, ctx long, up_core long, up_ctx long, off int, doc_id long, t long, start long, size int, lead int, n long")
+    places = docs.alias("d").join(per_text.alias("p"), on).select("d.text", "p.entries")
+    return places.mapInArrow(run, "core long, ctx long, low int, left binary, right binary")
+
+
+def common(x: pa.Array) -> np.ndarray:
+    """How many bytes each row begins with as the row before does; the first row's count is 0."""
+    raw, ends = np.frombuffer(x.buffers()[2] or b"", np.uint8), np.frombuffer(x.buffers()[1], np.int32)[x.offset : x.offset + len(x) + 1].astype(np.int64)
+    sizes = np.diff(ends)
+    both = np.minimum(sizes[1:], sizes[:-1])
+    out, live, at = np.zeros(len(x), np.int32), np.arange(1, len(x)), 0
+    width = 16
+    while len(live):  # a stretch of bytes at a time, of the rows that agree so far
+        step = np.arange(at, at + width)
+        a, b = (np.minimum(ends[live - k][:, None] + step, max(0, len(raw) - 1)) for k in (0, 1))
+        differ = (raw[a] != raw[b]) | (step >= both[live - 1][:, None])
+        found = differ.any(1)
+        out[live[found]] = at + differ[found].argmax(1)
+        live, at, width = live[~found], at + width, 64
+    return out
+
+
+def depths(shared: list[int]) -> list[list[int]]:
+    """Of each row the lengths it shares with any row before it in order, given those shared with the row just before (-1: another group)."""
+    out, stack = [], []
+    for c in shared:
+        while stack and stack[-1] > c:
+            stack.pop()
+        if c >= 0 and (not stack or stack[-1] < c):
+            stack.append(c)
+        out.append(stack[:])
+    return out
+
+
+def ordered(n: int, df: DataFrame, *keys: str) -> DataFrame:
+    return df.repartitionByRange(max(n, 1), *keys).sortWithinPartitions(*keys)
+
+
+def ranges_for(df: DataFrame) -> int:
+    """Ranges of a sort: as many as the session's shuffles have, more where a range would have over 100,000 rows."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // 100_000))
+
+
+def dictionary_order(phrases: DataFrame) -> DataFrame:
+    """(core, left, n) with all different, to these and ``shared``: the lengths of the suffixes that a phrase has in common with any other of its core."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        if not (held := [b for b in batches if b.num_rows]):
+            return
+        t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        core, lens = t.column("core").to_numpy(), np.diff(np.frombuffer(t.column("left").buffers()[1], np.int32)[t.column("left").offset :][: len(t) + 1])
+        lcp = common(t.column("left"))
+        lcp[1:][core[1:] != core[:-1]] = -1
+        lcp[0] = -1
+        back = np.append(lcp[1:], -1)
+        with_last = np.minimum.accumulate(np.append(back[:-1], lens[-1])[::-1])[::-1]
+        with_first = np.minimum.accumulate(np.concatenate([lens[:1], lcp[1:]]))
+        before, after = depths(lcp.tolist()), depths(back[::-1].tolist())[::-1]
+        shared = pa.array([sorted({*a, *b}) for a, b in zip(before, after)], pa.list_(pa.int32()))
+        pid = pa.array(np.full(len(t), TaskContext.get().partitionId(), np.int32))
+        yield pa.RecordBatch.from_arrays([*t.columns, shared, pid, pa.array(with_first.astype(np.int32)), pa.array(with_last.astype(np.int32))], ["core", "left", "n", "shared", "pid", "with_first", "with_last"])
+
+    sorted_ = ordered(ranges_for(phrases), phrases.select("core", "left", "n"), "core", "left")
+    done = stored(sorted_.mapInArrow(run, "core long, left binary, n long, shared array<int>, pid int, with_first int, with_last int"), "dictionary")
+    end = F.struct("core", "left")
+    seen = lambda c: F.collect_set(F.when(F.col(c) >= 0, F.col(c)))
+    ends = done.groupBy("pid").agg(F.min(end).alias("first"), F.max(end).alias("last"), seen("with_first").alias("of_first"), seen("with_last").alias("of_last"))
+    across = across_ranges(sorted((r.asDict(recursive=True) for r in ends.collect()), key=lambda r: r["pid"]))  # a row a range
+    more = done.sparkSession.createDataFrame(across, "pid int, before array<int>, after array<int>")
+    every = F.concat("shared", F.filter("before", lambda v: v <= F.col("with_first")), F.filter("after", lambda v: v <= F.col("with_last")))
+    return done.join(F.broadcast(more), "pid").select("core", "left", "n", F.array_sort(F.array_distinct(every)).alias("shared"))
 
 
-def repeated(pieces: DataFrame, docs: DataFrame, length: int, level: int, *own: str) -> DataFrame:
-    """Which starts of each piece begin a passage that occurs again: ``own`` columns and ranges of starts (lo, hi) from its first."""
-    last = level + 1 == len(GRAINS)
-    key = ["core", "ctx"] if last else ["core"]
-    groups = pieces.groupBy(*key).agg(F.sum("n").alias("total"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("total > 1")
+def across_ranges(ends: list[dict]) -> list[tuple[int, list[int], list[int]]]:
+    """(pid, before, after): lengths that the first (last) phrase of a range shares with phrases of the ranges before (after) it."""
+
+    def same(a: dict, b: dict) -> int:
+        if a["core"] != b["core"]:
+            return -1
+        x, y = bytes(a["left"]), bytes(b["left"])
+        return next((i for i, (u, v) in enumerate(zip(x, y)) if u != v), min(len(x), len(y)))
+
+    def carried(rows: list[dict], near: str, far: str, of_far: str) -> list[list[int]]:
+        out: list[set[int]] = [set()]
+        for a, b in zip(rows, rows[1:]):
+            c, through = same(a[far], b[near]), same(a[near], a[far])
+            out.append({min(c, v) for v in a[of_far]} | {min(c, through, v) for v in (out[-1] if through >= 0 else ())} if c >= 0 else set())
+        return [sorted(x) for x in out]
+
+    before = carried(ends, "first", "last", "of_last")
+    after = carried(ends[::-1], "last", "first", "of_first")[::-1]
+    return [(e["pid"], a, b) for e, a, b in zip(ends, before, after)]
+
+
+def corpus_order(entries: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
+    """Entries with their phrases' shared suffixes, to (core, ctx, lo, hi): passages that begin lo to hi bytes before the trigger occur again."""
+    shared = F.when(F.col("n") > 1, F.concat("shared", F.array(F.length("left")))).otherwise(F.col("shared"))  # others have this very phrase
+    classes = F.transform("ys", lambda y, i: F.struct(F.greatest(F.when(i > 0, F.get("ys", i - 1) + 1).otherwise(0), F.col("low")).alias("lo"), y.alias("hi")))
+    each = entries.join(dictionary, ["core", "left"]).withColumn("ys", F.array_distinct(shared)).select("core", "ctx", "left", "right", F.inline(F.filter(classes, lambda s: s["lo"] <= s["hi"])))
+    suffix = [F.xxhash64(F.lit(k), "core", "hi", F.expr("substring(left, 1, hi)")).alias(f"c{k}") for k in range(2)]
+    rows = stored(each.select(*suffix, F.expr(f"substring(right, 1, {length} - lo)").alias("right"), "core", "ctx", "lo", "hi"), "suffixes")
+    names = ["c0", "c1", "right", "core", "ctx", "lo", "hi"]
+
+    def found(t: pa.RecordBatch, best: np.ndarray) -> list[pa.Array]:
+        """Places of the order with ``best`` bytes in common with a neighbour: what of them occurs again."""
+        lo = np.maximum(t.column("lo").to_numpy(), length - best)
+        hit = np.flatnonzero(lo <= t.column("hi").to_numpy())
+        return [*[t.column(c).take(pa.array(hit)) for c in ("core", "ctx")], pa.array(lo[hit].astype(np.int32)), t.column("hi").take(pa.array(hit))]
+
+    def shares(t: pa.RecordBatch) -> np.ndarray:
+        lcp = common(t.column("right"))
+        a, b = t.column("c0").to_numpy(), t.column("c1").to_numpy()
+        lcp[1:][(a[1:] != a[:-1]) | (b[1:] != b[:-1])] = 0
+        return lcp
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        pid, held, first = TaskContext.get().partitionId(), None, True
+
+        def out(t: pa.RecordBatch, best: np.ndarray) -> pa.RecordBatch:
+            cols = found(t, best)
+            return pa.RecordBatch.from_arrays([*cols, pa.nulls(len(cols[0]), EDGE)], ["core", "ctx", "lo", "hi", "edge"])
+
+        def edge(t: pa.RecordBatch, side: int) -> pa.RecordBatch:
+            row = {"pid": pid, "side": side, **{c: t.column(c)[0].as_py() for c in names}}
+            return pa.RecordBatch.from_arrays([*[pa.nulls(1, k) for k in (pa.int64(), pa.int64(), pa.int32(), pa.int32())], pa.array([row], EDGE)], ["core", "ctx", "lo", "hi", "edge"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if first:
+                yield edge(batch.slice(0, 1), 0)
+                first = False
+            t = batch if held is None else pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+            lcp = shares(t)
+            best = np.maximum(lcp, np.append(lcp[1:], 0))
+            # the last two rows come again: the last has no row after it yet, the one before says what that shares with it
+            lo = 0 if held is None else len(held) - 1
+            if len(t) - 1 > lo:
+                yield out(t.slice(lo, len(t) - 1 - lo), best[lo:-1])
+            held = [t.slice(max(0, len(t) - 2), 1), t.slice(len(t) - 1, 1)] if len(t) > 1 else [t]
+        if held is not None:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            yield out(t.slice(len(t) - 1, 1), shares(t)[-1:])
+            yield edge(held[-1], 1)
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if held := [b for b in batches if b.num_rows]:
+            t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            lcp = shares(t)
+            yield pa.RecordBatch.from_arrays(found(t, np.maximum(lcp, np.append(lcp[1:], 0))), ["core", "ctx", "lo", "hi"])
+
+    EDGE = pa.struct([("pid", pa.int32()), ("side", pa.int32()), ("c0", pa.int64()), ("c1", pa.int64()), ("right", pa.binary()), ("core", pa.int64()), ("ctx", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    dealt = ordered(ranges_for(rows), rows, "c0", "c1", "right", "core", "ctx")
+    schema = "core long, ctx long, lo int, hi int, edge struct<pid:int,side:int,c0:long,c1:long,right:binary,core:long,ctx:long,lo:int,hi:int>"
+    inside = stored(dealt.mapInArrow(run, schema), "order")
+    # the first and the last row of each range, in order; a range of one row gives it twice, which must not meet itself
+    ends = inside.where("edge is not null").select("edge.*").groupBy(*names).agg(F.min("pid").alias("pid"), F.min("side").alias("side"))
+    seams = ends.coalesce(1).sortWithinPartitions("pid", "side").select(*names).mapInArrow(between, "core long, ctx long, lo int, hi int")
+    return inside.where("edge is null").select("core", "ctx", "lo", "hi").union(seams)
+
+
+def repeated(phrases: DataFrame, docs: DataFrame, length: int) -> DataFrame:
+    """Of each occurrence (doc_id, t, start) the ranges of its starts (lo, hi) that begin a passage which occurs again."""
+    groups = phrases.groupBy("core").agg(F.count("*").alias("total"), F.min("ctx").alias("a"), F.max("ctx").alias("b")).where("total > 1")
     # written first, so that the join has an exchange on both sides and Spark can split a hot key
-    groups = stored(groups.select(*key, (F.col("a") != F.col("b")).alias("mixed")), f"groups-{level}")
-    found = stored(pieces.join(groups, key), f"phrases-{level}")
-    whole = found.where("not mixed").select(*own, F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi"))).alias("ranges"))
-    if last:
-        return whole
+    groups = stored(groups.select("core", (F.col("a") != F.col("b")).alias("mixed")), "cores")
+    found = stored(phrases.join(groups, "core"), "phrases")
+    whole = F.array(F.struct(F.lit(0).alias("lo"), F.col("size").alias("hi")))
+    settled = found.where("not mixed").select("doc_id", "t", "start", whole.alias("ranges"))
     mixed = found.where("mixed")
-    entries = mixed.groupBy("core", "ctx").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "t", "start", "size", "lead")).alias("place"))
-    parts = stored(smaller(entries, docs, length, GRAINS[level + 1]), f"suffixes-{level}")
-    below = repeated(parts, docs, length, level + 1, "up_core", "up_ctx", "off")
-    moved = below.select("up_core", "up_ctx", F.transform("ranges", lambda r: F.struct((r["lo"] + F.col("off")).alias("lo"), (r["hi"] + F.col("off")).alias("hi"))).alias("ranges"))
-    of_entry = moved.groupBy(F.col("up_core").alias("core"), F.col("up_ctx").alias("ctx")).agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
-    joined = mixed.alias("m").join(stored(of_entry, f"entries-{level}").alias("e"), ["core", "ctx"])
-    return whole.union(joined.select(*[f"m.{c}" for c in own], "e.ranges"))
+    distinct = stored(mixed.groupBy("core", "ctx").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "t", "start", "size", "lead")).alias("place")), "distinct")
+    entries = stored(read_entries(distinct, docs, length), "entries")
+    words = stored(entries.groupBy("core", "left").agg(F.count("*").alias("n")), "words")
+    again = corpus_order(entries, stored(dictionary_order(words), "dictionary-order"), length)
+    # back to offsets in the entry; one that occurs twice repeats as a whole
+    parts = again.groupBy("core", "ctx").agg(F.collect_list(F.struct("lo", "hi")).alias("r"))
+    starts = F.transform("r", lambda r: F.struct((F.col("place.lead") - r["hi"]).alias("lo"), (F.col("place.lead") - r["lo"] + 1).alias("hi")))
+    all_of = F.array(F.struct(F.lit(0).alias("lo"), F.col("place.size").alias("hi")))
+    of_entry = distinct.join(parts, ["core", "ctx"], "left").select("core", "ctx", F.when(F.col("times") > 1, all_of).otherwise(starts).alias("ranges")).where("ranges is not null")
+    joined = mixed.join(stored(of_entry, "entry-ranges"), ["core", "ctx"])
+    return settled.union(joined.select("doc_id", "t", "start", "ranges"))
+
+
+def merged_spans(spans: pa.Array) -> list[np.ndarray]:
+    """Of each row its spans (lo, hi), those that touch made one, in order."""
+    n = pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.list_flatten(spans)
+    lo, hi = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+    row, reach = np.repeat(np.arange(len(n)), n), int(hi.max(initial=0)) + 2
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], hi[order]
+    far = np.maximum.accumulate(hi + row * reach) if len(hi) else hi
+    begin = np.flatnonzero(np.concatenate([np.ones(min(1, len(lo)), bool), lo[1:] + row[1:] * reach > far[:-1]]))
+    out = np.stack([lo[begin], far[np.append(begin[1:], len(lo)) - 1] - row[begin] * reach], 1) if len(begin) else np.zeros((0, 2), np.int64)
+    return np.split(out, np.searchsorted(row[begin], np.arange(1, len(n)))) if len(n) else []
 
 
 def remove_repeats(docs: DataFrame, *, length: int = 400, text: bool = True) -> DataFrame:
@@ -148,8 +324,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: bool = True) ->
         raise ValueError(f"length must be over {STRETCH + GRAM}")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("t"), "text")
     long = docs.where(F.octet_length("text") >= length)
-    phrases = stored(parse(long, length), "parse").withColumn("n", F.lit(1).cast("long"))
-    starts = repeated(phrases, long, length, 0, "doc_id", "t", "start")
+    starts = repeated(stored(parse(long, length), "parse"), long, length)
     spans = F.transform("ranges", lambda r: F.struct((F.col("start") + r["lo"]).alias("lo"), (F.col("start") + r["hi"] + length - 1).alias("hi")))
     per_text = stored(starts.select("doc_id", "t", F.explode(spans).alias("s")).groupBy("doc_id", "t").agg(F.collect_list("s").alias("spans")), "spans")
     on = F.col("d.t").eqNullSafe(F.col("p.t")) & F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))
@@ -158,16 +333,11 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: bool = True) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for x, spans in zip(texts_of(batch), batch.column("spans")):
-                x, merged = x or b"", []
-                for lo, hi in sorted((s["lo"], s["hi"]) for s in spans.as_py() or ()):
-                    if merged and lo <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], hi)
-                    else:
-                        merged.append([lo, hi])
-                ends = [0, *[v for s in merged for v in s], len(x)]
+            for x, merged in zip(texts_of(batch), merged_spans(batch.column("spans"))):
+                x = x or b""
+                ends = [0, *merged.reshape(-1).tolist(), len(x)]
                 kept = b"".join([x[a:b] for a, b in zip(ends[::2], ends[1::2])])
-                rows.append((len(x), len(x) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"lo": a, "hi": b} for a, b in merged])[: 6 if text else 4])
+                rows.append((len(x), len(x) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept, [{"lo": a, "hi": b} for a, b in merged.tolist()] if text else None)[: 6 if text else 4])
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())]))]
             cols = list(zip(*rows)) or [()] * (6 if text else 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(cols, kinds)]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: 7 if text else 5])

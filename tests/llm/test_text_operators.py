@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -508,3 +509,47 @@ def test_mpeg_takes_no_tag_from_inside_a_frame():
     text = (b"x" * 29 + b"TAG").ljust(100, b"x")
     p = mpeg.padded(text)
     assert mpeg.write_mpeg(p)[-128:-125] == b"TAG" and mpeg.read_mpeg(mpeg.write_mpeg(p)).payload == p
+
+
+def test_op9_orders_phrases_across_ranges(spark, monkeypatch):
+    """One core under more different phrases than a range holds, so that shared suffixes reach over many ranges."""
+    monkeypatch.setattr(phrases, "ranges_for", lambda df: 7)
+    tail, stems = sentence(120)[:520], [sentence(60)[:290] for _ in range(6)]
+    data = [(i, sentence(R.randint(5, 60)) + R.choice(stems)[R.randint(0, 280) :] + tail[: R.randint(300, 520)] + sentence(30)) for i in range(150)]
+    data += [(200 + i, x) for i, (_, x) in enumerate(data[:5])]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = phrases.remove_repeats(docs)
+    assert as_multiset(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == Counter(brute_repeats(data))
+
+
+def test_op9_shared_suffix_lengths_equal_all_pairs():
+    left = sorted({"".join(R.choices("ab", k=R.randint(0, 9))).encode() for _ in range(80)})
+    want = [sorted({len(os.path.commonprefix([a, b])) for b in left if b is not a}) for a in left]
+    for cuts in ([], [1], [20, 21, 40], list(range(1, len(left)))):
+        parts = [left[a:b] for a, b in zip([0, *cuts], [*cuts, len(left)])]
+        lcp = lambda x, y: len(os.path.commonprefix([x, y]))
+        ends, inside = [], []
+        for k, part in enumerate(parts):
+            ends.append({"pid": k, "first": {"core": 1, "left": part[0]}, "last": {"core": 1, "left": part[-1]}, "of_first": [lcp(part[0], x) for x in part], "of_last": [lcp(part[-1], x) for x in part]})
+            shared = phrases.common(pa.array(part, pa.binary())).tolist()
+            shared[0] = -1
+            back = phrases.depths([-1, *shared[:0:-1]])[::-1]
+            inside.append([{*a, *b} for a, b in zip(phrases.depths(shared), back)])
+        got = []
+        for (k, before, after), part, own in zip(phrases.across_ranges(ends), parts, inside):
+            got += [sorted({*o, *[v for v in before if v <= lcp(x, part[0])], *[v for v in after if v <= lcp(x, part[-1])]}) for x, o in zip(part, own)]
+        assert got == want
+
+
+def test_op9_on_planted_passages_of_51_to_90_words(spark):
+    """What of a planted passage goes is decided by its bytes: from 400 on all of it, below nothing."""
+    lengths = list(range(51, 91, 3))
+    passages = [" ".join(a + b for a, b in zip(R.choices(WORDS, k=n), R.choices(WORDS, k=n))) for n in lengths]
+    assert min(len(p.encode()) for p in passages) < 398 < max(len(p.encode()) for p in passages)
+    data = [(i, sentence(80) + " | " + p + " | " + sentence(80)) for i, p in enumerate(passages)] + [(100 + i, sentence(70) + " + " + p + " + " + sentence(90)) for i, p in enumerate(passages)] + [(300 + i, sentence(170)) for i in range(20)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    found = {r.doc_id: r.n_removed for r in phrases.remove_repeats(docs).collect()}
+    for i, p in enumerate(passages):
+        n = len(p.encode()) + 2  # the blanks around it are shared too
+        assert found[i] == found[100 + i] == (n if n >= 400 else 0)
+    assert not any(found[300 + i] for i in range(20))
