@@ -44,6 +44,8 @@ from .common import pick, stored, table, texts_of
 #: Bytes under the rolling hash, and starts in the stretch of which a trigger is the least.
 GRAM = 8
 STRETCH = 300
+#: Rows in a range of a sort.
+RANGE_ROWS = 250_000
 #: Starts handled at once; positions in a slice take 24 bits.
 SLICE = 1 << 23
 
@@ -156,8 +158,8 @@ def ordered(n: int, df: DataFrame, *keys: str) -> DataFrame:
 
 
 def ranges_for(df: DataFrame) -> int:
-    """Ranges of a sort: as many as the session's shuffles have, more where a range would have over 100,000 rows."""
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // 100_000))
+    """Ranges of a sort: one for each core, more where a range would have over ``RANGE_ROWS`` rows. Few, as the driver is sent some hundred keys of each to find their bounds."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // RANGE_ROWS))
 
 
 def dictionary_order(phrases: DataFrame) -> DataFrame:
