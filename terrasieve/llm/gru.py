@@ -36,14 +36,18 @@ from .common import LOWER, crc_mod, pick, stored, table, texts_of
 
 END = b""
 #: Words with embeddings, in classes of so many.
-FREQUENT, CLASS = 4096, 64
+FREQUENT, CLASS = 1024, 32
 #: Classes of the other words.
-RARE = 64
+RARE = 32
 #: Words whose counts are broadcast: some 10 MB.
 BROADCAST_WORDS = 200_000
-HIDDEN, EMBEDDING = 24, 16
+HIDDEN, EMBEDDING = 16, 12
 #: Steps of truncated backpropagation, documents side by side.
-STEPS, SIDE = 16, 128
+STEPS, SIDE = 16, 512
+#: Windows of text that a lane takes at least when it has none left, the longest window, and rows of logits made at once.
+TAKEN, LONGEST, ROWS = 8, 512, 2048
+#: Tokens in a piece of a long document, and in the long documents that wait for each other at most.
+PIECE, WAITING = 512, 1 << 22
 #: Training rows are dealt in PARTS by hash; round r takes part r, so with as many rounds each row is visited once.
 ROUNDS = PARTS = 3
 RATE = 0.01
@@ -122,9 +126,15 @@ class Vocabulary:
         return np.array([i if i < frequent else frequent + rare_class(w) for w, i in self.index.items()], np.int32)
 
 
-def bounded(a: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials can be summed; only shifted by row where they must be."""
-    return a - a.max(1, keepdims=True) if a.size and (a.max() > 60 or a.min() < -60) else a
+def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Logits, their exponentials and the sums of these. Rows are only shifted where the weights don't bound the logits: a state is within -1 and 1."""
+    a = h @ w
+    a += b
+    reach = np.abs(w).sum(0)
+    if (b + reach).max() > 60 or (b - reach).max() < -60:
+        a -= a.max(1, keepdims=True)
+    e = np.exp(a)
+    return a, e, e @ np.ones(e.shape[1], np.float32)
 
 
 class GRU:
@@ -157,69 +167,95 @@ class GRU:
             at += x.size
         return self
 
+    def inputs(self) -> np.ndarray:
+        """What each word gives to the gates."""
+        return self.p["emb"] @ self.p["wx"] + self.p["b"]
+
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
         n = self.hidden
         hu = h @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * n] + hu[:, : 2 * n])))
-        z, r = zr[:, :n], zr[:, n:]
-        new = np.tanh(x[:, 2 * n :] + r * hu[:, 2 * n :])
-        return new + z * (h - new), (h, hu, z, r, new)
+        zr = hu[:, : 2 * n] + x[:, : 2 * n]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        z, r, hu = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
+        new = np.tanh(x[:, 2 * n :] + r * hu)
+        out = h - new
+        out *= z
+        out += new
+        return out, (h, hu, z, r, new)
 
     def class_of(self, ids: np.ndarray) -> np.ndarray:
         return np.where(ids < self.frequent, ids // CLASS, ids - self.frequent + self.classes - RARE)
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln of the class and, for frequent words, of the word in it; with ``grads`` also the gradient of the mean loss for h."""
-        p, rows = self.p, np.arange(len(ids))
-        cls = self.class_of(ids)
-        a = bounded(h @ p["wc"] + p["bc"])
-        out = a[rows, cls].astype(np.float64)
-        e = np.exp(a)
-        s = e @ np.ones(self.classes, np.float32)
-        out -= np.log(s)
-        dh = None
-        if grads is not None:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            d /= len(ids)
-            grads["wc"] += h.T @ d
-            grads["bc"] += d.sum(0)
-            dh = d @ p["wc"].T
+        """ln of the class and, for frequent words, of the word in it; with ``grads`` also the gradient of the summed loss for h."""
+        p, cls = self.p, self.class_of(ids)
+        out = np.empty(len(ids))
+        dh = np.empty_like(h) if grads is not None else None
+        for i in range(0, len(ids), ROWS):  # some rows at a time, so that their logits stay in the cache
+            hi, ci = h[i : i + ROWS], cls[i : i + ROWS]
+            rows = np.arange(len(ci))
+            a, e, s = softmax(hi, p["wc"], p["bc"])
+            out[i : i + ROWS] = a[rows, ci] - np.log(s)
+            if grads is not None:
+                e *= (1 / s)[:, None]
+                e[rows, ci] -= 1
+                grads["wc"] += hi.T @ e
+                grads["bc"] += e.sum(0)
+                dh[i : i + ROWS] = e @ p["wc"].T
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(self.classes - RARE + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            mine = order[ends[k] : ends[k + 1]]
-            hk, at = h[mine], ids[mine] % CLASS
-            a = bounded(hk @ p["ww"][k] + p["bw"][k])
-            e = np.exp(a)
-            s = e @ np.ones(CLASS, np.float32)
-            out[mine] += a[np.arange(len(mine)), at] - np.log(s)
+        sorted_h, column, inside = h[order], ids[order] % CLASS, np.zeros(len(ids))
+        back = np.zeros_like(h) if grads is not None else None
+        for k in np.flatnonzero(np.diff(ends)).tolist():
+            lo, hi = int(ends[k]), int(ends[k + 1])
+            hk, at, rows = sorted_h[lo:hi], column[lo:hi], np.arange(hi - lo)
+            a, e, s = softmax(hk, p["ww"][k], p["bw"][k])
+            inside[lo:hi] = a[rows, at] - np.log(s)
             if grads is not None:
-                d = e / s[:, None]
-                d[np.arange(len(mine)), at] -= 1
-                d /= len(ids)
-                grads["ww"][k] += hk.T @ d
-                grads["bw"][k] += d.sum(0)
-                dh[mine] += d @ p["ww"][k].T
+                e *= (1 / s)[:, None]
+                e[rows, at] -= 1
+                grads["ww"][k] += hk.T @ e
+                grads["bw"][k] += e.sum(0)
+                back[lo:hi] = e @ p["ww"][k].T
+        out[order] += inside
+        if grads is not None:
+            dh[order] += back
         return out, dh
 
-    def backward(self, inputs: np.ndarray, caches: list, dhs: np.ndarray, grads: dict) -> None:
-        """Through the steps of one window; what came before it is taken as given."""
+    def backward(self, inputs: np.ndarray, caches: list, dhs: np.ndarray, grads: dict, keep: np.ndarray | None = None) -> None:
+        """Through the steps of one window; what came before it is taken as given. ``keep`` is 0 where a state was cleared before its step."""
         p, n = self.p, self.hidden
-        dh, dx = np.zeros_like(dhs[0]), np.empty((len(caches), dhs.shape[1], 3 * n), np.float32)
-        for t in range(len(caches) - 1, -1, -1):
+        dh, (steps, lanes) = np.zeros_like(dhs[0]), dhs.shape[:2]
+        dx, dhu, hs = np.empty((steps, lanes, 3 * n), dhs.dtype), np.empty((steps, lanes, 3 * n), dhs.dtype), np.empty_like(dhs)
+        ut = np.ascontiguousarray(p["u"].T)
+        for t in range(steps - 1, -1, -1):
             h, hu, z, r, new = caches[t]
-            g = dhs[t] + dh
-            dnew = g * (1 - z) * (1 - new * new)
-            dz, dr = g * (h - new) * z * (1 - z), dnew * hu[:, 2 * n :] * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dnew], 1)
-            dhu = np.concatenate([dz, dr, dnew * r], 1)
-            grads["u"] += h.T @ dhu
-            dh = g * z + dhu @ p["u"].T
+            dh += dhs[t]
+            hs[t] = h
+            gz = dh * z
+            dnew = (dh - gz) * (1 - new * new)
+            x, y = dx[t], dhu[t]
+            x[:, 2 * n :] = dnew
+            np.multiply(dnew, r, out=y[:, 2 * n :])
+            np.multiply(gz * (1 - z), h - new, out=x[:, :n])
+            np.multiply(y[:, 2 * n :] * (1 - r), hu, out=x[:, n : 2 * n])
+            y[:, : 2 * n] = x[:, : 2 * n]
+            dh = y @ ut
+            dh += gz
+            if keep is not None:
+                dh *= keep[t]
         flat, ids = dx.reshape(-1, 3 * n), inputs.reshape(-1)
+        grads["u"] += hs.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
         grads["b"] += flat.sum(0)
-        grads["wx"] += p["emb"][ids].T @ flat
-        np.add.at(grads["emb"], ids, flat @ p["wx"].T)
+        order = np.argsort(ids.astype(np.uint16) if len(p["emb"]) < 1 << 16 else ids, kind="stable")
+        first = np.flatnonzero(np.diff(ids[order], prepend=-1))
+        if len(first):  # of each word once, however often it stands
+            words, sums = ids[order][first], np.add.reduceat(flat[order], first, axis=0)
+            grads["wx"] += p["emb"][words].T @ sums
+            grads["emb"][words] += sums @ p["wx"].T
 
 
 class Adam:
@@ -233,57 +269,101 @@ class Adam:
         cut = min(1.0, 1.0 / (norm + 1e-9))
         rate = self.rate * np.sqrt(1 - 0.999**self.n) / (1 - 0.9**self.n)
         for k, x in p.items():
-            d = g[k] * cut
-            self.m[k] += 0.1 * (d - self.m[k])
-            self.v[k] += 0.001 * (d * d - self.v[k])
-            x -= (rate * self.m[k] / (np.sqrt(self.v[k]) + 1e-8)).astype(np.float32)
+            d, m, v = g[k] * np.float32(cut), self.m[k], self.v[k]
+            m += np.float32(0.1) * (d - m)
+            d *= d
+            v += np.float32(0.001) * (d - v)
+            x -= np.float32(rate) * m / (np.sqrt(v) + np.float32(1e-8))
+
+
+def pieces_of(model: GRU, docs: list[np.ndarray], end: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Long documents in pieces, each with the state and the token before it: one forward pass over all of them side by side."""
+    docs = sorted(docs, key=len, reverse=True)
+    long, xw, h, out = np.array([len(d) for d in docs]), model.inputs(), np.zeros((len(docs), model.hidden), np.float32), []
+    for a in range(0, int(long[0]), PIECE):
+        n = int(np.searchsorted(-long, -a, side="left"))  # documents longer than that
+        docs, h, some = docs[:n], h[:n], [d[a : a + PIECE] for d in docs[:n]]
+        out += [(x, h[i].copy(), int(docs[i][a - 1]) if a else end) for i, x in enumerate(some)]
+        full = [i for i, x in enumerate(some) if len(x) == PIECE]  # the first ones; the others end here
+        if not full:
+            break
+        before = np.array([np.concatenate([[docs[i][a - 1] if a else end], some[i][:-1]]) for i in full]).T
+        h = h[: len(full)]
+        for x in xw[before]:
+            h, _ = model.step(x, h)
+    return out
 
 
 def train_on(model: GRU, docs: Iterator[np.ndarray], end: int, rate: float = RATE, steps: int = STEPS, side: int = SIDE) -> int:
-    """Truncated backpropagation over documents laid end to end in ``side`` lanes; returns the tokens seen."""
-    lanes: list[list[np.ndarray]] = [[] for _ in range(side)]
-    size, adam, seen = np.zeros(side, np.int64), Adam(model.p, rate), 0
-    h = np.zeros((side, model.hidden), np.float32)
-
-    def run(width: int) -> None:
-        nonlocal h, seen
-        full = [np.concatenate(x) if x else np.zeros(0, np.int32) for x in lanes]
-        for a in range(0, width, steps):
-            b = min(a + steps, width)
-            target = np.array([x[a:b] for x in full]).T  # time by lane
-            before = np.array([x[a - 1 : b - 1] if a else np.concatenate([[end], x[: b - 1]]) for x in full]).T
-            grads = {k: np.zeros_like(x) for k, x in model.p.items()}
-            x = (model.p["emb"][before.reshape(-1)] @ model.p["wx"] + model.p["b"]).reshape(b - a, side, -1)
-            caches, hs = [], []
-            for t in range(b - a):
-                h = h * (before[t] != end)[:, None]  # a document starts from nothing
-                h, cache = model.step(x[t], h)
-                caches.append(cache)
-                hs.append(h)
-            _, dh = model.output(np.concatenate(hs), target.reshape(-1), grads)
-            model.backward(before, caches, dh.reshape(b - a, side, -1), grads)
-            adam.update(model.p, grads)
-            seen += target.size
-
-    for d in docs:
-        i = int(np.argmin(size))
-        lanes[i].append(d)
-        size[i] += len(d)
-        if size.min() >= 64 * steps:
-            width = int(size.min()) // steps * steps
-            run(width)
-            for i, x in enumerate(lanes):
-                rest = np.concatenate(x)[width:]
-                lanes[i] = [rest] if len(rest) else []
-            size -= width
-    if size.any():  # what is left, dealt evenly and filled up with ends
-        left = np.concatenate([x for lane in lanes for x in lane])
-        width = -(-len(left) // side)
-        left = np.concatenate([left, np.full(width * side - len(left), end, np.int32)]).reshape(side, width)
-        lanes = [[x] for x in left]
-        h = np.zeros_like(h)
-        run(width)
-    return seen
+    """Truncated backpropagation over documents in ``side`` lanes; returns the tokens seen.
+
+    A lane takes the next document where its last one ends, and goes on from window to window with
+    its state and last token, so what is cut goes on from where it was. Documents of over two pieces
+    wait for each other and are then read in pieces side by side, each from the state that a forward
+    pass over all before it leaves. Where few lanes are left windows are longer, and parameters move
+    when about as many tokens as a full window has are seen.
+    """
+    adam, seen, due, more = Adam(model.p, rate), 0, 0, iter(docs)
+    held = [np.zeros(0, np.int32)] * side  # of each lane what it still has to read
+    h, last = np.zeros((side, model.hidden), np.float32), np.full(side, end, np.int32)
+    pieces: list[tuple[np.ndarray, np.ndarray, int]] = []
+    waiting: list[np.ndarray] = []
+    width = steps
+    grads, inputs = {k: np.zeros_like(x) for k, x in model.p.items()}, model.inputs()
+
+    def following() -> np.ndarray | None:
+        """The next document that isn't long."""
+        nonlocal waiting, pieces
+        for d in more:
+            if len(d) <= 2 * PIECE:
+                return d
+            waiting.append(d)
+            if sum(map(len, waiting)) > WAITING:
+                break
+        if waiting:
+            pieces, waiting = pieces + pieces_of(model, waiting, end), []
+        return None
+
+    while True:
+        for lane, x in enumerate(held):
+            if not len(x) and pieces:
+                held[lane], h[lane], last[lane] = pieces.pop()
+            elif (size := len(x)) < width and (not size or x[-1] == end):
+                taken = [x]
+                while size < width * TAKEN and (d := following()) is not None:
+                    taken.append(d)
+                    size += len(d)
+                held[lane] = np.concatenate(taken)
+        lanes = np.array([i for i, x in enumerate(held) if len(x)], np.int64)
+        if not len(lanes) and pieces:
+            continue
+        if due >= side * steps // 2 or not len(lanes) and due:
+            adam.update(model.p, {k: g / np.float32(due) for k, g in grads.items()})
+            grads, due, inputs = {k: np.zeros_like(x) for k, x in model.p.items()}, 0, model.inputs()
+        if not len(lanes):
+            return seen
+        width = max(steps, min(LONGEST, side * steps // len(lanes)))
+        sizes = np.array([min(width, len(held[i])) for i in lanes.tolist()])
+        target = np.full((int(sizes.max()), len(lanes)), end, np.int32)  # time by lane
+        for j, (lane, n) in enumerate(zip(lanes.tolist(), sizes.tolist())):
+            target[:n, j] = held[lane][:n]
+            held[lane] = held[lane][n:]
+        live = np.arange(len(target))[:, None] < sizes
+        before = np.concatenate([last[lanes][None, :], target[:-1]])
+        x = inputs[before]
+        keep = (before != end)[:, :, None].astype(np.float32)  # a document starts from nothing
+        state, caches, hs = h[lanes], [], np.empty((*before.shape, model.hidden), np.float32)
+        for t in range(len(target)):
+            state, cache = model.step(x[t], state * keep[t])
+            caches.append(cache)
+            hs[t] = state
+        _, dh = model.output(hs[live], target[live], grads)
+        back = np.zeros_like(hs)
+        back[live] = dh
+        model.backward(before, caches, back, grads, keep)
+        at = (sizes - 1, np.arange(len(lanes)))
+        h[lanes], last[lanes] = hs[at], target[at]
+        seen, due = seen + int(sizes.sum()), due + int(sizes.sum())
 
 
 def ids_of(v: Vocabulary, to_model: np.ndarray, frequent: int, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -349,10 +429,10 @@ def train(rows: DataFrame, v: Vocabulary, *, frequent: int = FREQUENT, rounds: i
     return model
 
 
-def log_likelihoods(model: GRU, docs: list[np.ndarray], end: int, side: int = 2048, window: int = 32_768) -> np.ndarray:
+def log_likelihoods(model: GRU, docs: list[np.ndarray], end: int, side: int = 1 << 14, window: int = 16_384) -> np.ndarray:
     """ln of the class and word probabilities of whole documents, many side by side, longest first."""
     out = np.zeros(len(docs))
-    xw = model.p["emb"] @ model.p["wx"] + model.p["b"]
+    xw = model.inputs()
     lengths = np.array([len(d) for d in docs], np.int64)
     by = np.argsort(-lengths, kind="stable")
     for a in range(0, len(by), side):

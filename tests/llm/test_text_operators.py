@@ -324,7 +324,7 @@ def test_gru_gradients():
         out, dh = m.output(np.concatenate(hs), target.reshape(-1), grads)
         if grads is not None:
             m.backward(before, caches, dh.reshape(3, 2, -1), grads)
-        return -out.mean()
+        return -out.sum()
 
     grads = {k: np.zeros(x.shape) for k, x in m.p.items()}
     loss(grads)
@@ -338,6 +338,77 @@ def test_gru_gradients():
         assert abs((up - down) / 2e-4 - grads[k][at]) < 1e-4, k
 
 
+def test_gru_state_goes_over_every_cut():
+    """A long document read in pieces begins each with the state and token that reading all before it leaves."""
+    m = gru.GRU(frequent=64, hidden=5)
+    docs = [np.random.default_rng(k).integers(1, 64, n).astype(np.int32) for k, n in enumerate((gru.PIECE * 3 + 5, 40, gru.PIECE * 2 + 7, gru.PIECE - 1))]
+    docs = [np.append(d, np.int32(0)) for d in docs]
+    got = {}
+    for tokens, state, before in gru.pieces_of(m, docs, 0):
+        got.setdefault(next(i for i, d in enumerate(docs) if any(np.array_equal(tokens, d[a : a + gru.PIECE]) for a in range(0, len(d), gru.PIECE))), []).append((tokens, state, before))
+    for i, d in enumerate(docs):
+        h, states = np.zeros((1, 5), np.float32), []
+        for t, w in enumerate(np.concatenate([[0], d[:-1]])):
+            if t % gru.PIECE == 0:
+                states.append((h[0].copy(), int(w)))
+            h, _ = m.step(m.inputs()[[w]], h)
+        assert np.array_equal(np.concatenate([x for x, _, _ in got[i]]), d)
+        for (_, state, before), (want, w) in zip(got[i], states):
+            assert np.allclose(state, want, atol=1e-5) and before == w
+
+
+def test_gru_training_does_not_depend_on_where_windows_cut(monkeypatch):
+    """With parameters that stand still, one window, many windows and pieces give the same gradients but for truncation: here all of the first order, the bias of the output."""
+    docs = [np.append(np.random.default_rng(k).integers(1, 64, 3 + 37 * k % 90).astype(np.int32), np.int32(0)) for k in range(25)]
+    seen = []
+    for steps, piece in ((200, 10_000), (7, 10_000), (16, 11)):
+        monkeypatch.setattr(gru, "PIECE", piece)
+        m, sums = gru.GRU(frequent=64, hidden=5), []
+        for k in ("wc", "ww"):
+            m.p[k] = np.random.default_rng(3).standard_normal(m.p[k].shape).astype(np.float32) * 0.3
+        monkeypatch.setattr(gru.Adam, "update", lambda self, p, g: sums.append({k: x.copy() for k, x in g.items()}))
+        due = []
+        real = m.output
+        m.output = lambda h, ids, grads=None: (due.append(len(ids)), real(h, ids, grads))[1]
+        tokens = gru.train_on(m, iter(docs), 0, steps=steps, side=4096)
+        assert tokens == sum(map(len, docs)) == sum(due) and len(sums) == 1
+        seen.append(sums[0]["bc"])
+    assert np.allclose(seen[0], seen[1], atol=1e-5) and np.allclose(seen[0], seen[2], atol=1e-5)
+
+
+def test_op7_score_equals_a_plain_loop(spark, sf, rows):
+    """The score of every document, word by word: class, word in class, share of the count in a rare class."""
+    train = [(d, t) for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w for _, t in train for w in gru.words_of((t or "").encode()))
+    counts[b""] = len(train)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    v = gru.Vocabulary.of(gru.count_words(spark.createDataFrame(train, "doc_id long, text string")))
+    assert v.total == sum(counts.values()) and v.distinct == len(counts)
+    small = 8  # frequent words, so that most words of the fixture are rare ones
+    got = {(r.doc_id, r.n_tokens): r.score for r in gru.score(docs, docs.where("false"), frequent=small).collect()}
+    m = gru.GRU(small)
+    m.start_at_counts(gru.Vocabulary({}, np.zeros(0, np.int64), 0, 0, np.ones(gru.RARE)))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    p = {k: x.astype(float) for k, x in m.p.items()}
+    for d, t in rows[:12]:
+        h, before, total = np.zeros(m.hidden), 0, 0.0
+        words = [*gru.words_of((t or "").encode()), None]
+        for w in words:
+            x = p["emb"][before] @ p["wx"] + p["b"]
+            hu, n = h @ p["u"], m.hidden
+            z, r = sigmoid(x[:n] + hu[:n]), sigmoid(x[n : 2 * n] + hu[n : 2 * n])
+            new = np.tanh(x[2 * n :] + r * hu[2 * n :])
+            h = new + z * (h - new)
+            logits = h @ p["wc"] + p["bc"]
+            word = small + gru.rare_class(w or b"")  # nothing is known: all words are rare
+            cls = word - small + m.classes - gru.RARE
+            total += logits[cls] - np.log(np.exp(logits).sum())
+            before = word
+        key = (d, len(words))
+        if sum((x, len(gru.words_of((y or "").encode())) + 1) == key for x, y in rows) == 1:
+            assert abs(got[key] - total / np.log(10)) < 1e-3 * len(words), key
+
+
 def test_op8_laws(spark, sf, rows):
     got = registry.QUERIES["op8_jump_shards"](spark, sf).collect()
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == Counter((d, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for d, t in rows)
