@@ -3,15 +3,17 @@
 Fingerprints of 64 bits are cut in b blocks; two that differ in at most d bits agree
 on b - d blocks at least, so every choice of b - d blocks is a key. b is chosen for
 the least expected work from the count of different fingerprints; any b finds the
-same pairs. A key held by many fingerprints is cut in tiles of bounded size, and a
-tile returns no more links than join its members, so no group is expanded into all
-pairs and no link between components is lost. A pair is taken only under the first
-key it shares.
+same pairs. A key that more than ``TILE`` fingerprints share is cut by the pigeonhole
+again, over the bits it leaves open: what is near must agree on two of six blocks of
+them. Fingerprints are different, so where ten bits are left open a group is small by
+itself, and no group is ever compared whole beyond that size. A tile returns no more
+links than join its members, so no group is expanded into all pairs and no link
+between components is lost. A pair is taken only under the first key it shares.
 
 Defined results: a null text and one without words have fingerprint zero, which
-links like any other; equal rows share a component; a null doc_id never names a
-component unless no other id is in it; extra columns are ignored; an empty table
-gives no rows.
+links like any other; very long texts are taken whole; equal rows and ties share a
+component; a null doc_id never names a component unless no other id is in it; extra
+columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,38 +31,48 @@ from pyspark.sql import functions as F
 from .common import LOWER, pick, shielded, stored, table, texts_of
 from .graph import components
 
-#: Members of a tile at most, about half of them from either side.
-TILE = 1024
+#: Members of a group that is compared at most, a power of two, and blocks of the open bits of a larger one.
+TILE, AGAIN = 1024, 6
 
 
-def fingerprint(text: bytes | None, k: int = 4, seed: int = 42) -> int:
-    """Bits set in over half the hashes of all k-word shingles, repeats included."""
+def fingerprint(text: bytes | None, k: int = 4, seed: int = 42, tables: int = 1) -> list[int]:
+    """Bits set in over half the hashes of all k-word shingles, repeats included; further tables mix the hashes anew."""
     import xxhash
 
     words = (text or b"").translate(LOWER).split()
     if not words:
-        return 0
+        return [0] * tables
     hashed, line = xxhash.xxh64_intdigest, b" ".join(words)
     if len(words) <= k:
-        return hashed(line, seed)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    hashes = np.array([hashed(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[k - 1 :])], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, k: int = 4, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and fp, the fingerprint of ``text`` as a signed long."""
+        hashes = np.array([hashed(line, seed)], np.uint64)
+    else:
+        ends = np.cumsum([len(w) + 1 for w in words]).tolist()
+        hashes = np.array([hashed(line[a : b - 1], seed) for a, b in zip([0, *ends], ends[k - 1 :])], np.uint64)
+    out = []
+    for t in range(tables):
+        ones = np.zeros(64, np.int64)
+        for i in range(0, len(hashes), 1 << 16):
+            x = hashes[i : i + (1 << 16)]
+            if t:
+                x = (x ^ (x >> np.uint64(31))) * np.uint64(2 * t + 0x9E3779B97F4A7C15)
+                x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                x ^= x >> np.uint64(32)
+            ones += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0]))
+    return out
+
+
+def fingerprints(docs: DataFrame, k: int = 4, keep: tuple[str, ...] = ("doc_id",), tables: int = 1) -> DataFrame:
+    """``keep`` columns and fp, the fingerprint of ``text`` as a signed long; fp1, fp2, ... are those of further tables."""
+    names = ["fp", *[f"fp{t}" for t in range(1, tables)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([fingerprint(x, k) for x in texts_of(batch)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(fp)], [*keep, "fp"])
+            fps = np.array([fingerprint(x, k, tables=tables) for x in texts_of(batch)], np.uint64).reshape(-1, tables).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(np.ascontiguousarray(x)) for x in fps.T]], [*keep, *names])
 
-    kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, "text").mapInArrow(run, f"{kinds}, fp long")
+    kinds = ", ".join([*[f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep], *[f"{c} long" for c in names]])
+    return docs.select(*keep, "text").mapInArrow(run, kinds)
 
 
 def block_masks(b: int) -> list[int]:
@@ -84,12 +96,12 @@ def _signed(x: int) -> int:
 
 
 def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by tile (combo, key, i, j) with fp, to links (a, b) that join what is linked inside a tile."""
+    """Rows sorted by group (tab, path, key) with combo and fp, to links (tab, a, b) that join what is linked inside a group."""
     need = len(masks) - distance
     blocks = [np.uint64(m) for m in masks]
 
-    def links(combo: np.ndarray, group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        a_out, b_out = [], []
+    def links(tab: np.ndarray, combo: np.ndarray, group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        a_out, b_out, t_out = [], [], []
         sizes = np.bincount(group)[group] if len(group) else group
         first = np.searchsorted(group, group)
         at = np.arange(len(fp)) - first
@@ -106,84 +118,140 @@ def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: in
             own = i[shared == combo[i]]
             a_out.append(fp[own])
             b_out.append(fp[own - lag])
+            t_out.append(tab[own])
             lag += 1
             live = live[(at[live] >= lag) & (sizes[live] > lag)]
-        a, b = (np.concatenate(v).tolist() if v else [] for v in (a_out, b_out))
-        root: dict[int, int] = {}
+        a, b, t = (np.concatenate(v).tolist() if v else [] for v in (a_out, b_out, t_out))
+        root: dict[tuple[int, int], tuple[int, int]] = {}
 
-        def find(v: int) -> int:
+        def find(v: tuple[int, int]) -> tuple[int, int]:
             while (up := root.get(v, v)) != v:
                 root[v] = root.get(up, up)
                 v = up
             return v
 
         kept = []
-        for u, v in zip(a, b):
-            ru, rv = find(u), find(v)
+        for u, v, k in zip(a, b, t):
+            ru, rv = find((k, u)), find((k, v))
             if ru != rv:
                 root[ru] = rv
-                kept.append((u, v))
-        pairs = np.array(kept, np.uint64).reshape(-1, 2).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, 0])), pa.array(np.ascontiguousarray(pairs[:, 1]))], ["a", "b"])
+                kept.append((k, u, v))
+        rows = np.array(kept, np.uint64).reshape(-1, 3).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in (1, 2)]], ["tab", "a", "b"])
 
     held: list[np.ndarray] | None = None
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("combo", "key", "i", "j", "fp")]
+        cols = [batch.column(c).to_numpy() for c in ("tab", "path", "key", "combo", "fp")]
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
         if not len(cols[0]):
             continue
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)])
-        cut = int(np.flatnonzero(new)[-1])  # the last tile may go on in the next batch
+        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
+        cut = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
         held = [c[cut:] for c in cols]
         if cut:
-            yield links(cols[0][:cut].astype(np.int64), np.cumsum(new[:cut]) - 1, cols[4][:cut].view(np.uint64))
+            yield links(cols[0][:cut], cols[3][:cut].astype(np.int64), np.cumsum(new[:cut]) - 1, cols[4][:cut].view(np.uint64))
     if held is not None and len(held[0]):
-        yield links(held[0].astype(np.int64), np.zeros(len(held[0]), np.int64), np.ascontiguousarray(held[4]).view(np.uint64))
+        yield links(held[0], held[3].astype(np.int64), np.zeros(len(held[0]), np.int64), np.ascontiguousarray(held[4]).view(np.uint64))
+
+
+def finer_keys(used: int, distance: int) -> list[int]:
+    """Masks of the bits in use and every choice of blocks of the others on which near fingerprints agree."""
+    open_ = [i for i in range(64) if not used >> i & 1]
+    n = max(AGAIN, distance + 1)
+    edges = [len(open_) * i // n for i in range(n + 1)]
+    blocks = [sum(1 << i for i in open_[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+    return [used | sum(c) for c in combinations(blocks, n - distance)]
+
+
+def split(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+    """Rows (tab, combo, path, used, key, fp) of groups that are too large, to a row for each finer key."""
+    masks: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1 << 16):
+            tab, combo, path, used, fp = (batch.column(c).to_numpy()[i : i + (1 << 16)] for c in ("tab", "combo", "path", "used", "fp"))
+            for u in np.unique(used).tolist():
+                if u not in masks:
+                    masks[u] = np.array(finer_keys(u & (1 << 64) - 1, distance), np.uint64).view(np.int64)
+                of, m = used == u, masks[u]
+                n = int(of.sum())
+                each = np.tile(np.arange(len(m)), n)
+                tabs, combos, paths, fps = (np.repeat(x[of], len(m)) for x in (tab, combo, path, fp))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (tabs, combos, paths * (len(m) + 1) + each + 1, np.tile(m, n), fps & np.tile(m, n), fps)], KEYED)
+
+
+KEYED = ["tab", "combo", "path", "used", "key", "fp"]
 
 
 def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """Links (a, b) that join all fingerprints of a component; ``distinct`` has each fp once."""
-    b = blocks or choose_blocks(distinct.count(), distance)
+    """Links (tab, a, b) that join all fingerprints of a component in each table; ``distinct`` has each (tab, fp) once."""
+    b = blocks or choose_blocks(distinct.groupBy("tab").count().agg(F.max("count")).first()[0] or 1, distance)
     masks = block_masks(b)
     combos = [(sum(1 << q for q in c), _signed(sum(masks[q] for q in c))) for c in combinations(range(b), b - distance)]
-    keyed = distinct.select(
-        "fp",
-        F.inline(F.array(*[F.struct(F.lit(c).alias("combo"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for c, m in combos])),
-    )
-    full = stored(keyed.groupBy("combo", "key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
-    half = TILE // 2
-    cut = keyed.join(full, ["combo", "key"]).withColumn("c", F.when(F.col("n") <= TILE, 1).otherwise(F.ceil(F.col("n") / half)).cast("int"))
-    mine = F.pmod(F.xxhash64("fp"), F.col("c")).cast("int")
-    tiled = cut.withColumn("mine", mine).withColumn("other", F.explode(F.when(F.col("c") == 1, F.array(F.lit(0))).otherwise(F.array_except(F.sequence(F.lit(0), F.col("c") - 1), F.array("mine")))))
-    dealt = tiled.select("combo", "key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "fp")
-    by = ["combo", "key", "i", "j"]
-    return dealt.repartition(*by).sortWithinPartitions(*by).mapInArrow(lambda it: tile_links(it, masks, distance), "a long, b long")
-
-
-def group(fps: DataFrame, distance: int = 4) -> DataFrame:
-    """fps (doc_id, fp and others) with root, the same for all fingerprints of a component, and component_id, the smallest doc_id reachable."""
+    each = F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(i).cast("long").alias("path"), F.lit(m).cast("long").alias("used"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, (c, m) in enumerate(combos)])
+    keyed = distinct.select("tab", "fp", F.inline(each)).select(*KEYED)
+    by, links = ["tab", "path", "key"], None
+    # a group of 64 - k open bits has 2 ** k members at most, so groups beyond TILE have more than its bits left to cut
+    while True:
+        full = stored(keyed.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+        held = keyed.join(full, by)
+        dealt = held.where(F.col("n") <= TILE).select(*by, "combo", "fp").repartition(*by).sortWithinPartitions(*by)
+        found = dealt.mapInArrow(lambda it: tile_links(it, masks, distance), "tab int, a long, b long")
+        if full.where(F.col("n") > TILE).isEmpty():
+            return found if links is None else links.union(found)
+        found = stored(found, "links")
+        links = found if links is None else links.union(found)
+        hot = held.where(F.col("n") > TILE).select(*KEYED)
+        keyed = stored(hot.mapInArrow(lambda it: split(it, distance), "tab int, combo int, path long, used long, key long, fp long"), "finer-keys")
+
+
+def group(fps: DataFrame, distance: int = 4, tables: int = 1) -> DataFrame:
+    """fps (doc_id, fp and others) with root, the same for all fingerprints of a component, and component_id, the smallest doc_id reachable.
+
+    What is near in any table is linked. The first table's fingerprints are the nodes: each of another
+    table stands for the least node that has it.
+    """
     distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
-    roots = components(near_links(distinct.select("fp"), distance))
+    if tables == 1:
+        edges = near_links(distinct.select(F.lit(0).alias("tab"), "fp"), distance).select("a", "b")
+    else:
+        each = F.posexplode(F.array("fp", *[f"fp{t}" for t in range(1, tables)])).alias("tab", "other")
+        seen = stored(fps.select("fp", each).distinct(), "tables")
+        node = stored(seen.groupBy("tab", "other").agg(F.min("fp").alias("node")), "nodes")
+        links = near_links(node.select("tab", F.col("other").alias("fp")), distance)
+        for end in ("a", "b"):
+            links = links.join(node.select("tab", F.col("other").alias(end), F.col("node").alias(f"node_{end}")), ["tab", end])
+        same = seen.join(node, ["tab", "other"]).where("fp <> node").select("fp", "node")
+        edges = links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).union(same)
+    roots = components(edges)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(stored(rooted.join(names, "root").select("fp", "root", "component_id"), "labels"), "fp")
 
 
-def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, k: int = 4, distance: int = 4, tables: int = 1) -> DataFrame:
     """doc_id, fp, root and component_id of (doc_id, text)."""
-    return group(stored(fingerprints(docs, k), "fingerprints"), distance)
+    return group(stored(fingerprints(docs, k, tables=tables), "fingerprints"), distance, tables)
+
 
+def keep_first(docs: DataFrame, *, k: int = 2, distance: int = 4, tables: int = 8) -> DataFrame:
+    """One row of docs for each component: that of the least doc_id (a null id last, then the least text hash).
 
-def keep_first(docs: DataFrame, *, k: int = 4, distance: int = 4) -> DataFrame:
-    """One row of docs for each component: that of the least doc_id (a null id last, then the least text hash)."""
+    Texts that share 0.8 of their five-word shingles differ in some ten bits of a fingerprint over such
+    shingles, which no choice of blocks can find. Over two-word shingles they differ in some five, so that
+    one of several independent tables has them within four: nine of ten are found, and unrelated texts aren't.
+    """
     docs, restore = shielded(docs, "doc_id", "text")
     keyed = docs.withColumn("t_", F.xxhash64("text"))
-    fps = group(stored(fingerprints(keyed, k, ("doc_id", "t_")), "fingerprints"), distance)
+    fps = group(stored(fingerprints(keyed, k, ("doc_id", "t_"), tables), "fingerprints"), distance, tables)
     first = fps.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t_")).alias("w")).select(F.col("w.doc_id").alias("w_id"), F.col("w.t_").alias("w_t"))
-    kept = keyed.join(first, keyed["t_"].eqNullSafe(first["w_t"]) & keyed["doc_id"].eqNullSafe(first["w_id"])).drop("w_id", "w_t")
-    rows = kept.withColumn("n_", F.row_number().over(W.partitionBy("doc_id", "t_").orderBy("doc_id")))  # repeated rows
-    return restore(rows.where("n_ = 1"))
+    # of repeated rows one stays: they are told apart by number in the narrow table, not by moving texts again
+    rows = keyed.join(first, keyed["t_"].eqNullSafe(first["w_t"]) & keyed["doc_id"].eqNullSafe(first["w_id"])).drop("w_id", "w_t")
+    again = fps.groupBy("doc_id", "t_").agg(F.count("*").alias("n_")).where("n_ > 1")
+    if again.isEmpty():
+        return restore(rows)
+    numbered = rows.withColumn("n_", F.row_number().over(W.partitionBy("doc_id", "t_").orderBy("doc_id")))
+    return restore(numbered.where("n_ = 1"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,8 +209,8 @@ def test_links_join_all_that_is_near_also_in_tiles(spark, monkeypatch, blocks):
     fps = [(i, base[i % 6] ^ sum(1 << b for b in R.sample(range(64), R.randint(0, 5)))) for i in range(300)]
     signed = [(i, simhash._signed(f)) for i, f in fps]
     df = spark.createDataFrame(signed, "doc_id long, fp long")
-    links = simhash.near_links(df.select("fp").distinct(), 4, blocks)
-    roots = {r.node: r.root for r in simhash.components(links).collect()}
+    links = simhash.near_links(df.selectExpr("0 as tab", "fp").distinct(), 4, blocks)
+    roots = {r.node: r.root for r in simhash.components(links.select("a", "b")).collect()}
     want = brute_components(fps)
     mine: dict[int, int] = {}
     for i, f in signed:
@@ -219,9 +219,60 @@ def test_links_join_all_that_is_near_also_in_tiles(spark, monkeypatch, blocks):
     assert {(i, f, mine[roots.get(s, s)]) for (i, f), (_, s) in zip(fps, signed)} == want
 
 
+def test_a_hot_key_is_cut_by_further_blocks(spark):
+    """100,000 fingerprints that share half their bits: the same links as all pairs, and rows in proportion."""
+    r = np.random.default_rng(4)
+    low = r.integers(0, 1 << 32, 100_000, dtype=np.uint64)
+    low[50_000:50_400] = low[:400] ^ (np.uint64(1) << r.integers(0, 32, 400).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 32, 400).astype(np.uint64))
+    fps = np.unique(low | np.uint64(0xABCD1234 << 32)).view(np.int64)
+    df = spark.createDataFrame(pa.table({"fp": fps}).to_pandas())
+    links = {frozenset((e["a"], e["b"])) for e in simhash.near_links(df.selectExpr("0 as tab", "fp"), 4).distinct().toArrow().to_pylist()}
+    x, want = fps.view(np.uint64), set()
+    for mask in (0xFF, 0xFF00, 0xFF0000, 0xFF000000):  # near in 32 bits, at distance 2: one of four bytes agrees
+        order = np.argsort(x & np.uint64(mask), kind="stable")
+        y = x[order]
+        for lag in range(1, 600):
+            a, b = y[lag:], y[:-lag]
+            near = (np.bitwise_count(a ^ b) <= 2) & ((a & np.uint64(mask)) == (b & np.uint64(mask)))
+            want |= {frozenset(p) for p in zip(a[near].view(np.int64).tolist(), b[near].view(np.int64).tolist())}
+    root = {}
+
+    def find(v):
+        while root.get(v, v) != v:
+            v = root[v]
+        return v
+
+    for u, v in map(tuple, links):
+        assert bin((u ^ v) & (1 << 64) - 1).count("1") <= 4
+        root[find(u)] = find(v)
+    assert len(want) >= 390 and all(find(u) == find(v) for u, v in map(tuple, want))
+    rows = sum(b.num_rows for b in simhash.split(iter([pa.RecordBatch.from_pydict({"tab": pa.array(np.zeros(1000, np.int32)), "combo": pa.array(np.zeros(1000, np.int32)), "path": pa.array(np.zeros(1000, np.int64)), "used": pa.array(np.full(1000, -1 << 32)), "key": pa.array(np.zeros(1000, np.int64)), "fp": pa.array(fps[:1000])})]), 4))
+    assert rows == 15_000
+
+
+def test_pipeline_tables_find_nine_of_ten_near_copies():
+    """Copies with words exchanged so that 0.8 or more of the five-word shingles are shared."""
+    r, found, total, far = random.Random(8), 0, 0, 0
+    pool = ["".join(r.choices("abcdefghij", k=r.randint(2, 9))) for _ in range(3000)]
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    near = lambda a, b: any(bin(x ^ y).count("1") <= 4 for x, y in zip(a, b))
+    of = lambda w: simhash.fingerprint(" ".join(w).encode(), 2, tables=8)
+    last = None
+    for _ in range(150):
+        w = r.choices(pool, k=r.randint(60, 400))
+        v = [r.choice(pool) if r.random() < 0.02 else x for x in w]
+        a, b = shingles(w), shingles(v)
+        if len(a & b) / len(a | b) >= 0.8:
+            total += 1
+            found += near(of(w), of(v))
+        far += last is not None and near(of(w), last)
+        last = of(w)
+    assert total > 80 and found >= 0.9 * total and far == 0
+
+
 def test_keep_first_keeps_one_row_of_each_group(spark, sf, rows):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = simhash.keep_first(docs).collect()
+    kept = simhash.keep_first(docs, k=4, tables=1).collect()
     groups = {(r.root) for r in simhash.near_duplicates(docs.select("doc_id", "text")).collect()}
     assert len(kept) == len(groups) and sum(r.doc_id == 64 for r in kept) == 1 and not any(r.doc_id in (5, 65) for r in kept)
 
