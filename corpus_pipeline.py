@@ -3,6 +3,12 @@
 Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and
 returns the columns of ``documents``; the last returns the tokens. Stage results are
 written as Parquet and read again.
+
+Defined results, in all stages: null, empty and letterless texts go with the first stage;
+other nulls stay as they are; texts are taken whole, however long; of repeated rows the
+near-duplicate stage keeps one, and ties go to the least doc_id (null last); empty tables give
+empty results, an empty benchmark takes nothing away; columns beyond those of ``documents``
+are dropped by the first stage, so none clashes.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that of the least doc_id."""
+    """One document of each group of near copies stays, that of the least doc_id: those near in one of eight tables of two-word shingles."""
     return simhash.keep_first(pick(docs, *COLUMNS))
 
 
