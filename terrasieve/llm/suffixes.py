@@ -9,9 +9,14 @@ match nothing and stay out of the array.
 The benchmark is broadcast in blocks of bounded bytes, one pass over the documents
 for each block, so nothing that is broadcast grows beyond that bound.
 
-Defined results: a null or wordless document has no words and is clean; a null or
-wordless item is never found; repeated items each count; an empty benchmark leaves
-all documents clean; extra columns are ignored by the report and kept by ``clean``.
+The longest verbatim match of each item in each document is kept with its places:
+windows found one after another on a diagonal of document and item are one match.
+
+Defined results: a null or wordless document has no words and is clean; a very long one
+is a shard of its own; a null or wordless item is never found; repeated items each count,
+and of equally long matches of an item the first in the document is kept; an empty benchmark
+leaves all documents clean and an empty documents table gives no rows; repeated documents
+are each reported; extra columns are ignored by the report and kept by ``clean``.
 """
 
 from __future__ import annotations
@@ -144,7 +149,6 @@ class Shard:
         self.low, self.high = packed_columns(flat, at, window, self.base), packed_columns(high, at, window, self.base)
         self.order = np.argsort(self.which, kind="stable")  # suffixes by window; those of window w begin at off[w]
         self.off = np.concatenate([[0], np.cumsum(np.bincount(self.which, minlength=len(rows)))]).astype(np.int64)
-        self.depth = int(benchmark.lengths.max()) if len(benchmark.lengths) else 0
 
     def _suffixes(self, window: int) -> np.ndarray:
         return self.order[self.off[window] : self.off[window + 1]]
@@ -160,7 +164,7 @@ class Shard:
         # words from each position on before the next 0
         zero = np.flatnonzero(ids == 0)
         ahead = np.repeat(zero, np.diff(zero, prepend=-1)) - np.arange(len(ids))
-        sa = suffix_array(ids, np.flatnonzero(ahead >= self.least), max(self.window, self.depth if longest else 0), self.base)
+        sa = suffix_array(ids, np.flatnonzero(ahead >= self.least), self.window, self.base)
         found: list[tuple[list[int], np.ndarray, list]] = [([], np.zeros(0, np.int64), []) for _ in docs]
         if not len(sa) or not len(self.wide):
             return found
@@ -179,29 +183,31 @@ class Shard:
         doc = np.searchsorted(starts, pos, side="right") - 1
         order = np.argsort(doc, kind="stable")
         cuts = np.flatnonzero(np.diff(doc[order], prepend=-1))
+        best = self._longest(doc, starts, pos, window) if longest else {}
         for rows in np.split(order, cuts[1:]):
             d = int(doc[rows[0]])
             items = np.unique(np.concatenate([self.item[self._suffixes(w)] for w in np.unique(window[rows]).tolist()]))
             lo, hi = np.searchsorted(turns, [starts[d], starts[d] + lengths[d] + 1])
-            found[d] = ((turns[lo:hi] - starts[d]).tolist(), items, self._longest(ids, int(starts[d]), pos[rows], window[rows]) if longest else [])
+            found[d] = ((turns[lo:hi] - starts[d]).tolist(), items, best.get(d, []))
         return found
 
-    def _longest(self, ids: np.ndarray, start: int, pos: np.ndarray, window: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """The longest verbatim match of each item, by extending the windows found along their diagonal."""
-        best: dict[int, tuple[int, int, int, int]] = {}
-        reach: dict[tuple[int, int], int] = {}
-        for p, w in sorted(zip(pos.tolist(), window.tolist())):
-            for s in self._suffixes(w).tolist():
-                item, at = int(self.item[s]), int(self.at[s])
-                if reach.get((item, p - at), -1) >= p:
-                    continue
-                n = 0
-                while self.b.ids[at + n] and ids[p + n] == self.b.ids[at + n]:
-                    n += 1
-                reach[item, p - at] = p + n
-                if item not in best or n > best[item][3]:
-                    best[item] = (item, at - int(self.b.starts[item]), p - start, n)
-        return [best[i] for i in sorted(best)]
+    def _longest(self, doc: np.ndarray, starts: np.ndarray, pos: np.ndarray, window: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
+        """Of each document and item the longest verbatim match (item, item word, doc word, words): a stretch of windows found along a diagonal."""
+        times = np.diff(self.off)[window]
+        suffix = self.order[np.repeat(self.off[window], times) + np.arange(int(times.sum())) - np.repeat(np.cumsum(times) - times, times)]
+        p, d, item, at, wide = np.repeat(pos, times), np.repeat(doc, times), self.item[suffix], self.at[suffix], self.width[suffix]
+        order = np.lexsort((p, p - at, item, d))
+        p, d, item, at, wide = (x[order] for x in (p, d, item, at, wide))
+        same = (d[1:] == d[:-1]) & (item[1:] == item[:-1]) & (p[1:] == p[:-1] + 1) & (at[1:] == at[:-1] + 1)
+        first = np.flatnonzero(np.concatenate([[True], ~same]))
+        words = np.diff(np.append(first, len(p))) - 1 + wide[first]
+        p, d, item, at = p[first], d[first], item[first], at[first]
+        order = np.lexsort((p, -words, item, d))
+        keep = order[np.concatenate([[True], (d[order][1:] != d[order][:-1]) | (item[order][1:] != item[order][:-1])])]
+        out: dict[int, list[tuple[int, int, int, int]]] = {}
+        for k, i, a, b, n in zip(d[keep].tolist(), item[keep].tolist(), (at - self.b.starts[item])[keep].tolist(), (p - starts[d])[keep].tolist(), words[keep].tolist()):
+            out.setdefault(k, []).append((i, a, b, n))
+        return out
 
 
 def blocks_of(items: DataFrame, limit: int) -> Iterator[list[tuple[str | None, bytes | None]]]:
@@ -289,9 +295,9 @@ def n_hit(hit: str = "hit") -> Column:
 
 
 def report(docs: DataFrame, items: DataFrame, *, window: int = 10, longest: bool = False, **options: int) -> DataFrame:
-    """The digest of each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """The digest of each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, and with ``longest`` the matches."""
     return find(docs, items, window=window, longest=longest, **options).select(
-        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated")
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.size("hit") > 0).alias("contaminated"), *["matches"] * longest
     )
 
 
