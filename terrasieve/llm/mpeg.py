@@ -8,8 +8,9 @@ or the stream ends there), checksums are verified, and the exact duration and th
 byte offset of every frame are stored.
 
 Defined results: a null text is an empty one, which is stored as 64 zero bytes;
-equal texts give equal streams; damaged frames are counted and their bytes left
-out; a stream without frames has duration 0.
+very long texts take as many frames as they need; equal texts (ties, repeated rows) give
+equal streams, each in its own row; damaged frames are counted and their bytes left out; a
+stream without frames has duration 0; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,9 +139,19 @@ class Stream:
     skipped: int = 0
     xing_frames: int | None = None
     xing_bytes: int | None = None
+    xing_at: int = 0
     toc: bytes = b""
+    end: int = 0
     kbits: list[int] = field(default_factory=list)
 
+    @property
+    def table_ok(self) -> bool:
+        """If the Xing frame's count of frames, count of bytes and seek table are those of the frames found."""
+        if self.xing_frames != len(self.offsets) or self.xing_bytes != self.end - self.xing_at:
+            return False
+        n, total = len(self.offsets), self.xing_bytes or 1
+        return self.toc == (bytes(min(255, 256 * (self.offsets[n * i // 100] - self.xing_at) // total) for i in range(100)) if n else bytes(100))
+
     @property
     def seconds(self) -> tuple[int, int]:
         """Exact duration, as a fraction."""
@@ -202,7 +213,7 @@ def read_mpeg(data: bytes) -> Stream:
             continue
         body = start + head.side
         if data[body : body + 4] in (b"Xing", b"Info") and not out.offsets and out.xing_frames is None:
-            flags, p = struct.unpack_from(">I", data, body + 4)[0], body + 8
+            flags, p, out.xing_at = struct.unpack_from(">I", data, body + 4)[0], body + 8, at
             if flags & 1:
                 out.xing_frames, p = struct.unpack_from(">I", data, p)[0], p + 4
             if flags & 2:
@@ -216,6 +227,7 @@ def read_mpeg(data: bytes) -> Stream:
             out.kbits.append(head.kbits)
             parts.append((body, nxt))
         at = nxt
+    out.end = at
     left = int(out.tags.get("payload_bytes", 0)) if out.tags.get("payload_bytes", "0").isdigit() else 0
     pieces = []
     for i, (a, b) in enumerate(parts):  # every frame but the last is full
@@ -230,8 +242,7 @@ def feature(s: Stream) -> str:
     n, d = s.seconds
     seek = hashlib.sha256(np.array(s.offsets, "<u8").tobytes()).hexdigest()[:16]
     kbits = f"{min(s.kbits)}-{max(s.kbits)}" if s.kbits else "0"
-    table_ok = int(s.xing_frames == len(s.offsets))
-    return f"frames={len(s.offsets)};seconds={n}/{d};kbits={kbits};vbr_ok={table_ok};bad_crc={s.bad_crc};resyncs={s.resyncs};seek={seek}"
+    return f"frames={len(s.offsets)};seconds={n}/{d};kbits={kbits};vbr_ok={int(s.table_ok)};bad_crc={s.bad_crc};resyncs={s.resyncs};seek={seek}"
 
 
 def padded(text: bytes | None) -> bytes:
@@ -280,4 +291,4 @@ def probe_media(media: DataFrame, *, keep: tuple[str, ...] = ("doc_id", "n_bytes
 def op2_mpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams are stored as a table in the shared folder and read back from it."""
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    return probe_media(stored(add_media(docs), "media"), offsets=False)
+    return probe_media(stored(add_media(docs), "media"))
