@@ -1,11 +1,13 @@
 """Token ids in one compressed file a shard: a wavelet matrix with rank and select.
 
-File of a shard (before zstd), little endian: ``WMX1``, bits (u8), n (u64),
-n_docs (u64), n_symbols (u64); n_docs doc ids (i64), a packed bit for each that says
-if the id is null, n_docs + 1 starts (u64), the symbols that occur in ascending
-order (u32), whose places are what the planes hold; then for each bit from the
-highest down: the count of zeros (u64), the plane (packed bits, padded to 64 bytes)
-and its directory, the ones before each block of 512 bits (u64).
+File of a shard, little endian: ``WMX2``, the size of the head (u32) and the head, a zstd
+frame of bits (u8), n (u64), n_docs (u64), n_symbols (u64); n_docs doc ids (i64), a packed
+bit for each that says if the id is null, n_docs + 1 starts (u64), the symbols that occur
+in ascending order (u32), whose places are what the planes hold; for each bit from the
+highest down the count of zeros (u64) and the directory, the ones before each block of 512
+bits (u64); and the size of each following frame (u32). Then the planes (packed bits, padded
+to 64 bytes), each in zstd frames of ``STRETCH`` bytes. Reading a token, counting or looking
+one up unpacks the head once and of the planes only the stretches that it touches.
 
 Documents go to shards in ascending doc_id (nulls first, equal ids by the text's
 hash). Shards travel as rows of a Parquet table in the shared folder, since
@@ -13,7 +15,8 @@ executors may have no other path to it; ``save_files``-like copies need nothing
 but the binary column.
 
 Defined results: a null or empty text has only the end id; an empty table gives
-no shard and no row; a text longer than a shard gets one of its own.
+no shard and no row; a text longer than a shard gets one of its own; repeated rows are
+each written; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,6 +41,37 @@ from .common import pick, stored, table
 BLOCK = 512
 #: Ids in a shard before the next is begun; bounds what a task holds.
 SHARD_IDS = 1 << 21
+#: Bytes of a plane in a frame.
+STRETCH = 1 << 16
+
+
+class Plane:
+    """A plane as read from a file: bytes of it are unpacked where they are asked for."""
+
+    def __init__(self, frames: list[memoryview], size: int):
+        self.frames, self.size = frames, size
+        self.open: dict[int, np.ndarray] = {}
+        self.whole: np.ndarray | None = None
+
+    def __len__(self) -> int:
+        return self.size
+
+    def stretch(self, k: int) -> np.ndarray:
+        if k not in self.open:
+            self.open[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.frames[k]), np.uint8)
+        return self.open[k]
+
+    def __getitem__(self, at: int | slice) -> np.ndarray:
+        if not isinstance(at, slice):
+            return self.stretch(at // STRETCH)[at % STRETCH]
+        a, b, _ = at.indices(self.size)
+        parts = [self.stretch(k)[max(0, a - k * STRETCH) : b - k * STRETCH] for k in range(a // STRETCH, -(-b // STRETCH))]
+        return np.concatenate([np.zeros(0, np.uint8), *parts]) if len(parts) != 1 else parts[0]
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        if self.whole is None:
+            self.whole = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(f) for f in self.frames), np.uint8)
+        return self.whole
 
 
 class WaveletMatrix:
@@ -65,7 +99,7 @@ class WaveletMatrix:
     def _ones(self, level: int, i: int) -> int:
         """Ones of a plane before position i."""
         block, rest = divmod(i, BLOCK)
-        part = self.planes[level][block * BLOCK // 8 :][: (rest + 7) // 8]
+        part = self.planes[level][block * BLOCK // 8 : block * BLOCK // 8 + (rest + 7) // 8]
         ones = int(np.bitwise_count(part).sum())
         if rest % 8:
             ones -= int(part[-1] >> (rest % 8)).bit_count()
@@ -124,6 +158,17 @@ class WaveletMatrix:
         bits = np.unpackbits(self.planes[level][block * BLOCK // 8 : (block + 1) * BLOCK // 8], bitorder="little")
         return block * BLOCK + int(np.flatnonzero(bits == bit)[k - int(before[block])])
 
+    def ranks_at(self, symbol: int, at: np.ndarray) -> np.ndarray:
+        """Occurrences of the symbol before each of many positions."""
+        lo, hi = np.zeros(1, np.int64), at.astype(np.int64)
+        for level in range(self.bits):
+            words = np.append(np.asarray(self.planes[level]).view(np.uint64), np.uint64(0))
+            upto = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
+            ones = [upto[x >> 6] + np.bitwise_count(words[x >> 6] & ((np.uint64(1) << (x & 63).astype(np.uint64)) - np.uint64(1))) for x in (lo, hi)]
+            one = symbol >> (self.bits - 1 - level) & 1
+            lo, hi = (self.zeros[level] + y if one else x - y for x, y in zip((lo, hi), ones))
+        return hi - lo
+
     def find(self, symbol: int) -> list[int]:
         """All positions of the symbol."""
         return [self.select(symbol, k) for k in range(self.count(symbol))]
@@ -132,7 +177,7 @@ class WaveletMatrix:
         """All symbols: the stable partitions undone from the lowest bit up."""
         out = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self.planes[level], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(np.asarray(self.planes[level]), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(out)
             above[np.flatnonzero(~one)] = out[: self.zeros[level]]
             above[np.flatnonzero(one)] = out[self.zeros[level] :] | out.dtype.type(1 << (self.bits - 1 - level))
@@ -160,6 +205,11 @@ class Shard:
         place = self._place(token)
         return 0 if place is None else self.matrix.count(place)
 
+    def counts_in(self, token: int, starts: np.ndarray) -> np.ndarray:
+        """Occurrences of a token between each position and the next."""
+        place = self._place(token)
+        return np.zeros(max(0, len(starts) - 1), np.int64) if place is None else np.diff(self.matrix.ranks_at(place, starts))
+
     def find(self, token: int) -> list[int]:
         """All positions of a token."""
         place = self._place(token)
@@ -176,18 +226,23 @@ def write_shard(ids: np.ndarray, starts: np.ndarray, doc_ids: list[int | None])
     place = np.cumsum(seen) - 1
     m = WaveletMatrix.build(place.astype(np.uint16 if bits <= 16 else np.uint32)[ids], bits)
     null = np.packbits([x is None for x in doc_ids], bitorder="little") if doc_ids else np.zeros(0, np.uint8)
-    parts = [b"WMX1", struct.pack("<BQQQ", bits, len(ids), len(doc_ids), len(symbols)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), starts.astype("<u8").tobytes(), symbols.tobytes()]
+    pack = zstandard.ZstdCompressor(level=1).compress
+    head = [struct.pack("<BQQQ", bits, len(ids), len(doc_ids), len(symbols)), np.array([x or 0 for x in doc_ids], "<i8").tobytes(), null.tobytes(), starts.astype("<u8").tobytes(), symbols.tobytes()]
+    frames = []
     for z, plane, ranks in zip(m.zeros, m.planes, m.ranks):
-        parts += [struct.pack("<Q", z), plane.tobytes(), ranks.tobytes()]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+        head += [struct.pack("<Q", z), ranks.tobytes()]
+        frames += [pack(plane[i : i + STRETCH].tobytes()) for i in range(0, len(plane), STRETCH)]
+    first = pack(b"".join([*head, np.array([len(x) for x in frames], "<u4").tobytes()]))
+    return b"".join([b"WMX2", struct.pack("<I", len(first)), first, *frames])
 
 
 def read_shard(data: bytes) -> Shard:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    if raw[:4] != b"WMX1":
+    if data[:4] != b"WMX2":
         raise ValueError("not a wavelet shard")
-    bits, n, n_docs, n_symbols = struct.unpack_from("<BQQQ", raw, 4)
-    at = 4 + struct.calcsize("<BQQQ")
+    size = struct.unpack_from("<I", data, 4)[0]
+    raw = zstandard.ZstdDecompressor().decompress(memoryview(data)[8 : 8 + size])
+    bits, n, n_docs, n_symbols = struct.unpack_from("<BQQQ", raw, 0)
+    at = struct.calcsize("<BQQQ")
 
     def take(dtype: str, count: int) -> np.ndarray:
         nonlocal at
@@ -197,12 +252,15 @@ def read_shard(data: bytes) -> Shard:
 
     ids, nulls, starts, symbols = take("<i8", n_docs), take("u1", -(-n_docs // 8)), take("<u8", n_docs + 1), take("<u4", n_symbols)
     null = np.unpackbits(nulls, count=n_docs, bitorder="little")
-    zeros, planes, ranks = [], [], []
+    zeros, ranks = [], []
     blocks = -(-max(n, 1) // BLOCK)
     for _ in range(bits):
         zeros.append(int(take("<u8", 1)[0]))
-        planes.append(take("u1", blocks * BLOCK // 8))
         ranks.append(take("<u8", blocks + 1))
+    each = -(-(blocks * BLOCK // 8) // STRETCH)
+    ends = 8 + size + np.concatenate([[0], np.cumsum(take("<u4", bits * each), dtype=np.int64)])
+    frames = [memoryview(data)[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+    planes = [Plane(frames[k * each : (k + 1) * each], blocks * BLOCK // 8) for k in range(bits)]
     return Shard(WaveletMatrix(n, bits, zeros, planes, ranks), symbols, starts.astype(np.int64), [None if k else int(x) for x, k in zip(ids, null)])
 
 
@@ -325,8 +383,8 @@ def write_shards(docs: DataFrame, tokenizer: str, end: int = 0, *, shard_ids: in
     return in_order.select("doc_id", "text").mapInArrow(run, "part int, shard int, n_docs long, n_ids long, file binary")
 
 
-def read_documents(shards: DataFrame) -> DataFrame:
-    """Each document as the files have it: doc_id, start, n_tokens, ids_crc32."""
+def read_documents(shards: DataFrame, end: int = 0) -> DataFrame:
+    """Each document as the files have it: doc_id, start, n_tokens, ids_crc32, and n_end, how often the end id is in it, by rank."""
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("in_part"))
     before = parts.select("part", (F.sum("in_part").over(W.orderBy("part")) - F.col("in_part")).alias("before_part"))
     inside = shards.select("part", "shard", (F.sum("n_ids").over(W.partitionBy("part").orderBy("shard")) - F.col("n_ids")).alias("in_part_before"))
@@ -338,9 +396,9 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 x = read_shard(data.as_py())
                 ids, starts, doc_ids = x.decode(), x.starts, x.doc_ids
                 crc = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts[:-1] + at, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts[:-1] + at, pa.int64()), pa.array(np.diff(starts), pa.int64()), pa.array(crc, pa.int64()), pa.array(x.counts_in(end, starts), pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32", "n_end"])
 
-    return shards.select("part", "shard", "file").join(first, ["part", "shard"]).select("file", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return shards.select("part", "shard", "file").join(first, ["part", "shard"]).select("file", "first").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, n_end long")
 
 
 def op6_wavelet_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
