@@ -15,7 +15,8 @@ Lines are parted by ``\\n`` and compared by 64-bit hash after trailing white spa
 cut. Defined results: null and empty texts have no lines to delete and stay as they
 are; blank lines are never anchors; documents of equal lines lose all of them but in the
 first; rows with the same doc_id and text count as one document, so neither loses lines
-to the other; null ids come first in order; extra columns are kept.
+to the other; null ids come first in order; very long texts are taken whole; an empty table
+gives no rows; extra columns are kept.
 """
 
 from __future__ import annotations

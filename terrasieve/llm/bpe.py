@@ -7,8 +7,9 @@ first. Texts are cut by the pre-token pattern and each pre-token is encoded by
 itself; decoding maps pieces back to bytes.
 
 Defined results: a null text counts as empty, an empty text has no tokens, any
-byte sequence that is valid UTF-8 returns exactly, special tokens are never made,
-and extra columns of the input are ignored by the digest.
+byte sequence that is valid UTF-8 returns exactly, however long the text; special tokens
+are never made; repeated rows are each encoded; an empty table gives no rows; extra columns
+of the input are ignored by the digest.
 """
 
 from __future__ import annotations

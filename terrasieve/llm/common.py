@@ -20,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
+    """A fresh path in the folder that driver and executors share; only a local master may go without one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:  # unset in tests and in local mode only
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             import tempfile
 

@@ -15,8 +15,9 @@ with the data.
 
 Defined results: a null text is an empty one, of which the end alone is scored; an
 unseen word counts as the one unseen word of its class; without training rows the
-model is uniform; rows with equal ids and texts are scored each; extra columns are
-ignored.
+model is uniform; a very long document is read in pieces or windows, each from where the one
+before ended; rows with equal ids and texts are scored each; words of equal count are taken
+in order of their bytes; an empty documents table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -6,8 +6,8 @@ range of (shard, key), numbered inside their partition, and moved by the counts
 the partitions before.
 
 Defined results: a null id is hashed like any other value, a null text has size 16
-and the crc of no bytes, equal rows get neighbouring slots, an empty table gives
-no rows.
+and the crc of no bytes, very long texts only add their bytes, equal rows and ties get
+neighbouring slots, an empty table gives no rows, extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -4,12 +4,16 @@ A language is a distribution over hashed byte n-grams, counted over all training
 rows. A document is a mixture of languages: expectation-maximisation estimates the
 proportions from the likelihoods of its n-grams, for the likeliest language alone,
 the likeliest two, three and so on, and the set with the best penalised likelihood
-is kept: each more language costs the log of the n-gram count. The prediction is the language with the largest proportion, which is
-the score.
-
-Defined results: a null text, or one without a letter, is ``und`` with score 0;
-ties go to the language that sorts first; without any training row all texts are
-``und``; rows with a null language are not learned from; extra columns are ignored.
+is kept: each more language costs the log of the n-gram count. The search takes languages in
+order of their proportions among all, and ends at the first that doesn't pay; EM ends when no
+proportion moves by 0.0001, after ``STEPS`` steps at the latest. The prediction is the
+language with the largest proportion, which is the score.
+
+Defined results: a null text, or one without a letter, is ``und`` with score 0; very long
+texts are taken whole; ties go to the language that sorts first; repeated rows are learned from
+and predicted each; without any training row all texts are ``und``; an empty table gives no rows;
+rows with a null language are not learned from; extra columns are ignored. The model is broadcast,
+so over ``MOST_LANGUAGES`` languages are refused with a ValueError before any text is judged.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ CHUNK = 1 << 12
 #: Languages a model can hold; bounds what is broadcast to 64 MB.
 MOST_LANGUAGES = 256
 UNDETERMINED = "und"
+#: Steps of EM at most.
+STEPS = 50
 #: How surely a text must be in no learned language to be rejected, in nats.
 EVIDENCE = 30.0
 
@@ -104,7 +110,7 @@ class Mixture:
                 counts[at[lang], chunk * CHUNK : (chunk + 1) * CHUNK] += np.frombuffer(c, np.int64)
         return cls(known, counts)
 
-    def infer(self, text: bytes, steps: int = 12) -> tuple[str, float, dict[str, float], float]:
+    def infer(self, text: bytes, steps: int = STEPS) -> tuple[str, float, dict[str, float], float]:
         """Language, score, the proportions of the chosen set, and its log-likelihood less that of uniform n-grams."""
         if not self.langs or not any(map(str.isalpha, text.decode("utf-8", "replace"))):
             return UNDETERMINED, 0.0, {}, 0.0

@@ -119,6 +119,23 @@ def test_suffix_arrays_are_sorted_and_longest_matches_found(spark, sf):
     assert [tuple(m) for r in found.where("doc_id = 1").collect() for m in r.matches] == [("k", 1, 3, 5)]
 
 
+def test_op1_longest_matches_equal_brute_force(spark):
+    r = random.Random(6)
+    items = [(str(k), " ".join(r.choices("abc", k=r.randint(1, 9)))) for k in range(8)]
+    docs = [(k, " ".join(r.choices("abcd", k=r.randint(0, 60)))) for k in range(25)]
+    got = suffixes.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), window=3).collect()
+    for row in got:
+        d = dict(docs)[row.doc_id].split()
+        want = {}
+        for k, t in items:
+            w = t.split()
+            best = max(((n, -b, -a) for a in range(len(w)) for b in range(len(d)) for n in range(min(3, len(w)), len(w) - a + 1) if d[b : b + n] == w[a : a + n]), default=None)
+            if best:
+                want[k] = (best[0], -best[1])
+        assert {m.item_id: (m.words, m.doc_word) for m in row.matches} == want
+        assert all(d[m.doc_word : m.doc_word + m.words] == dict(items)[m.item_id].split()[m.item_word : m.item_word + m.words] for m in row.matches)
+
+
 def test_op2_round_trip(spark, sf, rows):
     got = registry.QUERIES["op2_mpeg_media"](spark, sf)
     want = Counter()
@@ -127,7 +144,12 @@ def test_op2_round_trip(spark, sf, rows):
         p = x + bytes(max(64, -(-len(x) // 64) * 64) - len(x))
         want[d, len(x), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:])] += 1
     assert as_multiset(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
-    assert "bad_crc=0;resyncs=0" in got.first().feature
+    for r in got.collect():
+        assert "vbr_ok=1;bad_crc=0;resyncs=0" in r.feature
+        assert len(r.frame_offsets) == -(-r.payload_bytes // 1413) and r.duration == len(r.frame_offsets) * 1152 / 32000
+        x = next(t for d, t in rows if d == r.doc_id and len((t or "").encode()) == r.n_bytes)
+        data = mpeg.write_mpeg(mpeg.padded((x or "").encode()))
+        assert r.media_bytes == len(data) and all(data[o : o + 2] == b"\xff\xfa" for o in r.frame_offsets)
 
 
 def test_mpeg_streams_resynchronise_and_report_damage():
@@ -140,7 +162,11 @@ def test_mpeg_streams_resynchronise_and_report_damage():
     assert cut.payload == p and cut.resyncs == 1 and cut.skipped == 8
     hurt = bytearray(data)
     hurt[s.offsets[1] + 5] ^= 1
-    assert mpeg.read_mpeg(bytes(hurt)).bad_crc == 1
+    assert mpeg.read_mpeg(bytes(hurt)).bad_crc == 1 and s.table_ok and not cut.table_ok
+    for at in (s.xing_at + 21 + 8, s.xing_at + 21 + 12, s.xing_at + 21 + 17 + 50):  # count of frames, of bytes, seek table
+        wrong = bytearray(data)
+        wrong[at + 2] ^= 1
+        assert mpeg.read_mpeg(bytes(wrong)).payload == p and not mpeg.read_mpeg(bytes(wrong)).table_ok
     tagged = data + b"TAG" + b"Title".ljust(125, b"\0")
     assert mpeg.read_mpeg(tagged).tags["TIT2"] == "Title" and mpeg.read_mpeg(tagged).payload == p
     assert mpeg.read_mpeg(b"").seconds == (0, 1) and mpeg.read_mpeg(b"\xff" * 50).offsets == []
@@ -168,6 +194,27 @@ def test_op3_on_held_out_rows_and_edges(spark, sf):
     assert [r.doc_id for r in mixture.keep_language(unlabelled, mixture.Mixture.fit(unlabelled)).collect()] == [1]
 
 
+def test_mixture_finds_the_proportions_a_grid_search_finds():
+    r = np.random.default_rng(2)
+    words = {"aa": "stone harbour wind grain".split(), "bb": "pierre vent moisson quai".split(), "cc": "hafen korn sturm stein".split()}
+    counts = np.array([np.bincount(mixture.grams(" ".join(r.choice(w, 3000)).encode()), minlength=1 << mixture.BITS) for w in words.values()])
+    m = mixture.Mixture(list(words), counts)
+    for share in (0.0, 0.25, 0.5, 0.8):
+        text = " ".join([*r.choice(words["aa"], round(400 * (1 - share))), *r.choice(words["bb"], round(400 * share))]).encode()
+        lang, score, proportions, _ = m.infer(text)
+        seen = np.bincount(mixture.grams(text), minlength=1 << mixture.BITS)
+        where = np.flatnonzero(seen)
+        fit = lambda t: float(seen[where] @ np.log(m.p[where] @ t))
+        grid = max((fit(np.array([1 - t, t, 0.0])), t) for t in np.linspace(0, 1, 401))[1]
+        n = seen.sum()
+        best = {}  # of each set of languages, by a grid: the penalised likelihood
+        for own in ([0], [0, 1], [0, 1, 2]) if share < 0.5 else ([1], [0, 1], [0, 1, 2]):
+            shares = [np.eye(3)[own[0]]] if len(own) == 1 else [np.array([1 - t, t, 0.0]) * (1 - u) + np.array([0, 0, u]) for t in np.linspace(0, 1, 101) for u in ([0.0] if len(own) == 2 else np.linspace(0, 0.2, 21))]
+            best[len(own)] = max(map(fit, shares)) - (len(own) - 1) * np.log(n)
+        assert len(proportions) == max(best, key=best.get) == (2 if share else 1)
+        assert abs(proportions.get("bb", 0.0) - grid) < 0.01 and lang == ("bb" if share > 0.5 else "aa" if share < 0.5 else lang) and score == max(proportions.values())
+
+
 def brute_components(fps, distance=4):
     distinct = sorted({f for _, f in fps})
     root = {f: f for f in distinct}
@@ -306,8 +353,8 @@ def test_op6_reads_back_what_the_tokenizer_gave(spark, sf, rows):
         start += r.n_tokens
     for d, t in rows:
         ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want[d, len(ids), zlib.crc32(ids.tobytes())] += 1
-    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        want[d, len(ids), zlib.crc32(ids.tobytes()), int((ids == 0).sum())] += 1
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32, r.n_end) for r in got) == want
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda d: (d is not None, d or 0))
 
@@ -326,6 +373,19 @@ def test_wavelet_matrix(n, high):
         if at:
             place = x._place(token)
             assert x.matrix.rank(place, at[-1]) == len(at) - 1 and x.matrix.select(place, len(at) - 1) == at[-1]
+            cuts = np.sort(r.integers(0, n + 1, 9))
+            assert x.counts_in(token, cuts).tolist() == [int((ids[a:b] == token).sum()) for a, b in zip(cuts, cuts[1:])]
+
+
+def test_wavelet_access_unpacks_only_what_it_touches(monkeypatch):
+    monkeypatch.setattr(wavelet, "STRETCH", 256)
+    ids = np.random.default_rng(1).integers(0, 1000, 100_000).astype("<u4")
+    x = wavelet.read_shard(wavelet.write_shard(ids, np.array([0, len(ids)]), [7]))
+    assert [x.access(i) for i in (0, 70_000, 99_999)] == ids[[0, 70_000, 99_999]].tolist()
+    opened = [len(p.open) for p in x.matrix.planes]
+    assert max(opened) <= 3 and all(p.whole is None for p in x.matrix.planes) and len(x.matrix.planes[0].frames) == 49
+    assert x.count(5) == int((ids == 5).sum()) and x.find(5) == np.flatnonzero(ids == 5).tolist()
+    assert (x.decode() == ids).all()
 
 
 def test_op7_base_score_and_held_out_gain(spark, sf, rows):
@@ -427,6 +487,26 @@ def test_gru_training_does_not_depend_on_where_windows_cut(monkeypatch):
     assert np.allclose(seen[0], seen[1], atol=1e-5) and np.allclose(seen[0], seen[2], atol=1e-5)
 
 
+def test_gru_gains_on_held_out_text(spark):
+    """Words that follow one another in a fixed order: the model scores held-out text above the base."""
+    r = random.Random(1)
+    circle = ["".join(r.choices("abcdefgh", k=4)) for _ in range(40)]
+    docs = [(i, " ".join(circle[(s + k) % 40] for k in range(60))) for i in range(600) for s in [r.randrange(40)]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    got = gru.score(df, df.where("doc_id % 7 <> 2")).where("doc_id % 7 = 2").groupBy().sum("score", "base_score").first()
+    assert got[0] > 0.95 * got[1]
+
+
+def test_a_local_work_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from terrasieve.llm import common
+
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError):
+        common.work_path(fake, "x")
+
+
 def test_op7_score_equals_a_plain_loop(spark, sf, rows):
     """The score of every document, word by word: class, word in class, share of the count in a rare class."""
     train = [(d, t) for d, t in rows if d is not None and zlib.crc32(str(d).encode()) % 7 != 2]
