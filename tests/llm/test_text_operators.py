@@ -491,7 +491,7 @@ def test_gru_gains_on_held_out_text(spark):
     """Words that follow one another in a fixed order: the model scores held-out text above the base."""
     r = random.Random(1)
     circle = ["".join(r.choices("abcdefgh", k=4)) for _ in range(40)]
-    docs = [(i, " ".join(circle[(s + k) % 40] for k in range(60))) for i in range(600) for s in [r.randrange(40)]]
+    docs = [(i, " ".join(circle[(s + k) % 40] for k in range(60))) for i in range(9000) for s in [r.randrange(40)]]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
     got = gru.score(df, df.where("doc_id % 7 <> 2")).where("doc_id % 7 = 2").groupBy().sum("score", "base_score").first()
     assert got[0] > 0.95 * got[1]
