@@ -148,3 +148,36 @@ def renamed(df: DataFrame, name_of) -> DataFrame:
 
 def cast_all(df: DataFrame, types: Mapping[str, str]) -> DataFrame:
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns])
+
+
+#: Fixed value: square metres in a rai.
+SQUARE_M_PER_RAI = 1600.0
+
+
+def is_or_null(c: Column | str, value) -> Column:
+    """Equal to a value, or null."""
+    return (col(c) == value) | col(c).isNull()
+
+
+def probability_bins(p: Column | str, low: float, high: float) -> Column:
+    """0 where the probability is 0 (not rice), else 1 below ``low``, 2 up to ``high``, 3 above it."""
+    p = col(p)
+    return F.when(p == 0, 0).when(p < low, 1).when(p <= high, 2).when(p > high, 3)
+
+
+def adjacent_differences(columns: Sequence[str]) -> list[Column]:
+    """Each column less the next, named a-b."""
+    return [(F.col(a) - F.col(b)).alias(f"{a}-{b}") for a, b in zip(columns, columns[1:])]
+
+
+def agreements(flags: Sequence[str], name: str) -> list[Column]:
+    """If all flags are set, and for each two if they are equal, named by both."""
+    every = F.lit(True)
+    for f in flags:
+        every = every & F.col(f)
+    return [every.alias(name), *[(F.col(a) == F.col(b)).alias(a + b) for i, a in enumerate(flags) for b in flags[i + 1 :]]]
+
+
+def with_fragment(df: DataFrame, fragments: Sequence[str]) -> DataFrame:
+    """Only columns whose name holds one of the fragments: a choice on the schema, not on rows."""
+    return df.select(*[c for c in df.columns if any(f in c for f in fragments)])

@@ -207,3 +207,13 @@ def lowest(ts: Column | str, k: int) -> Column:
 def agreed_day(a: Column | str, b: Column | str, k: int) -> Column:
     """The period lowest in a that is among the k lowest of both series; null where they share none."""
     return F.get(F.array_intersect(lowest(a, k), lowest(b, k)), F.lit(0))
+
+
+def sum_under_median(ts: Column | str) -> Column:
+    """Sum of what values lie below their median, wherever they are."""
+    return let(series_median(ts), lambda m: series_sum(F.transform(col(ts), lambda x: F.greatest(m - x, F.lit(0.0)))))
+
+
+def above(ts: Column | str, threshold: Column | float) -> Column:
+    """1 where above the threshold, else 0."""
+    return F.transform(col(ts), lambda x: F.when(x > threshold, 1).otherwise(0))

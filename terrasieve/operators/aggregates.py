@@ -135,3 +135,10 @@ def quantile_trim(df: DataFrame, by: Sequence[str], c: str, low: float = 0.001,
 def reconcile(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Rows and all-null rows of a group, to compare stages."""
     return df.groupBy(*by).agg(F.count("*").alias("n_rows"), F.count_if(F.coalesce(*columns).isNull()).alias("n_all_null"))
+
+
+def zonal_shares(df: DataFrame, by: Sequence[str], value: str, classes: dict[str, Column]) -> DataFrame:
+    """Pixels of a zone that aren't 0, and the share of them in each class; zones without any are left out."""
+    total = F.count_if(F.col(value) != 0)
+    counted = df.groupBy(*by).agg(total.alias("total"), *[F.count_if(c).alias(f"_{n}") for n, c in classes.items()]).where("total > 0")
+    return counted.select(*by, "total", *[(F.col(f"_{n}") / F.col("total")).alias(n) for n in classes])

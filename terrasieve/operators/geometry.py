@@ -274,3 +274,8 @@ def related(left: DataFrame, right: DataFrame, a: str, b: str, cell: float, *, w
     boxes = (F.col("_ma.xmin") <= F.col("_mb.xmax")) & (F.col("_mb.xmin") <= F.col("_ma.xmax")) & (F.col("_ma.ymin") <= F.col("_mb.ymax")) & (F.col("_mb.ymin") <= F.col("_ma.ymax"))
     kept = met.where(first & boxes).drop("_cx", "_cy", "_ma", "_mb")
     return kept.where(polygons_related(a, b, within=within))
+
+
+def is_kind(wkt: Column | str, *kinds: str) -> Column:
+    """If a geometry is of one of the kinds, by the word its text begins with."""
+    return F.upper(F.regexp_extract(wkt, r"^\s*([A-Za-z]+)", 1)).isin(*[k.upper() for k in kinds])

@@ -128,3 +128,25 @@ def shared_pixels(values: DataFrame, plots: DataFrame, on: Sequence[str] = ("row
 def not_done(todo: DataFrame, done: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys that have no output yet."""
     return todo.join(done.select(*on).distinct(), list(on), "left_anti")
+
+
+def merged(frames: Sequence[DataFrame], on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Frames joined one after another on the columns they share."""
+    return reduce(lambda a, b: a.join(b, list(on), how), frames)
+
+
+def compared(a: DataFrame, b: DataFrame, on: Sequence[str], suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """A left join where every other column of a and b carries its suffix."""
+    x, y = (df.select(*on, *[F.col(c).alias(c + s) for c in df.columns if c not in on]) for df, s in zip((a, b), suffixes))
+    return x.join(y, list(on), "left")
+
+
+def stacked(frames: Sequence[DataFrame]) -> DataFrame:
+    """Frames one below the other by column name; what one lacks is null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def coded(df: DataFrame, names: Sequence[str], code: str) -> DataFrame:
+    """Names numbered from 1 in order, joined back; only the distinct names are ordered, which a gazetteer bounds."""
+    distinct = df.select(*names).distinct()
+    return df.join(distinct.withColumn(code, F.row_number().over(W.orderBy(*names))), list(names))

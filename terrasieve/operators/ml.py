@@ -179,3 +179,18 @@ def oversampled(df: DataFrame, label: str, minority: int, features: Sequence[str
     picked = ranked.where(F.col("_r") == F.pmod(F.xxhash64(key), F.lit(k)) + 1)
     u = F.pmod(F.xxhash64(F.lit("u"), key), F.lit(1000)) / 1000
     return picked.select(F.col(key), *[(F.col(f) + u * (F.col(f"_{f}") - F.col(f))).alias(f) for f in features], F.lit(minority).alias(label))
+
+
+def saved(model: PipelineModel, path: str) -> PipelineModel:
+    """A model written to a folder and read from it."""
+    model.write().overwrite().save(path)
+    return PipelineModel.load(path)
+
+
+def scored_at_fpr(model: PipelineModel, df: DataFrame, label: str, fpr: float) -> DataFrame:
+    """Rows with their score and if it reaches the threshold whose false positive rate is nearest to ``fpr``."""
+    from .metrics import threshold_at_fpr
+
+    done = scored(model, df)
+    at = threshold_at_fpr(roc_curve(done, "score", F.col(label) == 1), fpr).first()["threshold"]
+    return done.withColumn("positive", F.col("score") >= at)

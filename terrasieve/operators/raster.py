@@ -81,3 +81,10 @@ def ratio_tier(a: Column, b: Column, low: float = 0.75, high: float = 1.25) -> C
     """1 where two areas agree, 2 below, 3 above."""
     r = F.try_divide(a, b)
     return F.when(r.between(low, high), 1).when(r < low, 2).when(r > high, 3)
+
+
+def stretched(df: DataFrame, by: Sequence[str], value: str, name: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
+    """Values as shades 0 to 255 between two percentiles of their image."""
+    bounds = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("_q"))
+    x = (F.col(value) - F.col("_q")[0]) / F.nullif(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))
+    return df.join(bounds, list(by)).withColumn(name, F.floor(255 * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).cast("int")).drop("_q")

@@ -62,3 +62,27 @@ def anchor_days(key: Column | str, first: int, last: int) -> Column:
 def holdout(df: DataFrame, key: Sequence[str], share: float = 0.2, seed: int = 1) -> DataFrame:
     """``held_out``, the same for all rows of a key."""
     return df.withColumn("held_out", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1000)) < int(1000 * share))
+
+
+def share_per_class(df: DataFrame, by: Sequence[str], key: Sequence[str], share: float, seed: int = 0) -> DataFrame:
+    """The first rows of each class in hash order, a share of its count rounded up."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    ranked = null_safe(hash_rank(df, by, key, seed), sizes, by)
+    return ranked.where(F.col("_r") <= F.ceil(F.col("_n") * share)).drop("_r", "_n")
+
+
+def by_ratio_rules(df: DataFrame, district: str, year: str, label: str, key: str, seed: int = 0) -> DataFrame:
+    """Distinct keys: all with label 1, and of those with label 0 in each district and year as many as with label 1.
+
+    Where a year has none with label 1, it is the district's ratio of both over all years, or the
+    least ratio of all districts where the district has none either.
+    """
+    keys = df.select(district, year, label, key).distinct()
+    one, no = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
+    ratios = keys.select(district, label, key).distinct().groupBy(district).agg(F.try_divide(one, no).alias("_ratio"))
+    least = ratios.agg(F.min(F.when(F.col("_ratio") == 0, 1.0).otherwise(F.col("_ratio")))).first()[0]
+    sizes = keys.groupBy(district, year).agg(one.alias("_one"), no.alias("_no")).join(ratios, district)
+    by_rule = F.when(F.col("_ratio") == 0, F.lit(least)).otherwise(F.col("_ratio")) * F.col("_no")
+    take = F.least(F.col("_no"), F.ceil(F.when(F.col("_one") == 0, by_rule).otherwise(F.least("_one", "_no"))))
+    ranked = hash_rank(keys.where(F.col(label) == 0), [district, year], [key], seed).join(sizes.select(district, year, take.alias("_take")), [district, year])
+    return keys.where(F.col(label) == 1).unionByName(ranked.where(F.col("_r") <= F.col("_take")).select(*keys.columns))

@@ -181,3 +181,67 @@ def two_satellites(first: str, last: str, cycle: int = 12) -> Column:
     """Days of two alternating satellites: (day, satellite) every half cycle."""
     days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"interval {cycle // 2} day"))
     return F.transform(days, lambda d, i: F.struct(d.alias("day"), F.when(i % 2 == 0, "A").otherwise("B").alias("satellite")))
+
+
+def ideal_days(df: DataFrame, key: Sequence[str], day: str, cycle: int, back: int = 20, ahead: int = 20) -> DataFrame:
+    """The days of a cycle from ``back`` cycles before a key's first day to ``ahead`` cycles after its last."""
+    ends = df.groupBy(*key).agg(F.date_sub(F.min(day), cycle * back).alias("_a"), F.date_add(F.max(day), cycle * ahead).alias("_b"))
+    return ends.select(*key, F.explode(F.expr(f"sequence(_a, _b, interval {cycle} day)")).alias(day))
+
+
+def band_window(ideal: DataFrame, actual: DataFrame, key: Sequence[str], day: str, first: str, last: str) -> DataFrame:
+    """Ideal days inside a window with the number of the band acquired on each, null where there is none."""
+    bands = actual.withColumn("band", F.row_number().over(W.partitionBy(*key).orderBy(day)))
+    inside = ideal.where(F.col(day).between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return inside.join(bands.select(*key, day, "band"), [*key, day], "left")
+
+
+def stage_drops(df: DataFrame, ts: str, stages: Mapping[str, tuple[int, int]], *, with_first: bool = True, before: int = 1, after: int = 5) -> DataFrame:
+    """Least one-period difference of each stage (the first of a stage is against the stage before), which stage has the least, its period, and the values around it.
+
+    Without the first stage, ``period`` and ``at`` look at the others alone, and ``at`` not at the step into them.
+    """
+    (start, _), names = next(iter(stages.values())), list(stages)
+    end = max(b for _, b in stages.values())
+    d = df.withColumn("_d", S.diff(F.slice(F.col(ts), F.lit(1), F.lit(end + 1))))
+    for n, (a, b) in stages.items():
+        d = d.withColumn(n, F.array_min(S.stretch("_d", max(a, start + 1), b)))
+    used = names if with_first else names[1:]
+    least = F.least(*[F.col(n) for n in used]) if len(used) > 1 else F.col(used[0])
+    period = F
+    for n in used:
+        period = period.when(F.col(n) == least, names.index(n) + 1)
+    first = start + 1 if with_first else stages[names[1]][0] + 1
+    held = d.withColumn("period", period).withColumn("sharpest", least).withColumn("at", S.arg_min(F.transform("_d", lambda x, i: F.when(i >= first, x))))
+    return held.withColumn("window", S.around(ts, F.col("at"), before, after)).drop("_d")
+
+
+def between_periods(ts: Column | str, first: Column, last: Column) -> Column:
+    """Periods first to last, cut at both ends of the series."""
+    a, b = F.greatest(first, F.lit(0)), F.least(last, F.size(ts) - 1)
+    return F.slice(ts, a + 1, F.greatest(b - a + 1, F.lit(0)))
+
+
+def run_shares(df: DataFrame, by: Sequence[str], flags: str, edges: Sequence[int]) -> DataFrame:
+    """Rows of a group and the shares of them by length of their longest run of flags, strict and with single gaps filled."""
+    modes = {"strict": S.longest_run(flags), "relax": S.longest_run(S.relax(flags))}
+    binned = df.select(*by, *[r.alias(m) for m, r in modes.items()]).select(*by, *[digitize(m, edges).alias(m) for m in modes])
+    shares = [(F.count_if(F.col(m) == k) / F.count("*")).alias(f"{m}_{k}") for m in modes for k in range(len(edges) + 1)]
+    return binned.groupBy(*by).agg(F.count("*").alias("n"), *shares)
+
+
+def image_window(plant: str, cycle: int, images: int, before: int) -> tuple[Column, Column]:
+    """First and last day of a window of images, ``before`` of them before planting."""
+    return F.date_sub(plant, cycle * before), F.date_add(plant, cycle * (images - before - 1))
+
+
+def dual_era(df: DataFrame, by: Sequence[str], day: str, second: Column, days: int = 6) -> DataFrame:
+    """Rows since some days before the second satellite's first, with that ``start``."""
+    first = df.where(second).groupBy(*by).agg(F.date_sub(F.min(day), days).alias("start"))
+    return df.join(first, list(by)).where(F.col(day) >= F.col("start"))
+
+
+def percentile_runs(pct: Column, under: Sequence[float], above: Sequence[float]) -> dict[str, Column]:
+    """Longest runs of percentiles under and above each bound, strict and with single gaps filled, by name."""
+    flags = {**{f"u{v}": S.under(pct, v) for v in under}, **{f"a{v}": S.above(pct, v) for v in above}}
+    return {f"{n}_{m}": S.longest_run(g(f)) for n, f in flags.items() for m, g in (("strict", lambda x: x), ("relax", S.relax))}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from . import evaluation, features, relational, rows, season
+from . import evaluation, features, relational, rows, season, shapes
 
 FLAGSHIP = "season_features"
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for part in (rows, relational, season, evaluation, features):
+for part in (rows, relational, season, evaluation, features, shapes):
     QUERIES |= part.QUERIES
     SQL |= part.SQL

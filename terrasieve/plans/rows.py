@@ -180,7 +180,7 @@ def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _KDE = """{n}s AS (SELECT count(*) AS n, stddev_samp(l_quantity) * pow(count(*), -0.2) AS h FROM lineitem WHERE l_returnflag = '{f}'),
 {n}v AS (SELECT l_quantity AS v, count(*) AS w FROM lineitem WHERE l_returnflag = '{f}' GROUP BY 1),
-{n} AS (SELECT i, sum(w * exp(-0.5 * pow((51.0 * i / 49 - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS d FROM {n}v, {n}s, range(50) r(i) GROUP BY i)"""
+{n} AS (SELECT i, sum(w * exp(-0.5 * pow((51.0 * i / 199 - v) / h, 2))) / (any_value(n) * any_value(h) * sqrt(2 * pi())) AS d FROM {n}v, {n}s, range(200) r(i) GROUP BY i)"""
 
 
 @query("WITH " + _KDE.format(n="p", f="A") + ", " + _KDE.format(n="q", f="N") + """,
@@ -189,19 +189,19 @@ s AS (SELECT 1 + (p - lo) / (hi - lo) AS p, 1 + (q - lo) / (hi - lo) AS q FROM b
 SELECT round(sum((p / sp) * ln((p / sp) / (q / sq)) + (q / sq) * ln((q / sq) / (p / sp))), 6) AS kl FROM s, t""")
 def kde_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_quantity")
-    p, q = (A.kde(d.where(F.col("l_returnflag") == f), "l_quantity", 0, 51, 50) for f in ("A", "N"))
+    p, q = (A.kde(d.where(F.col("l_returnflag") == f), "l_quantity", 0, 51, 200) for f in ("A", "N"))
     return A.symmetric_kl(p, q).select(F.round("kl", 6).alias("kl"))
 
 
-@query("""WITH b AS (SELECT user_id % 5 AS plot, floor(value / (300 / 256.0)) + 1 AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 300 GROUP BY 1, 2),
-x AS (SELECT *, (bin - 0.5) * 300 / 256.0 AS x FROM b),
+@query("""WITH b AS (SELECT user_id % 5 AS plot, floor(value / (300 / 4096.0)) + 1 AS bin, count(*) AS n FROM events WHERE value >= 0 AND value < 300 GROUP BY 1, 2),
+x AS (SELECT *, (bin - 0.5) * 300 / 4096.0 AS x FROM b),
 s AS (SELECT plot, bin, sum(n) OVER r AS n0, sum(n) OVER w AS nn, sum(n * x) OVER r AS s0, sum(n * x) OVER w AS ss FROM x WINDOW w AS (PARTITION BY plot), r AS (PARTITION BY plot ORDER BY bin)),
 v AS (SELECT plot, bin, n0 * (nn - n0) * pow(s0 / n0 - (ss - s0) / nullif(nn - n0, 0), 2) AS v FROM s),
 k AS (SELECT plot, bin, row_number() OVER (PARTITION BY plot ORDER BY round(v, 6) DESC, bin) AS k FROM v WHERE v IS NOT NULL)
-SELECT plot, round(least(bin * 300 / 256.0, 200), 4) AS threshold FROM k WHERE k = 1""")
+SELECT plot, round(least(bin * 300 / 4096.0, 200), 4) AS threshold FROM k WHERE k = 1""")
 def otsu_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("plot"), "value")
-    return A.otsu(d, ["plot"], "value", 0, 300, 256, 200.0).select("plot", r4("threshold", "threshold"))
+    return A.otsu(d, ["plot"], "value", 0, 300, 4096, 200.0).select("plot", r4("threshold", "threshold"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 10 IN (8, 9) AS held_out FROM orders""")

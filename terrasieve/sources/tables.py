@@ -81,3 +81,34 @@ def geojson(df: DataFrame, wkt: str, properties: Sequence[str]) -> DataFrame:
     points = F.transform(F.split(F.regexp_extract(wkt, r"\(\(([^()]*)\)", 1), r"\s*,\s*"), lambda p: F.transform(F.split(F.trim(p), r"\s+"), lambda x: x.cast("double")))
     shape = F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates"))
     return df.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("value"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; files as the partitions are."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A result a line as JSON."""
+    df.write.mode("overwrite").json(path)
+
+
+def stack_view(spark: SparkSession, frames: Sequence[DataFrame], name: str) -> DataFrame:
+    """Rasters of a stack as one view by name; nothing is read or copied."""
+    from ..operators.joins import stacked
+
+    stacked(frames).createOrReplaceTempView(name)
+    return spark.table(name)
+
+
+def materialized(df: DataFrame, path: str) -> DataFrame:
+    """A view written out and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def by_year(spark: SparkSession, paths: dict[int, str]) -> DataFrame:
+    """Files of several years in the long layout, one below the other with their year."""
+    from ..operators.joins import stacked
+
+    return stacked([spark.read.parquet(p).withColumn("year", F.lit(y)) for y, p in sorted(paths.items())])
