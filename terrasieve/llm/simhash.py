@@ -1,9 +1,9 @@
 """SimHash near-duplicates: pigeonhole blocks, a join on blocks, then the Hamming distance.
 
 Fingerprints of 64 bits are cut in b blocks; two that differ in at most d bits agree
-on b - d blocks at least, so every choice of b - d blocks is a key. b is chosen for
-the least expected work from the count of different fingerprints; any b finds the
-same pairs. A key that more than ``TILE`` fingerprints share is cut by the pigeonhole
+on b - d blocks at least, so every choice of b - d blocks is a key. b follows
+from the count of different fingerprints, so that keys shared by chance stay a small part
+of all; any b finds the same pairs. A key that more than ``TILE`` fingerprints share is cut by the pigeonhole
 again, over the bits it leaves open: what is near must agree on two of six blocks of
 them. Fingerprints are different, so where ten bits are left open a group is small by
 itself, and no group is ever compared whole beyond that size. A tile returns no more
@@ -20,7 +20,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -82,13 +81,9 @@ def block_masks(b: int) -> list[int]:
 
 
 def choose_blocks(n: int, distance: int) -> int:
-    """Blocks for the least rows plus chance pairs, among n fingerprints."""
-
-    def work(b: int) -> float:
-        keys, width = comb(b, distance), 64 * (b - distance) / b
-        return keys * (n + n * n / 2 / 2**width)
-
-    return min(range(distance + 1, distance + 7), key=work)
+    """The fewest blocks whose keys are so wide that among n fingerprints few share one by chance: one in 256."""
+    wide = (b for b in range(distance + 1, distance + 7) if n <= 2 ** (64 * (b - distance) / b) / 256)
+    return next(wide, distance + 6)
 
 
 def _signed(x: int) -> int:
