@@ -7,7 +7,6 @@ from itertools import combinations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PolynomialExpansion, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -139,20 +138,41 @@ def scored_windows(model: PipelineModel, df: DataFrame, key: Sequence[str], ts:
     return scored(model, named).select(*key, "first", "score")
 
 
-def path_clusters(df: DataFrame, coordinates: Sequence[str], levels: int, seed: int = 0) -> DataFrame:
-    """Two means inside each cluster, level by level; ``path`` has a bit for each level. One model a node, written in as an expression."""
-    out = VectorAssembler(inputCols=list(coordinates), outputCol="_v").transform(df).withColumn("path", F.lit(0))
-    for level in range(levels):
-        step = F.lit(None).cast("int")
-        for node in range(1 << level):
-            part = out.where(F.col("path") == node)
-            if part.select(*coordinates).distinct().limit(2).count() < 2:
-                continue
-            a, b = sorted(tuple(map(float, c)) for c in KMeans(k=2, seed=seed, featuresCol="_v").fit(part).clusterCenters())
-            far = lambda c: sum((F.col(x) - v) ** 2 for x, v in zip(coordinates, c))
-            step = F.when(F.col("path") == node, (far(b) < far(a)).cast("int")).otherwise(step)
-        out = out.withColumn("path", F.col("path") * 2 + F.coalesce(step, F.lit(0)))
-    return out.drop("_v")
+def path_clusters(df: DataFrame, coordinates: Sequence[str], levels: int, steps: int = 10) -> DataFrame:
+    """Two means inside each cluster, level by level; ``path`` has a bit for each level.
+
+    All clusters of a level are fitted together: a pass assigns every row to the nearer of its cluster's two
+    centres and averages both sides, until none moves. The driver holds the centres, two for each cluster.
+    """
+    out, names = df.withColumn("path", F.lit(0)), list(coordinates)
+    spark, x = df.sparkSession, [F.col(c).cast("double") for c in coordinates]
+    schema = ", ".join(["path int", *[f"{e}_{c} double" for e in "ab" for c in names]])
+
+    def nearer(rows: DataFrame, centres: dict[int, tuple]) -> DataFrame:
+        held = spark.createDataFrame([(k, *ab) for k, ab in sorted(centres.items())], schema)
+        far = lambda e: sum(((v - F.col(f"{e}_{c}")) ** 2 for v, c in zip(x, names)), F.lit(0.0))
+        return rows.join(held, "path").withColumn("_side", (far("b") < far("a")).cast("int")).drop(*[f"{e}_{c}" for e in "ab" for c in names])
+
+    n = len(names)
+    for _ in range(levels):
+        ends = out.groupBy("path").agg(*[f(v) for f in (F.avg, F.min, F.max) for v in x]).collect()
+        centres = {}
+        for path, *v in ends:  # a cluster begins at both ends of its widest coordinate
+            mean, low, high = v[:n], v[n : 2 * n], v[2 * n :]
+            wide = max(range(n), key=lambda i: (high[i] or 0.0) - (low[i] or 0.0))
+            centres[path] = tuple([*[low[i] if i == wide else mean[i] for i in range(n)], *[high[i] if i == wide else mean[i] for i in range(n)]])
+        for _ in range(steps):
+            sides = nearer(out, centres).groupBy("path", "_side").agg(*[F.avg(v) for v in x]).collect()
+            moved = dict(centres)
+            for path, side, *v in sides:
+                ab = moved[path]
+                moved[path] = (*v, *ab[n:]) if side == 0 else (*ab[:n], *v)
+            if moved == centres:
+                break
+            centres = moved
+        centres = {k: (*min(ab[:n], ab[n:]), *max(ab[:n], ab[n:])) for k, ab in centres.items()}
+        out = nearer(out, centres).withColumn("path", F.col("path") * 2 + F.col("_side")).drop("_side")
+    return out.select(*df.columns, "path")
 
 
 def cluster_split(path: str = "path", depth: int = 2, share: int = 20):
@@ -166,19 +186,49 @@ def descendants(path: int, level: int, deepest: int) -> list[int]:
     return list(range(path << n, (path + 1) << n))
 
 
-def oversampled(df: DataFrame, label: str, minority: int, features: Sequence[str], key: str, cells: int = 16, k: int = 5) -> DataFrame:
-    """Synthetic minority rows between a row and one of its k nearest inside a cell of the first feature's range."""
-    low = df.where(F.col(label) == minority)
-    b = low.agg(F.min(features[0]).alias("a"), F.max(features[0]).alias("z")).first()
-    width = ((b["z"] or 0) - (b["a"] or 0)) / cells or 1.0
-    celled = low.withColumn("_c", F.floor((F.col(features[0]) - (b["a"] or 0)) / width).cast("int"))
-    near = celled.select(F.explode(F.array(F.col("_c") - 1, F.col("_c"), F.col("_c") + 1)).alias("_c"), *[F.col(f).alias(f"_{f}") for f in features], F.col(key).alias("_key"))
-    d = sum((F.col(f) - F.col(f"_{f}")) ** 2 for f in features)
-    pairs = celled.join(near, "_c").where(F.col(key) != F.col("_key")).withColumn("_d", d)
-    ranked = pairs.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy("_d", "_key"))).where(F.col("_r") <= k)
-    picked = ranked.where(F.col("_r") == F.pmod(F.xxhash64(key), F.lit(k)) + 1)
+def nearest_rows(df: DataFrame, features: Sequence[str], key: str, k: int) -> DataFrame:
+    """(key, other, rank): the k nearest other rows of each row, exactly; the smaller key of ties.
+
+    Rows meet on cells of the first two features, some k rows to a cell. A row is done when its k-th
+    neighbour is nearer than what lies beyond the cells it has seen; the others look at a ring twice as wide.
+    """
+    axes, n = list(features[:2]), df.count()
+    ends = df.agg(*[f(c).cast("double") for f in (F.min, F.max) for c in axes]).first()
+    side = max(1, int((n / max(k, 1)) ** (1 / len(axes))))
+    low, width = ends[: len(axes)], [((b or 0.0) - (a or 0.0)) / side or 1.0 for a, b in zip(ends[: len(axes)], ends[len(axes) :])]
+    cells = [F.least(F.floor((F.col(c) - (a or 0.0)) / w), F.lit(side - 1)).cast("int").alias(f"_c{i}") for i, (c, a, w) in enumerate(zip(axes, low, width))]
+    placed = df.select(key, *features, *cells)
+    held = placed.select(F.col(key).alias("other"), *[F.col(f).alias(f"_{f}") for f in features], *[f"_c{i}" for i in range(len(axes))])
+    far = sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features), F.lit(0.0))
+    todo, done, ring = placed, None, 1
+    while True:
+        seen = todo
+        for i in range(len(axes)):
+            around = F.sequence(F.greatest(F.col(f"_c{i}") - ring, F.lit(0)), F.least(F.col(f"_c{i}") + ring, F.lit(side - 1)))
+            seen = seen.withColumn(f"_c{i}", F.explode(around))
+        pairs = seen.join(held, [f"_c{i}" for i in range(len(axes))]).where(F.col(key) != F.col("other")).select(key, "other", F.sqrt(far).alias("_d"))
+        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("_d", "other"))).where(F.col("rank") <= k)
+        if ring >= side:
+            found = ranked.select(key, "other", "rank")
+            return found if done is None else done.unionByName(found)
+        sure = ranked.groupBy(key).agg(F.count("*").alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") == k) & (F.col("_far") <= ring * min(width))).select(key)
+        found = ranked.join(sure, key, "left_semi").select(key, "other", "rank")
+        done = found if done is None else done.unionByName(found)
+        todo = todo.join(sure, key, "left_anti")
+        if todo.isEmpty():
+            return done
+        ring *= 2
+
+
+def oversampled(df: DataFrame, label: str, minority: int, features: Sequence[str], key: str, k: int = 5) -> DataFrame:
+    """Synthetic minority rows, each between a row and one of its k nearest."""
+    rows = df.where(F.col(label) == minority).select(key, *features)
+    near = nearest_rows(rows, features, key, k)
+    of = near.groupBy(key).agg(F.max("rank").alias("_n"))
+    picked = near.join(of, key).where(F.col("rank") == F.pmod(F.xxhash64(key), F.col("_n")) + 1).select(key, "other")
+    others = rows.select(F.col(key).alias("other"), *[F.col(f).alias(f"_{f}") for f in features])
     u = F.pmod(F.xxhash64(F.lit("u"), key), F.lit(1000)) / 1000
-    return picked.select(F.col(key), *[(F.col(f) + u * (F.col(f"_{f}") - F.col(f))).alias(f) for f in features], F.lit(minority).alias(label))
+    return rows.join(picked, key).join(others, "other").select(F.col(key), *[(F.col(f) + u * (F.col(f"_{f}") - F.col(f))).alias(f) for f in features], F.lit(minority).alias(label))
 
 
 def saved(model: PipelineModel, path: str) -> PipelineModel:

@@ -151,7 +151,20 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.points_in(q, _plots(spark, sf_dir).select("plot", "wkt"), "px", "py", "wkt", 64.0).select("k", "plot")
 
 
-@query(None)
+_F = 1 / 298.257223563
+_N = _F / (2 - _F)
+_A = 6378137.0 / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
+_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
+_E = 2 * _N**0.5 / (1 + _N)
+
+
+def _series(f: str, g: str) -> str:
+    return " + ".join(f"{c:.17e} * {f}({2 * j} * xi) * {g}({2 * j} * eta)" for j, c in enumerate(_ALPHA, 1))
+
+
+@query(f"""WITH p AS (SELECT s_suppkey, 98 + s_suppkey % 70 / 10.0 AS lon, 6 + s_suppkey % 130 / 10.0 AS lat FROM supplier), z AS (SELECT *, CAST(floor((lon + 180) / 6) AS INTEGER) + 1 AS zone, sin(radians(lat)) AS s FROM p),
+t AS (SELECT *, sinh(atanh(s) - {_E!r}e0 * atanh({_E!r}e0 * s)) AS t, radians(lon - (zone * 6 - 183)) AS l FROM z), x AS (SELECT *, atan2(t, cos(l)) AS xi, asinh(sin(l) / sqrt(t * t + cos(l) * cos(l))) AS eta FROM t)
+SELECT s_suppkey, zone, round(500000 + {0.9996 * _A!r}e0 * (eta + {_series('cos', 'sinh')}), 3) AS easting, round({0.9996 * _A!r}e0 * (xi + {_series('sin', 'cosh')}), 3) AS northing FROM x""")
 def to_utm(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (98 + F.col("s_suppkey") % 70 / 10).alias("lon"), (6 + F.col("s_suppkey") % 130 / 10).alias("lat"))
     e, n = G.to_utm("lon", "lat", G.utm_zone("lon"))
@@ -167,7 +180,7 @@ def _vectors(spark: SparkSession, sf_dir: str, n: int = 8) -> tuple[DataFrame, l
 @query(None)
 def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir)
-    found = ml.importances(ml.forest(names, "y", trees=20).fit(d), names)
+    found = ml.importances(ml.forest(names, "y").fit(d), names)
     return spark.createDataFrame([(k, round(v, 6)) for k, v in found], "feature string, importance double")
 
 
@@ -175,14 +188,14 @@ def rf_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rf_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir)
     held = F.pmod(F.xxhash64("vec_id"), F.lit(10)) >= 8
-    done = ml.scored(ml.forest(names, "y", trees=20, scale=True).fit(d.where(~held)), d.where(held))
+    done = ml.scored(ml.forest(names, "y", scale=True).fit(d.where(~held)), d.where(held))
     return done.select("vec_id", "y", F.round("score", 6).alias("score"), F.round(ml.log_likelihood(), 4).alias("log_likelihood"))
 
 
 @query(None)
 def rf_eliminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 6)
-    kept = ml.eliminated(d, names, "y", 3, drop=2, trees=10)
+    kept = ml.eliminated(d, names, "y", 3, drop=2)
     return spark.createDataFrame([(i, k) for i, k in enumerate(kept)], "place int, feature string")
 
 
@@ -196,7 +209,7 @@ def rf_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def cluster_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 2)
-    c = ml.path_clusters(d, names, 2)
+    c = ml.path_clusters(d, names, 12, steps=5)
     q = F.percentile("x0", [0.25, 0.5, 0.75])
     return c.groupBy("path").agg(F.count("*").alias("n"), F.min("x0").alias("x_min"), F.max("x0").alias("x_max"), q[0].alias("x_p25"), q[1].alias("x_med"), q[2].alias("x_p75"))
 
@@ -205,7 +218,7 @@ def cluster_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 def two_stage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 4)
     pixels = d.withColumn("plot", F.col("vec_id") % 40).withColumn("loss", (F.col("vec_id") % 40 % 2).cast("int")).withColumn("age", (F.col("vec_id") % 40).cast("double"))
-    first, second = ml.two_stage(pixels, names, "y", "plot", ["age"], "loss", trees=10)
+    first, second = ml.two_stage(pixels, names, "y", "plot", ["age"], "loss")
     return ml.scored(second, ml.rolled_up(ml.scored(first, pixels), "plot", ["age", "loss"])).select("plot", "loss", F.round("score", 6).alias("score"))
 
 

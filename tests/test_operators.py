@@ -212,3 +212,84 @@ def test_nearest_has_no_reach_and_pads(spark):
             want += [(i, n + 1, *x) for n, x in enumerate([*best, *[(None, None)] * 4][:4])]
         got = [(x.i, x.n, x.day, x.v) for x in joins.nearest(a, b, ["p"], "at", "day", reach=reach).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_sinks_views_and_files_of_years(spark, tmp_path):
+    from terrasieve.sources import tables as S
+
+    a, b = spark.createDataFrame([(1, 2.5, "x")], "k long, v double, s string"), spark.createDataFrame([(2, "y")], "k long, s string")
+    S.write_csv(a, f"{tmp_path}/csv")
+    assert [tuple(r) for r in S.csv(spark, f"{tmp_path}/csv", "k long, v double, s string").collect()] == [(1, 2.5, "x")]
+    S.write_json(a, f"{tmp_path}/json")
+    assert spark.read.json(f"{tmp_path}/json").first().asDict() == {"k": 1, "v": 2.5, "s": "x"}
+    stack = S.stack_view(spark, [a, b], "stack_of_two")
+    assert sorted(map(tuple, stack.collect())) == [(1, 2.5, "x"), (2, None, "y")] and spark.table("stack_of_two").count() == 2
+    assert S.materialized(stack, f"{tmp_path}/stack").count() == 2
+    for y, df in ((2018, a), (2019, b)):
+        df.write.parquet(f"{tmp_path}/{y}")
+    assert sorted((r.k, r.year) for r in S.by_year(spark, {2019: f"{tmp_path}/2019", 2018: f"{tmp_path}/2018"}).collect()) == [(1, 2018), (2, 2019)]
+    S.write_outcomes(a.withColumn("p", a.k == 1), f"{tmp_path}/outcomes", F.when(F.col("k") == 1, "TP").otherwise("FN"))
+    assert spark.read.parquet(f"{tmp_path}/outcomes/outcome=TP").count() == 1
+
+
+def test_small_files_are_found(spark):
+    from terrasieve.sources.tables import small_files
+
+    df = spark.createDataFrame([("b", 1000 + i, str(i)) for i in range(60)] + [("b", 3, "tiny")], "band string, length long, path string")
+    assert "tiny" in {r.path for r in small_files(df, ["band"]).collect()}
+
+
+def test_models_are_saved_and_scored_at_a_false_positive_rate(spark, tmp_path):
+    from terrasieve.operators import ml
+
+    df = spark.createDataFrame([(float(i % 10), float(i % 7), int(i % 10 > 5)) for i in range(200)], "a double, b double, y int")
+    model = ml.saved(ml.forest(["a", "b"], "y", trees=5).fit(df), f"{tmp_path}/model")
+    done = ml.scored_at_fpr(model, df, "y", 0.2)
+    assert done.where("positive and y = 1").count() > 70 and done.where("positive and y = 0").count() <= 40
+
+
+def test_nearest_rows_equal_brute_force(spark):
+    import random
+
+    from terrasieve.operators import ml
+
+    r = random.Random(3)
+    rows = [(i, r.random() ** 3, r.random(), r.random()) for i in range(150)]
+    got = {}
+    for x in ml.nearest_rows(spark.createDataFrame(rows, "k int, a double, b double, c double"), ["a", "b", "c"], "k", 4).collect():
+        got.setdefault(x.k, {})[x["rank"]] = x.other
+    for k, *p in rows:
+        near = sorted((sum((u - v) ** 2 for u, v in zip(p, q)) ** 0.5, j) for j, *q in rows if j != k)[:4]
+        assert [got[k][n] for n in (1, 2, 3, 4)] == [j for _, j in near]
+    few = spark.createDataFrame(rows[:2], "k int, a double, b double, c double")
+    assert ml.nearest_rows(few, ["a", "b"], "k", 5).count() == 2
+
+
+def test_path_clusters_part_what_lies_apart(spark):
+    from terrasieve.operators import ml
+
+    rows = [(float(x + dx), float(y + dy)) for x in (0, 100) for y in (0, 30) for dx in range(3) for dy in range(3)]
+    out = ml.path_clusters(spark.createDataFrame(rows, "x double, y double"), ["x", "y"], 3).collect()
+    assert {(r.x >= 50, r.y >= 15, r.path >> 1) for r in out} == {(False, False, 0), (False, True, 1), (True, False, 2), (True, True, 3)}
+    same = ml.path_clusters(spark.createDataFrame([(1.0, 1.0)] * 4, "x double, y double"), ["x", "y"], 2)
+    assert {r.path for r in same.collect()} == {0}
+
+
+def test_asof_over_many_rows_of_one_key(spark):
+    import time
+
+    from terrasieve.operators import joins as J
+
+    left = spark.range(200_000).select(F.lit(1).alias("k"), "id", F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 9000).cast("int")).alias("at"))
+    right = spark.range(100_000).select(F.lit(1).alias("k"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") % 4500 * 2).cast("int")).alias("day"), F.col("id").alias("v"))
+    took = []
+    for f in (J.asof_backward, J.asof_forward):
+        began = time.time()
+        d = f(left, right, ["k"], "at", "day", "v")
+        gap = F.datediff("asof_day", "at")
+        assert d.where(F.abs(gap) <= 1).count() == 200_000 - (f is J.asof_forward) * d.where("asof_day is null").count()
+        took.append(time.time() - began)
+    assert took[1] < 4 * took[0] + 2
+    none = spark.createDataFrame([(1, None), (None, None)], "k int, at date")
+    assert J.asof_backward(none, right, ["k"], "at", "day", "v").where("asof_day is null").count() == 2
+
