@@ -33,6 +33,9 @@ from .graph import components
 #: Members of a group that is compared at most, a power of two, and blocks of the open bits of a larger one.
 TILE, AGAIN = 1024, 6
 
+#: Keys that a task adds up, about: some 100 MB of a hash table. More keys take more tasks.
+COUNTED_KEYS = 1 << 20
+
 
 def fingerprint(text: bytes | None, k: int = 4, seed: int = 42, tables: int = 1) -> list[int]:
     """Bits set in over half the hashes of all k-word shingles, repeats included; further tables mix the hashes anew."""
@@ -176,19 +179,48 @@ def split(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
 
 
 KEYED = ["tab", "combo", "path", "used", "key", "fp"]
+COUNTS = "tab int, path long, key long, n long"
+
+
+def _counted(tab: np.ndarray, path: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """Each key of these rows once, with the number of its rows."""
+    order = np.lexsort((key, path, tab))
+    cols = [x[order] for x in (tab, path, key)]
+    new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
+    n = np.diff(np.append(new, len(order)))
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (*[c[new] for c in cols], n)], ["tab", "path", "key", "n"])
+
+
+def block_counts(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
+    """Rows (tab, fp) to the keys under each mask, added up inside a batch, so that a hot key leaves a task in few rows."""
+    for batch in batches:
+        tab, fp = (batch.column(c).to_numpy() for c in ("tab", "fp"))
+        for path, m in enumerate(masks):
+            yield _counted(tab, np.full(len(fp), path, np.int64), fp & np.int64(m))
+
+
+def key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same of rows that have their keys already."""
+    for batch in batches:
+        yield _counted(*[batch.column(c).to_numpy() for c in ("tab", "path", "key")])
 
 
 def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
     """Links (tab, a, b) that join all fingerprints of a component in each table; ``distinct`` has each (tab, fp) once."""
-    b = blocks or choose_blocks(distinct.groupBy("tab").count().agg(F.max("count")).first()[0] or 1, distance)
+    most, rows = distinct.groupBy("tab").count().agg(F.max("count"), F.sum("count")).first()
+    b = blocks or choose_blocks(most or 1, distance)
     masks = block_masks(b)
     combos = [(sum(1 << q for q in c), _signed(sum(masks[q] for q in c))) for c in combinations(range(b), b - distance)]
     each = F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(i).cast("long").alias("path"), F.lit(m).cast("long").alias("used"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, (c, m) in enumerate(combos)])
     keyed = distinct.select("tab", "fp", F.inline(each)).select(*KEYED)
     by, links = ["tab", "path", "key"], None
+    used = [m for _, m in combos]
+    counts, n_keys = distinct.select("tab", "fp").mapInArrow(lambda it: block_counts(it, used), COUNTS), (rows or 0) * len(used)
     # a group of 64 - k open bits has 2 ** k members at most, so groups beyond TILE have more than its bits left to cut
     while True:
-        full = stored(keyed.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1"), "keys")
+        # nearly every key is alone: added up in the batch, without a hash table of all keys of a task, and dealt to tasks by their number
+        summed = counts.repartition(n_keys // COUNTED_KEYS + 1, *by).groupBy(*by).agg(F.sum("n").alias("n"))
+        full = stored(summed.where("n > 1"), "keys")
         held = keyed.join(full, by)
         dealt = held.where(F.col("n") <= TILE).select(*by, "combo", "fp").repartition(*by).sortWithinPartitions(*by)
         found = dealt.mapInArrow(lambda it: tile_links(it, masks, distance), "tab int, a long, b long")
@@ -198,6 +230,7 @@ def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None
         links = found if links is None else links.union(found)
         hot = held.where(F.col("n") > TILE).select(*KEYED)
         keyed = stored(hot.mapInArrow(lambda it: split(it, distance), "tab int, combo int, path long, used long, key long, fp long"), "finer-keys")
+        counts, n_keys = keyed.select(*by).mapInArrow(key_counts, COUNTS), keyed.count()
 
 
 def group(fps: DataFrame, distance: int = 4, tables: int = 1) -> DataFrame:
