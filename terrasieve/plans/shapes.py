@@ -166,10 +166,10 @@ def zonal_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("zone", "total", r4("normal", "normal"), r4("high", "high"))
 
 
-@query(f"""WITH {DB} SELECT t, round(avg(x) + 1e-9, 4) AS mean, round(1.645 * stddev_samp(x) / avg(x) + 1e-9, 4) AS band FROM db WHERE pixel % 2 = 0 GROUP BY 1""")
+@query(f"""WITH {DB} SELECT t, round(avg(x) + 1e-9, 4) AS mean, round(1.645 * stddev_samp(x) / avg(x) + 1e-9, 4) AS band FROM db GROUP BY 1""")
 def normal_band(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean of each period over pixels without a loss, and the relative width of its band."""
-    d = decibel(spark, sf_dir).where("pixel % 2 = 0").select(F.posexplode("ts").alias("t", "x"))
+    """Mean of each period over all pixels, and the relative width of its band."""
+    d = decibel(spark, sf_dir).select(F.posexplode("ts").alias("t", "x"))
     return d.groupBy(F.col("t").cast("long").alias("t")).agg(r4(F.avg("x"), "mean"), r4(A.relative_spread("x"), "band"))
 
 
