@@ -266,6 +266,20 @@ def test_links_join_all_that_is_near_also_in_tiles(spark, monkeypatch, blocks):
     assert {(i, f, mine[roots.get(s, s)]) for (i, f), (_, s) in zip(fps, signed)} == want
 
 
+def test_keys_added_up_in_batches_count_every_row():
+    r = np.random.default_rng(8)
+    tab, fp, masks = r.integers(0, 3, 500).astype(np.int32), r.integers(-(1 << 63), 1 << 63, 500), [-(1 << 60), 0xF, 0]
+    parts = [pa.RecordBatch.from_pydict({"tab": tab[i:j], "fp": fp[i:j]}) for i, j in ((0, 0), (0, 200), (200, 500))]
+    got: Counter = Counter()
+    for batch in simhash.block_counts(iter(parts), masks):
+        for row in batch.to_pylist():
+            got[row["tab"], row["path"], row["key"]] += row["n"]
+    want = Counter((int(t), p, int(f) & m) for t, f in zip(tab, fp) for p, m in enumerate(masks))
+    assert got == want
+    keyed = pa.RecordBatch.from_pydict({"tab": tab, "path": np.zeros(500, np.int64), "key": fp & 0xF})
+    assert {(x["tab"], x["key"]): x["n"] for b in simhash.key_counts(iter([keyed])) for x in b.to_pylist()} == Counter(zip(tab.tolist(), (fp & 0xF).tolist()))
+
+
 def test_a_hot_key_is_cut_by_further_blocks(spark):
     """100,000 fingerprints that share half their bits: the same links as all pairs, and rows in proportion."""
     r = np.random.default_rng(4)
