@@ -33,8 +33,8 @@ from .graph import components
 #: Members of a group that is compared at most, a power of two, and blocks of the open bits of a larger one.
 TILE, AGAIN = 1024, 6
 
-#: Keys that a task adds up, about: some 100 MB of a hash table. More keys take more tasks.
-COUNTED_KEYS = 1 << 20
+#: Keys that a task sorts, about: some 40 MB. More keys take more tasks.
+TASK_KEYS = 1 << 20
 
 
 def fingerprint(text: bytes | None, k: int = 4, seed: int = 42, tables: int = 1) -> list[int]:
@@ -93,16 +93,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by group (tab, path, key) with combo and fp, to links (tab, a, b) that join what is linked inside a group."""
+def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: int, ways: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by group (tab, path, key) with fp to links (tab, a, b) that join what is linked inside a group.
+
+    Rows of groups beyond ``TILE`` are passed on as they come, with fp as a and no b, so that no more than a tile is held.
+    combo and used come with the rows, or from ``ways`` by path.
+    """
     need = len(masks) - distance
     blocks = [np.uint64(m) for m in masks]
+    known = [np.array(x, np.int64) for x in zip(*ways)]
 
-    def links(tab: np.ndarray, combo: np.ndarray, group: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    def links(tab: np.ndarray, combo: np.ndarray, sizes: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         a_out, b_out, t_out = [], [], []
-        sizes = np.bincount(group)[group] if len(group) else group
-        first = np.searchsorted(group, group)
-        at = np.arange(len(fp)) - first
+        fp = np.ascontiguousarray(fp).view(np.uint64)
+        at = np.arange(len(fp)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        of = np.repeat(sizes, sizes)
         lag, live = 1, np.flatnonzero(at >= 1)
         while len(live):
             x = fp[live] ^ fp[live - lag]
@@ -118,7 +123,7 @@ def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: in
             b_out.append(fp[own - lag])
             t_out.append(tab[own])
             lag += 1
-            live = live[(at[live] >= lag) & (sizes[live] > lag)]
+            live = live[(at[live] >= lag) & (of[live] > lag)]
         a, b, t = (np.concatenate(v).tolist() if v else [] for v in (a_out, b_out, t_out))
         root: dict[tuple[int, int], tuple[int, int]] = {}
 
@@ -135,22 +140,39 @@ def tile_links(batches: Iterator[pa.RecordBatch], masks: list[int], distance: in
                 root[ru] = rv
                 kept.append((k, u, v))
         rows = np.array(kept, np.uint64).reshape(-1, 3).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in (1, 2)]], ["tab", "a", "b"])
+        none = pa.nulls(len(rows), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0].astype(np.int32)), *[pa.array(np.ascontiguousarray(rows[:, i])) for i in (1, 2)], none.cast(pa.int32()), none, none, none], FOUND)
+
+    def of_batch(batch: pa.RecordBatch) -> list[np.ndarray]:
+        tab, path, key, fp = (batch.column(c).to_numpy() for c in ("tab", "path", "key", "fp"))
+        combo, used = (batch.column(c).to_numpy() for c in ("combo", "used")) if "combo" in batch.schema.names else (x[path] for x in known)
+        return [tab, path, key, combo, used, fp]
 
     held: list[np.ndarray] | None = None
+    over = None  # the group whose first rows were passed on already
     for batch in batches:
-        cols = [batch.column(c).to_numpy() for c in ("tab", "path", "key", "combo", "fp")]
+        cols = of_batch(batch)
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
+        tab, path, key, combo, used, fp = cols
+        if not len(fp):
             continue
-        new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)])
-        cut = int(np.flatnonzero(new)[-1])  # the last group may go on in the next batch
-        held = [c[cut:] for c in cols]
-        if cut:
-            yield links(cols[0][:cut], cols[3][:cut].astype(np.int64), np.cumsum(new[:cut]) - 1, cols[4][:cut].view(np.uint64))
-    if held is not None and len(held[0]):
-        yield links(held[0], held[3].astype(np.int64), np.zeros(len(held[0]), np.int64), np.ascontiguousarray(held[4]).view(np.uint64))
+        starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols[:3]], axis=0)]))
+        sizes = np.diff(np.append(starts, len(fp)))
+        large = sizes > TILE
+        large[0] |= over == (tab[0], path[0], key[0])
+        over, held = ((tab[-1], path[-1], key[-1]), None) if large[-1] else (None, [c[starts[-1] :] for c in cols])
+        small = ~large & (sizes > 1)
+        small[-1] = False  # the last group may go on in the next batch
+        if small.any():
+            i = np.repeat(small, sizes)
+            yield links(tab[i], combo[i], sizes[small], fp[i])
+        if large.any():
+            i = np.repeat(large, sizes)
+            rest = [pa.array(np.ascontiguousarray(x[i]), t) for x, t in ((combo, pa.int32()), (path, pa.int64()), (used, pa.int64()), (key, pa.int64()))]
+            yield pa.RecordBatch.from_arrays([pa.array(tab[i]), pa.array(fp[i]), pa.nulls(int(i.sum()), pa.int64()), *rest], FOUND)
+    if held is not None and len(held[0]) > 1:
+        yield links(held[0], held[3], np.array([len(held[0])]), held[5])
 
 
 def finer_keys(used: int, distance: int) -> list[int]:
@@ -179,58 +201,65 @@ def split(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.Recor
 
 
 KEYED = ["tab", "combo", "path", "used", "key", "fp"]
+FOUND = ["tab", "a", "b", "combo", "path", "used", "key"]
 COUNTS = "tab int, path long, key long, n long"
 
 
-def _counted(tab: np.ndarray, path: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """Each key of these rows once, with the number of its rows."""
+def _counted(tab: np.ndarray, path: np.ndarray, key: np.ndarray, least: int) -> pa.RecordBatch:
+    """Each key of ``least`` of these rows once, with the number of its rows."""
     order = np.lexsort((key, path, tab))
     cols = [x[order] for x in (tab, path, key)]
     new = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), np.any([c[1:] != c[:-1] for c in cols], axis=0)]))
     n = np.diff(np.append(new, len(order)))
+    new, n = new[n >= least], n[n >= least]
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (*[c[new] for c in cols], n)], ["tab", "path", "key", "n"])
 
 
-def block_counts(batches: Iterator[pa.RecordBatch], masks: list[int]) -> Iterator[pa.RecordBatch]:
-    """Rows (tab, fp) to the keys under each mask, added up inside a batch, so that a hot key leaves a task in few rows."""
+def block_counts(batches: Iterator[pa.RecordBatch], masks: list[int], least: int = 1) -> Iterator[pa.RecordBatch]:
+    """Rows (tab, fp) to the keys under each mask that ``least`` rows of a batch have, added up inside the batch."""
     for batch in batches:
         tab, fp = (batch.column(c).to_numpy() for c in ("tab", "fp"))
         for path, m in enumerate(masks):
-            yield _counted(tab, np.full(len(fp), path, np.int64), fp & np.int64(m))
+            yield _counted(tab, np.full(len(fp), path, np.int64), fp & np.int64(m), least)
 
 
-def key_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def key_counts(batches: Iterator[pa.RecordBatch], least: int = 1) -> Iterator[pa.RecordBatch]:
     """The same of rows that have their keys already."""
     for batch in batches:
-        yield _counted(*[batch.column(c).to_numpy() for c in ("tab", "path", "key")])
+        yield _counted(*[batch.column(c).to_numpy() for c in ("tab", "path", "key")], least)
 
 
 def near_links(distinct: DataFrame, distance: int = 4, blocks: int | None = None) -> DataFrame:
-    """Links (tab, a, b) that join all fingerprints of a component in each table; ``distinct`` has each (tab, fp) once."""
+    """Links (tab, a, b) that join all fingerprints of a component in each table; ``distinct`` has each (tab, fp) once.
+
+    Rows move once, to the task of their key, which compares groups of up to ``TILE`` and gives back the rows of
+    larger ones to be cut again. Keys that are frequent already inside batches are cut before they move, so that
+    none fills a task; which way a group takes doesn't change its links.
+    """
     most, rows = distinct.groupBy("tab").count().agg(F.max("count"), F.sum("count")).first()
     b = blocks or choose_blocks(most or 1, distance)
     masks = block_masks(b)
-    combos = [(sum(1 << q for q in c), _signed(sum(masks[q] for q in c))) for c in combinations(range(b), b - distance)]
-    each = F.array(*[F.struct(F.lit(c).alias("combo"), F.lit(i).cast("long").alias("path"), F.lit(m).cast("long").alias("used"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, (c, m) in enumerate(combos)])
-    keyed = distinct.select("tab", "fp", F.inline(each)).select(*KEYED)
-    by, links = ["tab", "path", "key"], None
-    used = [m for _, m in combos]
-    counts, n_keys = distinct.select("tab", "fp").mapInArrow(lambda it: block_counts(it, used), COUNTS), (rows or 0) * len(used)
+    ways = [(sum(1 << q for q in c), _signed(sum(masks[q] for q in c))) for c in combinations(range(b), b - distance)]
+    used, by = [m for _, m in ways], ["tab", "path", "key"]
+    of_path = [F.element_at(F.array(*[F.lit(x).cast(t) for x in way]), F.col("path").cast("int") + 1).alias(c) for way, t, c in zip(zip(*ways), ("int", "long"), ("combo", "used"))]
+    keyed = distinct.select("tab", "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m).cast("long")) for m in used])).alias("path", "key")).select("tab", F.col("path").cast("long").alias("path"), "key", "fp")
+    counts, n_keys, links = distinct.select("tab", "fp").mapInArrow(lambda it: block_counts(it, used, 2), COUNTS), (rows or 0) * len(used), None
     # a group of 64 - k open bits has 2 ** k members at most, so groups beyond TILE have more than its bits left to cut
     while True:
-        # nearly every key is alone: added up in the batch, without a hash table of all keys of a task, and dealt to tasks by their number
-        summed = counts.repartition(n_keys // COUNTED_KEYS + 1, *by).groupBy(*by).agg(F.sum("n").alias("n"))
-        full = stored(summed.where("n > 1"), "keys")
-        held = keyed.join(full, by)
-        dealt = held.where(F.col("n") <= TILE).select(*by, "combo", "fp").repartition(*by).sortWithinPartitions(*by)
-        found = dealt.mapInArrow(lambda it: tile_links(it, masks, distance), "tab int, a long, b long")
-        if full.where(F.col("n") > TILE).isEmpty():
-            return found if links is None else links.union(found)
-        found = stored(found, "links")
-        links = found if links is None else links.union(found)
-        hot = held.where(F.col("n") > TILE).select(*KEYED)
-        keyed = stored(hot.mapInArrow(lambda it: split(it, distance), "tab int, combo int, path long, used long, key long, fp long"), "finer-keys")
-        counts, n_keys = keyed.select(*by).mapInArrow(key_counts, COUNTS), keyed.count()
+        heavy = stored(counts.groupBy(*by).agg(F.sum("n").alias("n")).where(F.col("n") > TILE).select(*by), "heavy")
+        any_heavy = not heavy.isEmpty()
+        light = keyed.join(heavy, by, "left_anti") if any_heavy else keyed
+        dealt = light.repartition(n_keys // TASK_KEYS + 1, *by).sortWithinPartitions(*by)
+        found = stored(dealt.mapInArrow(lambda it: tile_links(it, masks, distance, ways), "tab int, a long, b long, combo int, path long, used long, key long"), "links")
+        near, large = found.where("b is not null").select("tab", "a", "b"), found.where("b is null").withColumnRenamed("a", "fp").select(*KEYED)
+        links = near if links is None else links.union(near)
+        if any_heavy:
+            rest = keyed.join(heavy, by)
+            large = large.union((rest if "combo" in rest.columns else rest.select("*", *of_path)).select(*KEYED))
+        elif large.isEmpty():
+            return links
+        keyed = stored(large.mapInArrow(lambda it: split(it, distance), "tab int, combo int, path long, used long, key long, fp long"), "finer-keys")
+        counts, n_keys = keyed.select(*by).mapInArrow(lambda it: key_counts(it, 2), COUNTS), keyed.count()
 
 
 def group(fps: DataFrame, distance: int = 4, tables: int = 1) -> DataFrame:
