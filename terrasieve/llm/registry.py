@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import align, bpe, gru, jump, mixture, mpeg, phrases, simhash, suffixes, wavelet
+from . import align, bpe, centroids, gru, jaccard, jump, mixture, mpeg, phrases, simhash, suffixes, trie, wavelet
 
 QUERIES = {
     "op1_suffix_decontamination": suffixes.op1_suffix_decontamination,
@@ -15,6 +15,13 @@ QUERIES = {
     "op8_jump_shards": jump.op8_jump_shards,
     "op9_phrase_parsing": phrases.op9_phrase_parsing,
     "op10_line_alignment": align.op10_line_alignment,
+    "op11_weighted_clusters": centroids.op11_weighted_clusters,
+    "op12_jaccard_regions": jaccard.op12_jaccard_regions,
+    "op13_prefix_trie": trie.op13_prefix_trie,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_weighted_clusters": centroids.OP11_SQL,
+    "op12_jaccard_regions": jaccard.OP12_SQL,
+    "op13_prefix_trie": trie.OP13_SQL,
+}
