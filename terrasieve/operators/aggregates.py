@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .joins import null_safe
+
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
 
@@ -18,13 +20,84 @@ def share_of_one(c: str) -> Column:
     return F.count_if(F.col(c) == 1) / F.count("*")
 
 
+#: Bits of the mantissa that each step of a selection looks at, after the exponent; a step orders 2 ** 18 counts at most.
+_STEPS = (17, 17, 18)
+
+
+def _parts(v: Column) -> list[Column]:
+    """Whole numbers that, one after the other, order doubles: the exponent with the sign, then pieces of the mantissa. NaN comes last."""
+    x, two = F.abs(v), F.lit(2.0)
+    usual = (x > 0) & (x < float("inf"))
+    y = F.when(usual, x).otherwise(1.0)
+    near = F.floor(F.log2(y))
+    near = F.when(F.pow(two, near) > y, near - 1).when(F.pow(two, near + 1) <= y, near + 1).otherwise(near)
+    mantissa = ((y / F.pow(two, near) - 1) * 2.0**52).cast("long")
+    sign = F.when(v < 0, -1).otherwise(1)
+    out = [F.when(F.isnan(v), 9999).when(x == 0, 0).when(~usual, 5000 * sign).otherwise((near + 1075).cast("int") * sign).alias("p0")]
+    left = 52
+    for i, n in enumerate(_STEPS, 1):
+        left -= n
+        out.append((F.when(usual, F.pmod(F.shiftright(mantissa, left), F.lit(1 << n)).cast("int")).otherwise(0) * sign).alias(f"p{i}"))
+    return out
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], name: str = "q") -> DataFrame:
+    """by and an array of the linear quantiles of each group's known values, in the order given.
+
+    Values are counted before anything is ordered. Ranks are found first by exponent, then by pieces of the
+    mantissa: each step adds up the counts below, so neither a group nor a frequent value is ever in one buffer, and
+    no window holds more rows than a piece has numbers.
+    """
+    v, by = F.col(value).cast("double"), list(by)
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, (v + 0.0).alias("_v")).agg(F.count("*").alias("_n")).select(*by, "_v", "_n", *_parts(F.col("_v")))
+    steps, chosen = [f"p{i}" for i in range(len(_STEPS) + 1)], None
+    for i, step in enumerate(steps):
+        over = [*by, *steps[:i]]
+        sums = counted.groupBy(*over, step).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"))
+        if chosen is not None:
+            sums = null_safe(sums, chosen, over)
+        w = W.partitionBy(*over)
+        sums = sums.withColumn("_upto", F.sum("_n").over(w.orderBy(step).rowsBetween(W.unboundedPreceding, 0)))
+        if chosen is None:
+            at = [(F.sum("_n").over(w) - 1) * F.lit(float(q)) for q in quantiles]
+            ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
+            sums = sums.withColumn("_left", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("left"))))
+        before = F.col("_upto") - F.col("_n")
+        here = F.filter("_left", lambda r: (r["left"] >= before) & (r["left"] < F.col("_upto")))
+        moved = F.transform(here, lambda r: F.struct(r["rank"].alias("rank"), (r["left"] - before).alias("left")))
+        kept = sums.select(*over, step, "_v", moved.alias("_left")).where(F.size("_left") > 0)
+        chosen = kept if i == len(steps) - 1 else kept.drop("_v")
+    at_rank = F.transform("_left", lambda r: F.struct(r["rank"], F.col("_v")))
+    found = chosen.groupBy(*by).agg(F.map_from_entries(F.flatten(F.collect_list(at_rank))).alias("_m"))  # two values a quantile at most
+    total = counted.groupBy(*by).agg(F.sum("_n").alias("_all"))
+    both = null_safe(found, total, by)
+
+    def one(q: float) -> Column:
+        k = (F.col("_all") - 1) * F.lit(float(q))
+        low, high = (F.element_at("_m", f(k).cast("long")) for f in (F.floor, F.ceil))
+        return F.when(low == high, low).otherwise(low + (high - low) * (k - F.floor(k)))
+
+    return both.select(*by, F.array(*[one(q) for q in quantiles]).alias(name))
+
+
+def column_stats(df: DataFrame, by: Sequence[str], columns: Sequence[str], *, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
+    """by, column, min, max, mean, a quantile each (p5, p10, ...) and ratio, the share of ones: a row for each group and column.
+
+    Columns become rows, so the plan is as wide for hundreds of columns as for one.
+    """
+    names = list(columns)
+    long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("_c", "_x"))
+    plain = long.groupBy(*by, "_c").agg(F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), share_of_one("_x").alias("ratio"))
+    both = null_safe(plain, exact_quantiles(long, [*by, "_c"], "_x", quantiles, "_q"), [*by, "_c"], "left")
+    picks = [F.col("_q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)]
+    return both.select(*by, F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_c") + 1).alias("column"), "min", "max", "mean", *picks, "ratio")
+
+
 def stat_pack(df: DataFrame, by: Sequence[str], columns: Sequence[str], *, quantiles: Sequence[float] = QUANTILES, drop_null: bool = True) -> DataFrame:
-    """min, max, mean, exact quantiles and share of ones of each column; all quantiles of a column come from one pass."""
-    outs, picks = [], []
-    for c in columns:
-        outs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.percentile(c, list(quantiles)).alias(f"{c}_q"), share_of_one(c).alias(f"{c}_ratio")]
-        picks += [f"{c}_min", f"{c}_max", f"{c}_mean", *[F.col(f"{c}_q")[i].alias(f"{c}_p{round(100 * q)}") for i, q in enumerate(quantiles)], f"{c}_ratio"]
-    done = df.groupBy(*by).agg(*outs).select(*by, *picks)
+    """min, max, mean, exact quantiles and share of ones of each column, side by side in a row a group."""
+    outs = ["min", "max", "mean", *[f"p{round(100 * q)}" for q in quantiles], "ratio"]
+    packed = column_stats(df, by, columns, quantiles=quantiles).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct(*outs).alias("s")))).alias("_s"))
+    done = packed.select(*by, *[F.col("_s")[c][o].alias(f"{c}_{o}") for c in columns for o in outs])
     return done.dropna() if drop_null else done
 
 

@@ -13,11 +13,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.series import interpolate, windows
 from .metrics import precision_recall, roc_curve
+from .neighbours import nearest_rows
 
 
 def pipeline(features: Sequence[str], model, *, scale: bool = False) -> Pipeline:
@@ -186,42 +186,8 @@ def descendants(path: int, level: int, deepest: int) -> list[int]:
     return list(range(path << n, (path + 1) << n))
 
 
-def nearest_rows(df: DataFrame, features: Sequence[str], key: str, k: int) -> DataFrame:
-    """(key, other, rank): the k nearest other rows of each row, exactly; the smaller key of ties.
-
-    Rows meet on cells of the first two features, some k rows to a cell. A row is done when its k-th
-    neighbour is nearer than what lies beyond the cells it has seen; the others look at a ring twice as wide.
-    """
-    axes, n = list(features[:2]), df.count()
-    ends = df.agg(*[f(c).cast("double") for f in (F.min, F.max) for c in axes]).first()
-    side = max(1, int((n / max(k, 1)) ** (1 / len(axes))))
-    low, width = ends[: len(axes)], [((b or 0.0) - (a or 0.0)) / side or 1.0 for a, b in zip(ends[: len(axes)], ends[len(axes) :])]
-    cells = [F.least(F.floor((F.col(c) - (a or 0.0)) / w), F.lit(side - 1)).cast("int").alias(f"_c{i}") for i, (c, a, w) in enumerate(zip(axes, low, width))]
-    placed = df.select(key, *features, *cells)
-    held = placed.select(F.col(key).alias("other"), *[F.col(f).alias(f"_{f}") for f in features], *[f"_c{i}" for i in range(len(axes))])
-    far = sum(((F.col(f) - F.col(f"_{f}")) ** 2 for f in features), F.lit(0.0))
-    todo, done, ring = placed, None, 1
-    while True:
-        seen = todo
-        for i in range(len(axes)):
-            around = F.sequence(F.greatest(F.col(f"_c{i}") - ring, F.lit(0)), F.least(F.col(f"_c{i}") + ring, F.lit(side - 1)))
-            seen = seen.withColumn(f"_c{i}", F.explode(around))
-        pairs = seen.join(held, [f"_c{i}" for i in range(len(axes))]).where(F.col(key) != F.col("other")).select(key, "other", F.sqrt(far).alias("_d"))
-        ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("_d", "other"))).where(F.col("rank") <= k)
-        if ring >= side:
-            found = ranked.select(key, "other", "rank")
-            return found if done is None else done.unionByName(found)
-        sure = ranked.groupBy(key).agg(F.count("*").alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") == k) & (F.col("_far") <= ring * min(width))).select(key)
-        found = ranked.join(sure, key, "left_semi").select(key, "other", "rank")
-        done = found if done is None else done.unionByName(found)
-        todo = todo.join(sure, key, "left_anti")
-        if todo.isEmpty():
-            return done
-        ring *= 2
-
-
 def oversampled(df: DataFrame, label: str, minority: int, features: Sequence[str], key: str, k: int = 5) -> DataFrame:
-    """Synthetic minority rows, each between a row and one of its k nearest."""
+    """Synthetic minority rows, each between a row and one of its k nearest; rows with an unknown feature have no neighbours and give none."""
     rows = df.where(F.col(label) == minority).select(key, *features)
     near = nearest_rows(rows, features, key, k)
     of = near.groupBy(key).agg(F.max("rank").alias("_n"))

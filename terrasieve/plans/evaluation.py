@@ -222,6 +222,15 @@ def two_stage_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.scored(second, ml.rolled_up(ml.scored(first, pixels), "plot", ["age", "loss"])).select("plot", "loss", F.round("score", 6).alias("score"))
 
 
+@query("""WITH v AS (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b, CAST(embedding[3] AS DOUBLE) AS c FROM embeddings WHERE vec_id % 13 > 0)
+SELECT * FROM (SELECT x.vec_id, y.vec_id AS other, CAST(row_number() OVER (PARTITION BY x.vec_id ORDER BY (x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c), y.vec_id) AS INTEGER) AS rank FROM v x JOIN v y ON x.vec_id <> y.vec_id) WHERE rank <= 5""")
+def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest others of each vector; of every thirteenth the features are unknown."""
+    e = table(spark, sf_dir, "embeddings")
+    v = e.select("vec_id", *[F.when(F.col("vec_id") % 13 > 0, F.col("embedding")[i].cast("double")).alias(f"x{i}") for i in range(3)])
+    return ml.nearest_rows(v, ["x0", "x1", "x2"], "vec_id", 5)
+
+
 @query(None)
 def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 3)

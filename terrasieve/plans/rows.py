@@ -120,6 +120,22 @@ def stat_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("l_returnflag", "l_linestatus", *[r4(c, c) for c in s.columns[2:]])
 
 
+#: 242 features of an order, some of them null, and one that is mostly ones.
+_FEATURE = "CASE WHEN (o_orderkey + k) % 11 = 0 THEN NULL WHEN k % 40 = 0 THEN CAST(o_custkey % (k + 2) < 2 AS INTEGER) ELSE CAST((o_orderkey * 37 * (k + 1) + o_custkey * k) % 1009 AS DOUBLE) - 20 END"
+
+
+@query(f"""WITH d AS (SELECT o_custkey % 20 AS district, k, {_FEATURE} AS v FROM orders, range(242) r(k))
+SELECT district, 'x' || k AS feature, round(min(v), 4) AS v_min, round(max(v), 4) AS v_max, round(avg(v), 4) AS v_mean, round(quantile_cont(v, 0.05), 4) AS p5, round(quantile_cont(v, 0.1), 4) AS p10, round(quantile_cont(v, 0.25), 4) AS p25,
+round(quantile_cont(v, 0.5), 4) AS p50, round(quantile_cont(v, 0.75), 4) AS p75, round(quantile_cont(v, 0.9), 4) AS p90, round(quantile_cont(v, 0.95), 4) AS p95, round(count(*) FILTER (v = 1) / count(*), 4) AS ratio FROM d GROUP BY 1, k""")
+def district_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All statistics of 242 columns by district, their quantiles selected together."""
+    o = table(spark, sf_dir, "orders")
+    names = [f"x{k}" for k in range(242)]
+    wide = o.select((F.col("o_custkey") % 20).alias("district"), *[F.expr(_FEATURE.replace("(k + 2)", str(k + 2)).replace("(k + 1)", str(k + 1)).replace("k % 40", str(k % 40)).replace("+ k)", f"+ {k})").replace("* k)", f"* {k})")).cast("double").alias(f"x{k}") for k in range(242)])
+    s = A.column_stats(wide, ["district"], names)
+    return s.select("district", F.col("column").alias("feature"), *[r4(c, f"v_{c}") for c in ("min", "max", "mean")], *[r4(c, c) for c in ("p5", "p10", "p25", "p50", "p75", "p90", "p95", "ratio")])
+
+
 @query("""WITH o AS (SELECT o_custkey % 20 AS district, year(o_orderdate) AS y, sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS a, sum(o_totalprice) AS b FROM orders GROUP BY 1, 2)
 SELECT district, round(avg(a / b), 4) AS share, count(a / b) AS n FROM o GROUP BY 1""")
 def two_level_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
