@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import geometry as G
+from ..operators import linear as L
 from ..operators import metrics as M
 from ..operators import ml
 from ..operators import raster as R
@@ -231,6 +232,30 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ml.nearest_rows(v, ["x0", "x1", "x2"], "vec_id", 5)
 
 
+@query("""WITH d AS (SELECT CAST(l_quantity AS DOUBLE) AS a, l_extendedprice / 1000 AS b, l_discount * 100 AS c, l_tax * 100 + l_quantity / 10 AS y FROM lineitem),
+m AS (SELECT covar_samp(a, a) AS aa, covar_samp(a, b) AS ab, covar_samp(b, b) AS bb, covar_samp(a, c) AS ac, covar_samp(b, c) AS bc, covar_samp(c, c) AS cc, covar_samp(a, y) AS ya, covar_samp(b, y) AS yb, covar_samp(c, y) AS yc, count(*) - 1 AS n FROM d),
+k AS (SELECT 'plain' AS model, * REPLACE (aa AS aa) FROM m UNION ALL SELECT 'ridge', * REPLACE (aa + 1.0 / n AS aa, bb + 1.0 / n AS bb, cc + 1.0 / n AS cc) FROM m),
+e AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM k)
+SELECT model, unnest(['a', 'b', 'c']) AS feature, round(unnest([ya * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc), aa * (yb * cc - bc * yc) - ya * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac), aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ya * (ab * bc - bb * ac)]) / det, 6) AS weight FROM e
+UNION ALL SELECT 'omp', f, CASE WHEN best = f THEN round(w, 6) ELSE 0 END FROM (SELECT unnest(['a', 'b', 'c']) AS f, unnest([ya / aa, yb / bb, yc / cc]) AS w, CASE WHEN abs(ya) >= abs(yb) AND abs(ya) >= abs(yc) THEN 'a' WHEN abs(yb) >= abs(yc) THEN 'b' ELSE 'c' END AS best FROM m)""")
+def linear_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of least squares, ridge and one step of matching pursuit, all from the same sums."""
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_discount") * 100).alias("c"), (F.col("l_tax") * 100 + F.col("l_quantity") / 10).alias("y"))
+    found = L.regressors(L.gathered(d, ["a", "b", "c"], "y"))
+    return spark.createDataFrame([(m, f, round(float(w), 6)) for m in ("plain", "ridge", "omp") for f, w in zip("abc", found[m].weights)], "model string, feature string, weight double")
+
+
+@query(None)
+def linear_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean absolute and mean square error of every regressor over all rows."""
+    names = [f"x{i}" for i in range(12)]
+    d = table(spark, sf_dir, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(names)], (F.col("label") + F.col("embedding")[0] * 3).cast("double").alias("y"))
+    found = L.regressors(L.gathered(d, names, "y"))
+    off = {m: F.col("y") - x.predict(names) for m, x in found.items()}
+    one = d.agg(*[F.struct(F.avg(F.abs(e)).alias("mae"), F.avg(e * e).alias("mse")).alias(m) for m, e in off.items()])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.round(F.col(f"{m}.mae"), 6).alias("mae"), F.round(F.col(f"{m}.mse"), 6).alias("mse")) for m in found])))
+
+
 @query(None)
 def smote_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 3)
