@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
@@ -16,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.series import interpolate, windows
+from .lineage import cut
 from .metrics import precision_recall, roc_curve
 from .neighbours import nearest_rows
 
@@ -138,41 +142,66 @@ def scored_windows(model: PipelineModel, df: DataFrame, key: Sequence[str], ts:
     return scored(model, named).select(*key, "first", "score")
 
 
+def tree_paths(x: np.ndarray, tree: Sequence[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The path of each point down the centres of a tree's levels, a bit a level: 1 for the second centre, if it is nearer."""
+    path = np.zeros(len(x), np.int64)
+    for a, b in tree:
+        path = 2 * path + (((x - b[path]) ** 2).sum(axis=1) < ((x - a[path]) ** 2).sum(axis=1))
+    return path
+
+
 def path_clusters(df: DataFrame, coordinates: Sequence[str], levels: int, steps: int = 10) -> DataFrame:
-    """Two means inside each cluster, level by level; ``path`` has a bit for each level.
+    """Two means inside each cluster, level by level; ``path`` has a bit for each level, null where a coordinate is unknown.
 
-    All clusters of a level are fitted together: a pass assigns every row to the nearer of its cluster's two
-    centres and averages both sides, until none moves. The driver holds the centres, two for each cluster.
+    All clusters of a level are fitted together. The tree of centres so far is kept, two for each cluster, and gives
+    every row its path in the pass that needs it, so that no level reads what the one before has made of the
+    rows. A step is one pass, whose tasks return a row for each cluster and side; a level ends when no centre moves.
     """
-    out, names = df.withColumn("path", F.lit(0)), list(coordinates)
-    spark, x = df.sparkSession, [F.col(c).cast("double") for c in coordinates]
-    schema = ", ".join(["path int", *[f"{e}_{c} double" for e in "ab" for c in names]])
-
-    def nearer(rows: DataFrame, centres: dict[int, tuple]) -> DataFrame:
-        held = spark.createDataFrame([(k, *ab) for k, ab in sorted(centres.items())], schema)
-        far = lambda e: sum(((v - F.col(f"{e}_{c}")) ** 2 for v, c in zip(x, names)), F.lit(0.0))
-        return rows.join(held, "path").withColumn("_side", (far("b") < far("a")).cast("int")).drop(*[f"{e}_{c}" for e in "ab" for c in names])
-
-    n = len(names)
-    for _ in range(levels):
-        ends = out.groupBy("path").agg(*[f(v) for f in (F.avg, F.min, F.max) for v in x]).collect()
-        centres = {}
-        for path, *v in ends:  # a cluster begins at both ends of its widest coordinate
-            mean, low, high = v[:n], v[n : 2 * n], v[2 * n :]
-            wide = max(range(n), key=lambda i: (high[i] or 0.0) - (low[i] or 0.0))
-            centres[path] = tuple([*[low[i] if i == wide else mean[i] for i in range(n)], *[high[i] if i == wide else mean[i] for i in range(n)]])
+    n, out = len(coordinates), cut(df.withColumn("_x", F.array(*[F.col(c).cast("double") for c in coordinates])))
+    whole = F.forall("_x", lambda v: v.isNotNull() & ~F.isnan(v))
+    points, tree = out.where(whole).select("_x"), []
+    names = [f"{k}{i}" for k in ("sum", "low", "high") for i in range(n)]
+
+    def summed(now: tuple[np.ndarray, np.ndarray] | None) -> dict[int, tuple]:
+        """Of each cluster, or of each side where there are centres: rows, mean, least and largest coordinates."""
+        down = [*tree, now] if now else list(tree)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
+            for b in batches:
+                x = b.column("_x").flatten().to_numpy().reshape(-1, n)
+                path = tree_paths(x, down)
+                for p in np.unique(path).tolist():
+                    y = x[path == p]
+                    m, s, low, high = held.get(p, (0, 0.0, np.inf, -np.inf))
+                    held[p] = m + len(y), s + y.sum(axis=0), np.minimum(low, y.min(axis=0)), np.maximum(high, y.max(axis=0))
+            for p, (m, *v) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([p]), pa.array([m]), *[pa.array([float(c)]) for u in v for c in u]], ["path", "m", *names])
+
+        parts = points.mapInArrow(run, "path long, m long, " + ", ".join(f"{c} double" for c in names)).groupBy("path")
+        rows = parts.agg(F.sum("m"), *[{"sum": F.sum, "low": F.min, "high": F.max}[c.rstrip("0123456789")](c) for c in names]).collect()  # a row a cluster
+        return {r[0]: (np.array(r[2 : 2 + n]) / r[1], np.array(r[2 + n : 2 + 2 * n]), np.array(r[2 + 2 * n :])) for r in rows}
+
+    for level in range(levels):
+        a, b = np.full((2, 1 << level, n), np.nan)
+        for path, (mean, low, high) in summed(None).items():  # a cluster begins at both ends of its widest coordinate
+            wide = int((high - low).argmax())
+            a[path], b[path] = mean, mean
+            a[path, wide], b[path, wide] = low[wide], high[wide]
         for _ in range(steps):
-            sides = nearer(out, centres).groupBy("path", "_side").agg(*[F.avg(v) for v in x]).collect()
-            moved = dict(centres)
-            for path, side, *v in sides:
-                ab = moved[path]
-                moved[path] = (*v, *ab[n:]) if side == 0 else (*ab[:n], *v)
-            if moved == centres:
+            before = a.copy(), b.copy()
+            for path, (mean, _low, _high) in summed((a, b)).items():
+                (b if path % 2 else a)[path // 2] = mean
+            if np.array_equal(before[0], a, equal_nan=True) and np.array_equal(before[1], b, equal_nan=True):
                 break
-            centres = moved
-        centres = {k: (*min(ab[:n], ab[n:]), *max(ab[:n], ab[n:])) for k, ab in centres.items()}
-        out = nearer(out, centres).withColumn("path", F.col("path") * 2 + F.col("_side")).drop("_side")
-    return out.select(*df.columns, "path")
+        swap = np.array([tuple(u) > tuple(v) for u, v in zip(a, b)])[:, None]
+        tree.append((np.where(swap, b, a), np.where(swap, a, b)))
+
+    @F.pandas_udf("int")
+    def path(x: pd.Series) -> pd.Series:
+        return pd.Series(tree_paths(np.stack(x.to_numpy()) if len(x) else np.zeros((0, n)), tree).astype(np.int32))
+
+    return out.withColumn("path", F.when(whole, path(F.when(whole, F.col("_x")).otherwise(F.array(*[F.lit(0.0)] * n))))).drop("_x")
 
 
 def cluster_split(path: str = "path", depth: int = 2, share: int = 20):

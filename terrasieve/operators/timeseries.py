@@ -177,9 +177,10 @@ def event_curve(df: DataFrame, by: Sequence[str], ts: str, t: str, reach: int) -
     return mean.withColumn("change", F.col("mean") - F.lag("mean").over(W.partitionBy(*by).orderBy("distance")))
 
 
-def two_satellites(first: str, last: str, cycle: int = 12) -> Column:
+def two_satellites(first: str | Column, last: str | Column, cycle: int = 12) -> Column:
     """Days of two alternating satellites: (day, satellite) every half cycle."""
-    days = F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr(f"interval {cycle // 2} day"))
+    first, last = (F.lit(x).cast("date") if isinstance(x, str) else x for x in (first, last))
+    days = F.sequence(first, last, F.expr(f"interval {cycle // 2} day"))
     return F.transform(days, lambda d, i: F.struct(d.alias("day"), F.when(i % 2 == 0, "A").otherwise("B").alias("satellite")))
 
 

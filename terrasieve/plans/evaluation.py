@@ -210,7 +210,7 @@ def rf_staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(None)
 def cluster_path_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, names = _vectors(spark, sf_dir, 2)
-    c = ml.path_clusters(d, names, 12, steps=5)
+    c = ml.path_clusters(d, names, 12)
     q = F.percentile("x0", [0.25, 0.5, 0.75])
     return c.groupBy("path").agg(F.count("*").alias("n"), F.min("x0").alias("x_min"), F.max("x0").alias("x_max"), q[0].alias("x_p25"), q[1].alias("x_med"), q[2].alias("x_p75"))
 

@@ -121,10 +121,14 @@ def predicted_loss_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy((F.col("plot") % 100).alias("district")).agg(F.count("*").alias("n"), r4(F.avg("any_flood"), "ratio"))
 
 
-@query("""SELECT strftime(DATE '2020-06-01' + CAST(i * 6 AS INTEGER), '%Y-%m-%d') AS day, CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END AS satellite FROM range(0, 31) r(i) WHERE DATE '2020-06-01' + CAST(i * 6 AS INTEGER) <= DATE '2020-11-30'""")
+@query("""WITH s AS (SELECT o_custkey % 20 AS district, CAST(min(o_orderdate) AS DATE) AS first, CAST(max(o_orderdate) AS DATE) AS last FROM orders GROUP BY 1),
+d AS (SELECT district, first, last, unnest(range(0, date_diff('day', first, last) // 6 + 1)) AS i FROM s)
+SELECT district, strftime(first + CAST(i * 6 AS INTEGER), '%Y-%m-%d') AS day, CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END AS satellite FROM d""")
 def two_satellites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.range(1).select(F.inline(T.two_satellites("2020-06-01", "2020-11-30")))
-    return d.select(F.col("day").cast("string").alias("day"), "satellite")
+    """The days on which two satellites in turn pass over each district, from its first order to its last."""
+    o = table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 20).alias("district")).agg(F.to_date(F.min("o_orderdate")).alias("first"), F.to_date(F.max("o_orderdate")).alias("last"))
+    d = o.select("district", F.inline(T.two_satellites(F.col("first"), F.col("last"))))
+    return d.select("district", F.col("day").cast("string").alias("day"), "satellite")
 
 
 @query(f"""WITH {_RECT}, d AS (SELECT i.i * 8 + j.j AS district, i.i * 300.0 - 0.5 AS dx, j.j * 100.0 - 0.5 AS dy FROM range(7) i(i), range(8) j(j))

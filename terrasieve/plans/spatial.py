@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks as B
 from ..operators import coverage as C
 from ..sources.tables import table
 from .evaluation import _RECT, _plots
+from .relational import DAYS, PLANTED, days, planted
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -63,3 +65,18 @@ def coarse_value_at_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a raster of 36 by 36 pixels, its first row at the top, has at the centroid of each plot."""
     g = table(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 40).alias("row"), (F.col("l_suppkey") % 60).alias("col")).agg(F.round(F.avg("l_quantity"), 4).alias("value"))
     return C.at_centroid(_plots(spark, sf_dir), "plot", "wkt", g, (0.0, 36.0, 0.0, 1440.0, 0.0, -36.0))
+
+
+@query(f"""WITH {DAYS}, {PLANTED} SELECT plot, count(v) AS n, round(sum(v) + 1e-9, 4) AS total, round(arg_min(v, day) + 1e-9, 4) AS first_v, round(max(v) FILTER (day = plant) + 1e-9, 4) AS at_plant FROM planted LEFT JOIN days ON days.pixel = planted.pixel GROUP BY 1""")
+def block_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each plot's series out of an array of days, rows and columns that is stored in blocks."""
+    place = lambda c: [F.floor(F.col(c) / 16).cast("int").alias("row"), (F.col(c) % 16).cast("int").alias("col")]
+    cube = days(spark, sf_dir).select(F.unix_date("day").alias("layer"), *place("pixel"), "v")
+    asked = planted(spark, sf_dir).select("plot", F.unix_date("plant").alias("plant"), *place("pixel"))
+    found = B.gathered(asked, B.as_blocks(cube, "layer", "row", "col", "v", 8), "row", "col", 8)
+    known = F.filter("series", lambda s: s["value"].isNotNull())
+    total = F.aggregate("known", F.lit(0.0), lambda a, s: a + s["value"])
+    at = F.filter("known", lambda s: s["layer"] == F.col("plant"))
+    k = found.withColumn("known", F.coalesce(known, F.expr("cast(array() as array<struct<layer: bigint, value: double>>)")))
+    r4 = lambda c, name: F.round(c + 1e-9, 4).alias(name)
+    return k.select("plot", F.size("known").cast("long").alias("n"), r4(F.when(F.size("known") > 0, total), "total"), r4(F.try_element_at("known", F.lit(1))["value"], "first_v"), r4(F.try_element_at(at, F.lit(1))["value"], "at_plant"))
