@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -47,3 +48,47 @@ def append_new(batch: DataFrame, path: str, key: list[str]) -> None:
     from ..sources.tables import write_missing
 
     write_missing(batch.dropDuplicates(key), path, key)
+
+
+#: Days after planting at which a plot is judged.
+HORIZONS = (40, 90, 120, 180)
+
+
+def horizon_stream(acquisitions: DataFrame, key: str, planted: str, time: str, value: str, *, below: float, horizons: Sequence[int] = HORIZONS, late: str = "12 days") -> DataFrame:
+    """(key, horizon, n, run) once a horizon is over: the acquisitions since planting and the longest run of them under a bound.
+
+    Rows come in any order up to ``late`` behind the newest; older ones are dropped. State is the days seen and if each
+    was low, no more than the last horizon has days. A timer on event time puts a horizon out when the watermark
+    reaches it, with or without new rows of the key. Of two rows of a day the first stays; a null value isn't low and ends a run;
+    rows before planting, after the last horizon or without a planting date change nothing.
+    """
+    kind, ends = acquisitions.schema[key].dataType.simpleString(), sorted(horizons)
+    day_ms = 86_400_000
+
+    def step(keys: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        start, days, low, done = state.get if state.exists else (None, [], [], 0)
+        seen = dict(zip(days, low))
+        if not state.hasTimedOut:
+            for pdf in rows:
+                for first, at, ms, x in zip(*[pdf[c] for c in ("_first", "_at", "_ms", value)]):
+                    if not pd.isna(at) and 0 <= at < ends[-1] and ms >= state.getCurrentWatermarkMs():
+                        start = int(first) if start is None else start
+                        seen.setdefault(int(at), bool(not pd.isna(x) and x < below))
+        if start is None:
+            return
+        out = []
+        while done < len(ends) and state.getCurrentWatermarkMs() >= start + ends[done] * day_ms:
+            until = [seen[d] for d in sorted(seen) if d < ends[done]]
+            out.append((keys[0], ends[done], len(until), max((len(list(g)) for is_low, g in groupby(until) if is_low), default=0)))
+            done += 1
+        if done == len(ends):
+            state.remove()
+        else:
+            state.update((start, sorted(seen), [seen[d] for d in sorted(seen)], done))
+            state.setTimeoutTimestamp(start + ends[done] * day_ms)
+        if out:
+            yield pd.DataFrame(out, columns=[key, "horizon", "n", "run"])
+
+    since = [F.unix_millis(F.col(planted).cast("timestamp")).alias("_first"), F.datediff(time, planted).alias("_at"), F.unix_millis(time).alias("_ms")]
+    held = acquisitions.withWatermark(time, late).select(key, time, value, *since).groupBy(key)
+    return held.applyInPandasWithState(step, f"{key} {kind}, horizon int, n int, run int", "start long, days array<int>, low array<boolean>, done int", "append", GroupStateTimeout.EventTimeTimeout)
