@@ -154,10 +154,15 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def kde(df: DataFrame, c: str, low: float, high: float, points: int = 200) -> DataFrame:
-    """Gaussian density on a grid, Scott's bandwidth. Values are counted first, so equal ones cost once; each makes its terms without a join."""
+    """Gaussian density on a grid, Scott's bandwidth; null where there are no values or all are equal.
+
+    Values are counted first, so equal ones cost once; each makes its terms without a join.
+    """
     stats = df.agg(F.count(c).alias("n"), F.stddev_samp(c).alias("sd")).first()
     n, h = stats["n"], (stats["sd"] or 0) * max(stats["n"], 1) ** -0.2
     step = (high - low) / (points - 1)
+    if not h:
+        return df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"), F.lit(None).cast("double").alias("density"), (low + F.col("id") * step).alias("x"))
     counted = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("double").alias("v")).agg(F.count("*").alias("w"))
     term = lambda i: F.exp(-0.5 * F.pow((F.lit(low) + i * step - F.col("v")) / h, 2))
     each = counted.select("w", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(points - 1)), term)).alias("i", "t"))

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 
 def null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """A join on equal keys where null equals null; the left's columns, then what only the right has."""
+    """A join on equal keys where null equals null; the left's columns, then what only the right has. Without keys the right side is one row."""
     same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in on]
-    met = left.alias("_l").join(right.alias("_r"), reduce(and_, same), how) if on else left.crossJoin(F.broadcast(right))
+    met = left.alias("_l").join(right.alias("_r"), reduce(and_, same), how) if on else left.crossJoin(right)
     return met.select("_l.*", *[f"_r.{c}" for c in right.columns if c not in on]) if on else met
 
 

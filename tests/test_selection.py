@@ -53,3 +53,9 @@ def test_statistics_of_many_columns_equal_those_of_each(spark):
             assert x["ratio"] == pytest.approx(sum(v == 1 for v in known) / len(every)) and x["mean"] == pytest.approx(np.mean(known))
     wide = A.stat_pack(df, ["g"], names, quantiles=(0.5,))
     assert wide.columns[:6] == ["g", "c0_min", "c0_max", "c0_mean", "c0_p50", "c0_ratio"] and wide.count() == 3
+
+
+def test_density_of_nothing_and_of_one_value_is_null(spark):
+    for rows in ([], [(None,)], [(2.0,)], [(2.0,)] * 5):
+        got = A.kde(spark.createDataFrame(rows, "x double"), "x", 0.0, 4.0, 5).orderBy("i").collect()
+        assert [(r.i, r.density, r.x) for r in got] == [(i, None, float(i)) for i in range(5)]

@@ -69,3 +69,12 @@ def test_a_block_is_a_row_and_layers_keep_their_order(spark):
     one = B.gathered(spark.createDataFrame([(0, 0)], "y int, x int"), blocks, "y", "x", 16).first()
     assert [s.layer for s in one.series] == [0, 3, 6, 9, 12]
     assert B.gathered(spark.createDataFrame([(0, 0)], "y int, x int"), blocks.limit(0), "y", "x", 16).first().series is None
+
+
+def test_whole_subtrees_are_held_out(spark):
+    df = spark.range(4096).select(F.col("id").cast("int").alias("path"))
+    got = {r.path: r.held for r in df.select("path", ml.cluster_split(depth=3, share=30).alias("held")).collect()}
+    assert all(len({got[p] for p in ml.descendants(top, 9, 12)}) == 1 for top in range(512))
+    assert 0.2 < sum(got.values()) / len(got) < 0.4
+    deeper = {r.path: r.held for r in df.select("path", ml.cluster_split(depth=3, share=60).alias("held")).collect()}
+    assert all(deeper[p] for p, held in got.items() if held)
