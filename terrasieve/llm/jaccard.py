@@ -5,17 +5,18 @@ from every pivot, so no pivot can part them; regions therefore begin as cells of
 hashes of shingles are cut into one block more than near sets of that size can differ in,
 so near sets agree in a whole block. Inside, the metric works:
 
-* Two pivots create the Voronoi regions of a cell: its member of most cells, and another one. Every member's
-  distance to both is counted exactly, and what is near a pivot is linked to it.
+* Each cell has a pivot from its midst, and what shares cells with the same pivot makes a region; a further
+  pivot splits it into two Voronoi regions. Every member's distance to both is counted exactly, and what is near a
+  pivot is linked to it.
 * A member goes to the region of its nearer pivot, and to the other as well if that is
   farther by no more than twice the radius: by the triangle inequality, all that is near a
   member is then in the region of that member's pivot.
 * In a region, members near the pivot are linked through it. Any other near pair differs from the pivot in common
-  shingles, as many as the distances demand: members with too few such shingles leave, and
-  the others join again in cells of their rarest common ones, with pivots of their
-  own. Regions lose their pivots each time, so this ends; cells of three are done at once.
+  shingles, as many as the distances demand, and what only one of them has stays a difference: members with too few common
+  or too many own differences leave, and the others join again in cells of their rarest common ones, with pivots of their
+  own. Regions lose their pivots each time, so this ends.
 
-No group is expanded into all pairs, and no link between components is lost.
+Cells of a few members compare them directly, each pair once. No larger group is expanded into pairs, and no link between components is lost.
 
 Shingles are compared by 64-bit hash, sets by 128 bits. Defined results: a null text and
 one without words have the empty set, linked with nothing; a text of fewer words than a
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,32 +39,43 @@ from pyspark.sql import functions as F
 from .common import LOWER, pick, stored, table, texts_of
 from .graph import components
 
-#: Members up to which two pivots leave no pair of a cell uncompared, and rows of three sets that a worker holds.
-DONE, BATCH = 3, 256
+#: Members that a cell compares directly, among sets and where windows narrow the pairs; rows of three sets that a worker holds; words it remembers.
+FEW, FEW_NARROW, BATCH, WORDS = 8, 1024, 256, 1 << 18
 
 _ODD, _MIX, _TAG = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
-def shingle_hashes(text: bytes | None, k: int = 3) -> np.ndarray:
-    """The distinct hashes of all k-word shingles, ascending."""
-    import xxhash
-
-    words = (text or b"").translate(LOWER).split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    hashed, line = xxhash.xxh64_intdigest, b" ".join(words)
-    if len(words) <= k:
-        return np.array([hashed(line)], np.uint64)
-    ends = np.cumsum([len(w) + 1 for w in words]).tolist()
-    return np.unique(np.array([hashed(line[a : b - 1]) for a, b in zip([0, *ends], ends[k - 1 :])], np.uint64))
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * _MIX
     x = (x ^ (x >> np.uint64(27))) * _TAG
     return x ^ (x >> np.uint64(31))
 
 
+class WordHashes(dict):
+    """Hashes of the words met last."""
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingle_hashes(text: bytes | None, k: int, known: WordHashes) -> np.ndarray:
+    """The distinct hashes of all k-word shingles, ascending."""
+    words = (text or b"").translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    each = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    n = max(1, len(words) - k + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(min(k, len(words))):
+        h = mixed(h * _ODD + each[i : i + n])
+    return np.unique(h)
+
+
 @lru_cache
 def size_classes(share: int) -> list[int]:
     """The least sizes of classes such that near sets are in one or in two adjacent ones."""
@@ -110,12 +122,13 @@ def signed(batches: Iterator[pa.RecordBatch], k: int, share: int) -> Iterator[pa
     """(doc_id, t, text) to (doc_id, t, n, key, cells); key is null for the empty set."""
     import xxhash
 
+    known = WordHashes()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
             n, key, size, cells = [], [], [], []
             for text in texts_of(part):
-                h = shingle_hashes(text, k)
+                h = shingle_hashes(text, k, known)
                 n.append(len(h))
                 key.append(xxhash.xxh3_128_digest(h) if len(h) else None)
                 cells.append(block_cells(h, share) if len(h) else np.zeros(0, np.int64))
@@ -126,44 +139,54 @@ def signed(batches: Iterator[pa.RecordBatch], k: int, share: int) -> Iterator[pa
 
 def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(node, text) to (node, h): the hashes as bytes."""
+    known = WordHashes()
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_hashes(x, k).tobytes() for x in texts_of(part)], pa.binary())], ["node", "h"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_hashes(x, k, known).tobytes() for x in texts_of(part)], pa.binary())], ["node", "h"])
+
 
+FOUND = "a long, b long, parent long, q1 long, side int, here boolean, node long, size int, ball boolean, delta array<long>"
 
-FOUND = "a long, b long, parent long, q1 long, q2 long, side int, node long, size int, ball boolean, delta array<long>"
+
+def _differ(x: np.ndarray, y: np.ndarray, share: int) -> tuple[np.ndarray, int, bool]:
+    """What one of two sets has and the other hasn't, the size of their union, and if they are near."""
+    d = np.setxor1d(x, y, assume_unique=True)
+    union = (len(x) + len(y) + len(d)) // 2
+    return d, union, 100 * (union - len(d)) >= share * union
+
+
+def near_pairs(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
+    """The rows (a, b, h, h1) whose sets are near, as links."""
+    for batch in batches:
+        sets = [[np.frombuffer(s.as_buffer(), np.uint64) for s in batch.column(c)] for c in ("h", "h1")]
+        near = pa.array([_differ(x, y, share)[2] for x, y in zip(*sets)], pa.bool_())
+        yield batch.select(["a", "b"]).filter(near)
 
 
 def compared(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
-    """Rows (parent, q1, q2, node, more, h, h1, h2) to links (a, b) with a pivot, and to memberships of Voronoi regions, with what differs from the pivot.
+    """Rows (parent, q1, q2, node, h, h1, h2) to links (a, b) with a pivot, and to what differs from both pivots, and if that side of the Voronoi boundary is ``here``.
 
     Distances are fractions of whole numbers; only the windows use floats, with a margin.
     """
     window = 2 * (1 - share / 100) + 1e-9
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("parent", pa.int64()), ("q1", pa.int64()), ("q2", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("size", pa.int32()), ("ball", pa.bool_()), ("delta", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("parent", pa.int64()), ("q1", pa.int64()), ("side", pa.int32()), ("here", pa.bool_()), ("node", pa.int64()), ("size", pa.int32()), ("ball", pa.bool_()), ("delta", pa.list_(pa.int64()))])
     for batch in batches:
-        for i in range(0, batch.num_rows, BATCH):
-            part = batch.slice(i, BATCH)
-            out: list[tuple] = []
-            names = ("parent", "q1", "q2", "node", "more")
-            for parent, q1, q2, node, more, *sets in zip(*[part.column(c).to_pylist() for c in names], *[part.column(c) for c in ("h", "h1", "h2")]):
-                x, *pivots = (np.frombuffer(s.as_buffer(), np.uint64) for s in sets)
-                far, near, delta = [], [], []
-                for q, p in zip((q1, q2), pivots):
-                    d = np.setxor1d(x, p, assume_unique=True)
-                    union = (len(x) + len(p) + len(d)) // 2
-                    far.append(len(d) / union)
-                    near.append(100 * (union - len(d)) >= share * union)
-                    delta.append(d)
-                    if near[-1] and q != node:
-                        out.append((node, q, None, None, None, None, None, None, None, None))
-                if more and node not in (q1, q2):
-                    for side in (0, 1):
-                        if far[side] <= far[1 - side] + window:
-                            out.append((None, None, parent, q1, q2, side, node, len(x), near[side], delta[side].view(np.int64)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+        out: list[tuple] = []
+        for parent, q1, q2, node, *sets in zip(*[batch.column(c).to_pylist() for c in ("parent", "q1", "q2", "node")], *[batch.column(c) for c in ("h", "h1", "h2")]):
+            x, *pivots = (np.frombuffer(s.as_buffer(), np.uint64) for s in sets)
+            far, near, delta = [], [], []
+            for q, p in zip((q1, q2), pivots):
+                d, union, is_near = _differ(x, p, share)
+                far.append(len(d) / union)
+                near.append(is_near)
+                delta.append(d)
+                if is_near and q != node:
+                    out.append((node, q, *[None] * 8))
+            for side in (0, 1) if node != q2 else ():
+                out.append((None, None, parent, q1, side, far[side] <= far[1 - side] + window, node, len(x), near[side], delta[side].view(np.int64)))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
 
 @contextmanager
@@ -179,37 +202,76 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def with_pivots(cells: DataFrame) -> DataFrame:
-    """(parent, q1, q2, node, more) of (parent, cell, node): each member of a cell with both pivots, once for all cells that have the same."""
-    central = stored(cells.groupBy("parent", "node").agg(F.count("*").alias("c")), "central")
-    order = F.struct(F.xxhash64("node"), "node")
-    known = cells.join(central, ["parent", "node"])
-    pivots = known.groupBy("parent", "cell").agg(F.min(F.struct(-F.col("c"), "node"))["node"].alias("q1"), F.min(order)["node"].alias("low"), F.max(order)["node"].alias("high"), (F.count("*") > DONE).alias("more"))
-    pivots = stored(pivots.select("parent", "cell", "q1", F.when(F.col("low") == F.col("q1"), F.col("high")).otherwise(F.col("low")).alias("q2"), "more"), "pivots")
-    members = cells.join(pivots, ["parent", "cell"]).where("node <> q1")
-    return members.groupBy("parent", "q1", "q2", "node").agg(F.bool_or("more").alias("more"))
+    """(parent, q1, q2, node) of (parent, cell, node, first): members of all cells with the same pivot q1, that of the least ``first``, with another of them."""
+    pivots = cells.groupBy("parent", "cell").agg(F.min(F.struct("first", "node"))["node"].alias("q1"))
+    members = stored(cells.join(stored(pivots, "pivots"), ["parent", "cell"]).where("node <> q1").select("parent", "q1", "node").distinct(), "members")
+    others = members.groupBy("parent", "q1").agg(F.min(F.struct(F.xxhash64("node"), "node"))["node"].alias("q2"))
+    return members.join(stored(others, "others"), ["parent", "q1"])
 
 
-def shared_cells(keyed: DataFrame, keep: DataFrame) -> DataFrame:
-    """Rows of the cells in ``keep``, written."""
-    return stored(keyed.join(stored(keep, "shared"), ["parent", "cell"], "left_semi").select("parent", "cell", "node"), "cells")
+def central(cells: DataFrame) -> DataFrame:
+    """cells with ``first``: the more cells a node shares with others, the sooner it is a pivot."""
+    return cells.join(stored(cells.groupBy("node").agg((-F.count("*")).alias("first")), "central"), "node")
+
+
+def sized_cells(keyed: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of the cells in ``kept`` (parent, cell, m), with m, written."""
+    return stored(keyed.join(stored(kept, "kept"), ["parent", "cell"]), "cells")
+
+
+def pairs_of(cells: DataFrame, most: int, *more: str) -> DataFrame:
+    """Each two members of a cell of ``most`` or less, once a cell, as structs x and y with the columns ``more``."""
+    listed = cells.where(F.col("m") <= most).groupBy("parent", "cell").agg(F.sort_array(F.collect_list(F.struct("node", *more))).alias("s"))
+    first = listed.select("s", F.posexplode("s").alias("i", "x"))
+    return first.select("x", F.explode(F.slice("s", F.col("i") + 2, F.lit(most))).alias("y"))
 
 
 def finer_cells(found: DataFrame, share: int) -> DataFrame:
-    """Cells of regions that aren't done, by the rarest shingles in which members differ from the pivot."""
-    region = F.xxhash64("parent", "q1", "q2", "side").alias("region")
-    members = found.where("node is not null").select(region, "node", "size", "ball", "delta")
-    open_ = stored(members.groupBy("region").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done")).where("m > 1 and not done").select("region"), "open")
-    d, allowed = F.size("delta"), F.floor(F.col("size") * (100 - share) / share).cast("int")
-    each = stored(members.join(open_, "region", "left_semi").select("region", "node", "ball", d.alias("d"), allowed.alias("allowed"), F.explode("delta").alias("e")), "differences")
+    """Cells of regions that aren't done, by the rarest shingles in which members differ from the pivot: (parent, cell, node, m, ball, d, own, allowed)."""
+    # where most members lie near the boundary, so that both regions would have them, the region stays whole
+    split = found.where("node is not null").groupBy("parent", "q1").agg((F.count_if("here") < 1.5 * F.count_if(F.col("side") == 0)).alias("split"))
+    sided = found.where("node is not null").join(stored(split, "split"), ["parent", "q1"]).where("if(split, here, side = 0)")
+    members = sided.select(F.xxhash64("parent", "q1", "side").alias("region"), "node", "size", "ball", "delta")
+    open_ = stored(members.groupBy("region").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done"), F.max("size").alias("largest")).where("m > 1 and not done").select("region", "largest"), "open")
+    # near sets x, y differ in (100 - share) / (100 + share) of |x| + |y| at most, and neither is larger than the other over the share
+    d, allowed = F.size("delta"), F.floor((100 - share) * F.least((F.col("size") + F.col("largest")) / (100 + share), F.col("size") / share) + 1e-9).cast("int")
+    each = stored(members.join(open_, "region").select("region", "node", "ball", d.alias("d"), allowed.alias("allowed"), F.explode("delta").alias("e")), "differences")
     common = stored(each.groupBy("region", "e").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    kept = each.join(common, ["region", "e"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"), F.first("d").alias("d"), F.first("allowed").alias("allowed"), F.first("ball").alias("ball"))
-    # near members x, y differ from each other in ``allowed`` shingles at most, so they share (d(x) + d(y) - allowed) / 2 differences or more
-    n = F.size("s")
-    kept = kept.where(n >= F.col("d") - F.col("allowed")).withColumn("first", 2 * n >= 2 * F.col("d") - F.col("allowed"))
-    prefix = F.transform(F.slice("s", 1, n - F.greatest(F.lit(1), F.col("d") - F.col("allowed")) + 1), lambda x: x["e"])
-    keyed = stored(kept.select(F.col("region").alias("parent"), "node", "ball", "first", F.explode(prefix).alias("cell")), "finer")
-    keep = keyed.groupBy("parent", "cell").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done"), F.bool_or("first").alias("any")).where("m > 1 and not done and any")
-    return shared_cells(keyed, keep.select("parent", "cell"))
+    kept = each.join(common, ["region", "e"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"), *[F.first(c).alias(c) for c in ("d", "allowed", "ball")])
+    kept = kept.withColumn("own", F.col("d") - F.size("s"))
+    for _ in range(2):  # what leaves narrows the bounds for the others
+        kept = narrowed(stored(kept, "narrowed"))
+    prefix = F.transform(F.slice("s", 1, F.size("s") - F.col("least") + 1), lambda x: x["e"])
+    keyed = stored(kept.select(F.col("region").alias("parent"), "node", "ball", "d", "own", "allowed", F.explode(prefix).alias("cell")), "finer")
+    some = F.bool_or(2 * F.col("own") <= F.col("allowed"))
+    return sized_cells(keyed, keyed.groupBy("parent", "cell").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done"), some.alias("some")).where("m > 1 and not done and some").select("parent", "cell", "m"))
+
+
+def narrowed(kept: DataFrame) -> DataFrame:
+    """Members (region, node, s, d, own, allowed, ball) that may be near another one which the pivot doesn't link them to, with ``least``, the differences they must have in common.
+
+    Near members x, y have (d(x) + d(y) - allowed) / 2 differences in common or more, and all own ones of both lie between them.
+    So the one with fewer differences has half of ``allowed`` own ones at most, and the other
+    no more differences than follows from that (``reach``). One near the pivot only looks for others that aren't.
+    """
+    small = 2 * F.col("own") <= F.col("allowed")
+    stats = kept.groupBy("region").agg(F.max(F.when(small, F.col("d") - 2 * F.col("own"))).alias("reach"), F.min(F.when(~F.col("ball"), F.col("d"))).alias("ring"), F.min("d").alias("fewest"), F.min("own").alias("purest"), F.count("*").alias("m"))
+    stats = stored(stats.where("m > 1 and reach is not null and ring is not null"), "reach")
+    both = kept.drop("least").join(stats, "region")
+    half = lambda x: F.ceil((F.col("d") + x - F.col("allowed")) / 2)
+    ring = F.greatest(F.col("d") - F.col("allowed") + F.col("purest"), half(F.col("fewest")))
+    both = both.withColumn("least", F.greatest(F.lit(1), F.when(F.col("ball"), half(F.col("ring"))).otherwise(ring)).cast("int"))
+    may = (F.size("s") >= F.col("least")) & (F.col("own") + F.col("purest") <= F.col("allowed")) & (small | (F.col("d") - F.col("allowed") <= F.col("reach")))
+    return both.where(may).drop("reach", "ring", "fewest", "purest", "m")
+
+
+def narrow_pairs(cells: DataFrame) -> DataFrame:
+    """Pairs (a, b) of small cells of a region that may be near and aren't linked by the pivot."""
+    x, y = F.col("x"), F.col("y")
+    least = F.least(x["allowed"], y["allowed"])
+    common = x["d"] + y["d"] - least  # twice the differences that a near pair has in common at least
+    may = ~(x["ball"] & y["ball"]) & (F.abs(x["d"] - y["d"]) <= least) & (x["own"] + y["own"] <= least) & (common <= 2 * F.least(x["d"] - x["own"], y["d"] - y["own"]))
+    return pairs_of(cells, FEW_NARROW, "ball", "d", "own", "allowed").where(may).select(x["node"].alias("a"), y["node"].alias("b")).distinct()
 
 
 def near_sets(docs: DataFrame, *, k: int = 3, share: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -221,22 +283,30 @@ def near_sets(docs: DataFrame, *, k: int = 3, share: int = 90) -> tuple[DataFram
     least = rows.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "t")).alias("w"), F.first("cells").alias("cells"))
     nodes = stored(least.select("key", F.col("w.doc_id").alias("least"), F.col("w.t").alias("t"), "cells").withColumn("node", F.monotonically_increasing_id()), "nodes")
     keyed = nodes.select(F.lit(0).cast("long").alias("parent"), "node", F.explode("cells").alias("cell"))
-    cells = shared_cells(keyed, keyed.groupBy("parent", "cell").agg(F.count("*").alias("m")).where("m > 1").select("parent", "cell"))
+    cells = sized_cells(keyed, keyed.groupBy("parent", "cell").agg(F.count("*").alias("m")).where("m > 1"))
     wanted = nodes.join(stored(cells.select("node").distinct(), "wanted"), "node").select("node", "least", "t")
     texts = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("least")) & (F.xxhash64("text") == F.col("t")))
     sets = stored(texts.select("node", "text").mapInArrow(lambda it: sets_of(it, k), "node long, h binary").groupBy("node").agg(F.first("h").alias("h")), "sets")
-    links = None
+
+    def with_sets(rows: DataFrame, *at: str) -> DataFrame:
+        for c, h in zip(at, ("h", "h1", "h2")):
+            rows = rows.join(sets.select(F.col("node").alias(c), F.col("h").alias(h)), c)
+        return rows
+
+    pairs = pairs_of(cells, FEW).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    large, links = central(cells.where(F.col("m") > FEW)), []
     while True:
-        rowed = with_pivots(cells)
-        for at, h in (("node", "h"), ("q1", "h1"), ("q2", "h2")):
-            rowed = rowed.join(sets.select(F.col("node").alias(at), F.col("h").alias(h)), at)
         with small_batches(docs.sparkSession):
-            found = stored(rowed.select("parent", "q1", "q2", "node", "more", "h", "h1", "h2").mapInArrow(lambda it: compared(it, share), FOUND), "compared")
-        near = found.where("a is not null").select("a", "b")
-        links = near if links is None else links.union(near)
+            links.append(stored(with_sets(pairs, "a", "b").select("a", "b", "h", "h1").mapInArrow(lambda it: near_pairs(it, share), "a long, b long"), "near"))
+            if large.isEmpty():
+                break
+            rowed = with_sets(with_pivots(large.select("parent", "cell", "node", "first")), "node", "q1", "q2")
+            found = stored(rowed.select("parent", "q1", "q2", "node", "h", "h1", "h2").mapInArrow(lambda it: compared(it, share), FOUND), "compared")
+        links.append(found.where("a is not null").select("a", "b"))
         cells = finer_cells(found, share)
-        if cells.isEmpty():
-            return rows.select("doc_id", "n", "key"), nodes.select("node", "key", "least"), links
+        # what differs least from the others in its own way lies in their midst
+        pairs, large = narrow_pairs(cells), cells.where(F.col("m") > FEW_NARROW).withColumn("first", F.struct("own", "d"))
+    return rows.select("doc_id", "n", "key"), nodes.select("node", "key", "least"), reduce(DataFrame.union, links)
 
 
 def jaccard_components(docs: DataFrame, *, k: int = 3, share: int = 90) -> DataFrame:
