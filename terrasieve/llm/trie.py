@@ -5,7 +5,7 @@ move. Equal conversations become one path with a multiplicity. Paths are dealt t
 buckets by the digest of their first turn, and ``applyInPandas`` builds the tries of a
 bucket with a dictionary of pointers; children are numbered after their parents, so one
 walk from the last number to the first is the postorder. A first turn with more turns
-below it than ``most`` is cut by the next turn, again and again until all parts fit;
+below it than ``most`` is cut by the next turn, again and again until all parts fit or are one path;
 the nodes cut off get their sums from those of their children, last cut first. What a
 node's conversations are is put in order by ranges and hashed in pieces, so no list of
 ids is held whole.
@@ -173,8 +173,8 @@ def trie(paths: DataFrame, *, most: int = MOST, bucket: int = BUCKET) -> DataFra
         # all that share the next turn, too, and what would become their node
         here = F.size("lens") == F.col("depth") + 1
         size = F.element_at("lens", F.col("depth") + 1)
-        groups = rows.groupBy("cut", "depth", "parent_conv_id", left.alias("next")).agg(F.min("conv_id").alias("least"), F.sum("n").alias("members"), F.sum(turns).alias("turns"), F.max(size).alias("size"), F.max(F.when(here, F.col("ends"))).alias("own_ends"))
-        large = stored(groups.where(F.col("turns") > most).withColumn("id", F.unhex(F.sha2(F.concat("cut", "next"), 256))), "large")
+        groups = rows.groupBy("cut", "depth", "parent_conv_id", left.alias("next")).agg(F.min("conv_id").alias("least"), F.sum("n").alias("members"), F.sum(turns).alias("turns"), F.count("*").alias("paths"), F.max(size).alias("size"), F.max(F.when(here, F.col("ends"))).alias("own_ends"))
+        large = stored(groups.where((F.col("turns") > most) & (F.col("paths") > 1)).withColumn("id", F.unhex(F.sha2(F.concat("cut", "next"), 256))), "large")
         if large.isEmpty():
             fit.append(rows.select(*columns))
             break
