@@ -55,7 +55,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("tokens", tokens)]
 
-#: Mixtures, patience diff, XXH64 and BPE are beyond SQL; the tests hold each stage against brute force.
+#: Mixtures, patience diff, XXH64 and BPE are beyond SQL; tests hold the operators against brute force, and the stages against planted cases.
 ORACLE_SQL = None
 
 
