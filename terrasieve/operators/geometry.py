@@ -148,9 +148,11 @@ def simplified(wkt: Column | str, tolerance: float = 0.01) -> Column:
     return of(wkt)
 
 
-def pixels_of(plots: DataFrame, key: str, wkt: str, transform: Sequence[float], *, all_touched: bool = False) -> DataFrame:
+def pixels_of(plots: DataFrame, key: str, wkt: str, transform: Sequence[float], *, all_touched: bool = False, size: tuple[int, int] | None = None) -> DataFrame:
     """The pixels of each polygon: those whose centre lies inside, or (all_touched) that it touches; the centroid's pixel where there is none.
 
+    With the ``size`` (rows, columns) of a raster, pixels outside it are left out.
+
     A polygon is handled row by row of its box, so none is held as a whole raster.
     """
     x0, dx, _, y0, _, dy = transform
@@ -185,7 +187,8 @@ def pixels_of(plots: DataFrame, key: str, wkt: str, transform: Sequence[float],
     def out(k: pa.Scalar, rows: np.ndarray, cols: np.ndarray, inside: bool) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([k.as_py()] * len(rows), k.type), pa.array(rows, pa.int32()), pa.array(cols, pa.int32()), pa.array([inside] * len(rows))], [key, "row", "col", "is_within"])
 
-    return plots.select(key, wkt).mapInArrow(run, f"{key} {kind}, row int, col int, is_within boolean")
+    found = plots.select(key, wkt).mapInArrow(run, f"{key} {kind}, row int, col int, is_within boolean")
+    return found.where(F.col("row").between(0, size[0] - 1) & F.col("col").between(0, size[1] - 1)) if size else found
 
 
 def points_in(points: DataFrame, areas: DataFrame, x: str, y: str, wkt: str, cell: float) -> DataFrame:

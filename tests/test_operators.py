@@ -74,6 +74,8 @@ def test_polygons(spark):
     assert n == {1: (96, True), 2: (5, True), 5: (1, False)}
     touched = G.pixels_of(df.where("k = 5"), "k", "wkt", (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), all_touched=True)
     assert [(r.row, r.col) for r in touched.collect()] == [(3, 3)]
+    on = G.pixels_of(df.where("k < 3"), "k", "wkt", (0.0, 1.0, 0.0, 0.0, 0.0, 1.0), size=(3, 6))  # of a raster of 3 x 6 pixels
+    assert {r.k: (r.n, r.row, r.col) for r in on.groupBy("k").agg(F.count("*").alias("n"), F.max("row").alias("row"), F.max("col").alias("col")).collect()} == {1: (16, 2, 5), 2: (4, 1, 1)}
     line = np.array([[0, 0], [1, 0.001], [2, 0], [2, 2], [0, 0]], float)
     assert len(G.simplify(line, 0.01)) == 4
     assert df.where("k = 2").select(G.simplified("wkt").alias("s")).first().s.startswith("MULTIPOLYGON")
