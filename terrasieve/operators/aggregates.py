@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .joins import null_safe
+from .lineage import kept
 
 QUANTILES = (0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95)
 
@@ -20,6 +21,9 @@ def share_of_one(c: str) -> Column:
     return F.count_if(F.col(c) == 1) / F.count("*")
 
 
+#: Parts in which the rows of a group meet what is known of the group.
+LOTS = 32
+
 #: Bits of the mantissa that each step of a selection looks at, after the exponent; a step orders 2 ** 18 counts at most.
 _STEPS = (17, 17, 18)
 
@@ -41,36 +45,49 @@ def _parts(v: Column) -> list[Column]:
     return out
 
 
+def counted_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """by, _v and _n: how often each value of a group occurs, null included. Counted once and written, as it is read several times."""
+    return kept(df.groupBy(*by, (F.col(value).cast("double") + 0.0).alias("_v")).agg(F.count("*").alias("_n")), "counts")
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], name: str = "q") -> DataFrame:
-    """by and an array of the linear quantiles of each group's known values, in the order given.
+    """by and an array of the linear quantiles of each group's known values, in the order given."""
+    return quantiles_of_counts(counted_values(df.where(F.col(value).isNotNull()), by, value), by, quantiles, name)
+
 
-    Values are counted before anything is ordered. Ranks are found first by exponent, then by pieces of the
-    mantissa: each step adds up the counts below, so neither a group nor a frequent value is ever in one buffer, and
-    no window holds more rows than a piece has numbers.
+def quantiles_of_counts(counts: DataFrame, by: Sequence[str], quantiles: Sequence[float], name: str = "q") -> DataFrame:
+    """The same of values (by, _v, _n) that are counted already.
+
+    Ranks are found first by exponent, then by pieces of the mantissa: each step adds up the counts below, so neither
+    a group nor a frequent value is ever in one buffer, and no window holds more rows than a piece has numbers.
+    The last pieces are looked at only for values that have the same first ones as a rank.
     """
-    v, by = F.col(value).cast("double"), list(by)
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, (v + 0.0).alias("_v")).agg(F.count("*").alias("_n")).select(*by, "_v", "_n", *_parts(F.col("_v")))
+    by = list(by)
     steps, chosen = [f"p{i}" for i in range(len(_STEPS) + 1)], None
+    counted = counts.where("_v is not null").select(*by, "_v", "_n", *_parts(F.col("_v")))
+    coarse = counted.groupBy(*by, *steps[:2]).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"))
     for i, step in enumerate(steps):
         over = [*by, *steps[:i]]
-        sums = counted.groupBy(*over, step).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"))
+        if i == 2:
+            chosen = kept(chosen, "ranks")
+            counted = null_safe(counted, chosen.select(*over), over)
+        sums = (coarse if i < 2 else counted).groupBy(*over, step).agg(F.sum("_n").alias("_n"), F.min("_v").alias("_v"))
         if chosen is not None:
             sums = null_safe(sums, chosen, over)
         w = W.partitionBy(*over)
         sums = sums.withColumn("_upto", F.sum("_n").over(w.orderBy(step).rowsBetween(W.unboundedPreceding, 0)))
         if chosen is None:
-            at = [(F.sum("_n").over(w) - 1) * F.lit(float(q)) for q in quantiles]
+            sums = sums.withColumn("_all", F.sum("_n").over(w))
+            at = [(F.col("_all") - 1) * F.lit(float(q)) for q in quantiles]
             ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)]))
             sums = sums.withColumn("_left", F.transform(ranks, lambda r: F.struct(r.alias("rank"), r.alias("left"))))
         before = F.col("_upto") - F.col("_n")
         here = F.filter("_left", lambda r: (r["left"] >= before) & (r["left"] < F.col("_upto")))
         moved = F.transform(here, lambda r: F.struct(r["rank"].alias("rank"), (r["left"] - before).alias("left")))
-        kept = sums.select(*over, step, "_v", moved.alias("_left")).where(F.size("_left") > 0)
-        chosen = kept if i == len(steps) - 1 else kept.drop("_v")
+        found = sums.select(*over, step, "_v", "_all", moved.alias("_left")).where(F.size("_left") > 0)
+        chosen = found if i == len(steps) - 1 else found.drop("_v")
     at_rank = F.transform("_left", lambda r: F.struct(r["rank"], F.col("_v")))
-    found = chosen.groupBy(*by).agg(F.map_from_entries(F.flatten(F.collect_list(at_rank))).alias("_m"))  # two values a quantile at most
-    total = counted.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    both = null_safe(found, total, by)
+    both = chosen.groupBy(*by).agg(F.map_from_entries(F.flatten(F.collect_list(at_rank))).alias("_m"), F.max("_all").alias("_all"))  # two values a quantile at most
 
     def one(q: float) -> Column:
         k = (F.col("_all") - 1) * F.lit(float(q))
@@ -80,15 +97,25 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Seq
     return both.select(*by, F.array(*[one(q) for q in quantiles]).alias(name))
 
 
+def with_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], name: str) -> DataFrame:
+    """Rows of known groups with the quantiles of their group, null where it has no value. A group's rows are dealt in ``LOTS``, so that none is one task."""
+    bounds = kept(exact_quantiles(df, by, value, quantiles, name), "bounds").withColumn("_lot", F.explode(F.sequence(F.lit(0), F.lit(LOTS - 1))))
+    plain = [c for c, kind in df.dtypes if "map<" not in kind]
+    dealt = df.dropna(subset=list(by)).withColumn("_lot", F.pmod(F.xxhash64(*plain), F.lit(LOTS)).cast("int"))
+    return dealt.join(bounds, [*by, "_lot"], "left").drop("_lot")
+
+
 def column_stats(df: DataFrame, by: Sequence[str], columns: Sequence[str], *, quantiles: Sequence[float] = QUANTILES) -> DataFrame:
     """by, column, min, max, mean, a quantile each (p5, p10, ...) and ratio, the share of ones: a row for each group and column.
 
-    Columns become rows, so the plan is as wide for hundreds of columns as for one.
+    Columns become rows, so the plan is as wide for hundreds of columns as for one. All follows from one count of the values.
     """
     names = list(columns)
     long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("_c", "_x"))
-    plain = long.groupBy(*by, "_c").agg(F.min("_x").alias("min"), F.max("_x").alias("max"), F.avg("_x").alias("mean"), share_of_one("_x").alias("ratio"))
-    both = null_safe(plain, exact_quantiles(long, [*by, "_c"], "_x", quantiles, "_q"), [*by, "_c"], "left")
+    counts = counted_values(long, [*by, "_c"], "_x")
+    known, ones = F.when(F.col("_v").isNotNull(), F.col("_n")), F.when(F.col("_v") == 1, F.col("_n")).otherwise(0)
+    plain = counts.groupBy(*by, "_c").agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum(known)).alias("mean"), (F.sum(ones) / F.sum("_n")).alias("ratio"))
+    both = null_safe(plain, quantiles_of_counts(counts, [*by, "_c"], quantiles, "_q"), [*by, "_c"], "left")
     picks = [F.col("_q")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(quantiles)]
     return both.select(*by, F.element_at(F.array(*[F.lit(c) for c in names]), F.col("_c") + 1).alias("column"), "min", "max", "mean", *picks, "ratio")
 
@@ -206,8 +233,7 @@ def digitized_shares(df: DataFrame, by: Sequence[str], bins: Column, n: int, fir
 
 def quantile_trim(df: DataFrame, by: Sequence[str], c: str, low: float = 0.001, high: float = 0.999) -> DataFrame:
     """Rows within two quantiles of their group."""
-    bounds = df.groupBy(*by).agg(F.percentile(c, [low, high]).alias("_q"))
-    return df.join(bounds, list(by)).where(F.col(c).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
+    return with_quantiles(df, by, c, [low, high], "_q").where(F.col(c).between(F.col("_q")[0], F.col("_q")[1])).drop("_q")
 
 
 def reconcile(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:

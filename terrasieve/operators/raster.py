@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .aggregates import with_quantiles
+
 
 def to_pixel(x: Column | str, y: Column | str, transform: Sequence[float]) -> tuple[Column, Column]:
     """(row, col) of a map coordinate under a geotransform (x0, dx, rx, y0, ry, dy): the affine inverse, floored."""
@@ -85,6 +87,5 @@ def ratio_tier(a: Column, b: Column, low: float = 0.75, high: float = 1.25) -> C
 
 def stretched(df: DataFrame, by: Sequence[str], value: str, name: str, low: float = 0.02, high: float = 0.98) -> DataFrame:
     """Values as shades 0 to 255 between two percentiles of their image."""
-    bounds = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("_q"))
     x = (F.col(value) - F.col("_q")[0]) / F.nullif(F.col("_q")[1] - F.col("_q")[0], F.lit(0.0))
-    return df.join(bounds, list(by)).withColumn(name, F.floor(255 * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).cast("int")).drop("_q")
+    return with_quantiles(df, by, value, [low, high], "_q").withColumn(name, F.floor(255 * F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).cast("int")).drop("_q")

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as S
 from ..functions.exprs import digitize
+from .aggregates import stat_pack
 
 #: First and last period of the growth stages, by cadence.
 STAGES = {
@@ -162,12 +163,9 @@ def merged_runs(df: DataFrame, stages: Sequence[str]) -> DataFrame:
 
 
 def rolled_up(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Pixels to plots: min, max, mean, quartiles of each column in one aggregate."""
-    outs, picks = [], []
-    for c in columns:
-        outs += [F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max"), F.avg(c).alias(f"{c}_mean"), F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}_q")]
-        picks += [f"{c}_min", f"{c}_max", f"{c}_mean", *[F.col(f"{c}_q")[i].alias(f"{c}_p{p}") for i, p in enumerate((25, 50, 75))]]
-    return df.groupBy(*by).agg(*outs).select(*by, *picks)
+    """Pixels to plots: min, max, mean, quartiles of each column, the quartiles selected by counts."""
+    packed = stat_pack(df, by, columns, quantiles=(0.25, 0.5, 0.75), drop_null=False)
+    return packed.drop(*[f"{c}_ratio" for c in columns])
 
 
 def event_curve(df: DataFrame, by: Sequence[str], ts: str, t: str, reach: int) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import with_quantiles
 from ..operators.joins import not_done
 
 
@@ -54,8 +55,7 @@ def band_day(name: Column | str) -> Column:
 
 def small_files(catalog: DataFrame, by: Sequence[str], share: float = 0.025) -> DataFrame:
     """Files below a size quantile of their group."""
-    low = catalog.groupBy(*by).agg(F.percentile("length", share).alias("_low"))
-    return catalog.join(low, list(by)).where(F.col("length") < F.col("_low")).drop("_low")
+    return with_quantiles(catalog, by, "length", [share], "_low").where(F.col("length") < F.col("_low")[0]).drop("_low")
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str]) -> None:

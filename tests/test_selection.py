@@ -5,7 +5,11 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+
 from terrasieve.operators import aggregates as A
+from terrasieve.operators import raster as R
+from terrasieve.operators import timeseries as T
+from terrasieve.plans import catalogue
 
 Q = (0.0, 0.05, 0.25, 0.5, 0.9, 1.0)
 
@@ -59,3 +63,21 @@ def test_density_of_nothing_and_of_one_value_is_null(spark):
     for rows in ([], [(None,)], [(2.0,)], [(2.0,)] * 5):
         got = A.kde(spark.createDataFrame(rows, "x double"), "x", 0.0, 4.0, 5).orderBy("i").collect()
         assert [(r.i, r.density, r.x) for r in got] == [(i, None, float(i)) for i in range(5)]
+
+
+def test_rows_within_quantiles_need_no_buffer_of_a_group(spark):
+    r = np.random.default_rng(6)
+    rows = [("a", float(x)) for x in r.normal(0, 1, 5000)] + [("b", 1.0)] * 50 + [("c", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    trimmed, shaded, rolled = A.quantile_trim(df, ["g"], "x", 0.1, 0.9), R.stretched(df, ["g"], "x", "shade"), T.rolled_up(df, ["g"], ["x"])
+    for d in (trimmed, shaded, rolled):
+        assert "percentile(" not in d._jdf.queryExecution().optimizedPlan().toString()
+    a = np.array([x for g, x in rows if g == "a"])
+    low, high = np.quantile(a, [0.1, 0.9])
+    assert sorted(x.x for x in trimmed.where("g = 'a'").collect()) == sorted(a[(a >= low) & (a <= high)].tolist())
+    assert trimmed.where("g = 'b'").count() == 50 and trimmed.where("g is null or g = 'c'").count() == 0
+    assert shaded.count() == 5051 and shaded.where("g = 'a' and shade = 255").count() == 100
+    found = {x.g: x for x in rolled.collect()}
+    assert found["c"].x_p50 is None and found[None].x_max == 3.0 and found["a"].x_p75 == pytest.approx(np.quantile(a, 0.75))
+    with_parts = A.with_quantiles(df, ["g"], "x", [0.5], "q").selectExpr("g", "q[0]").distinct()
+    assert with_parts.count() == 3
