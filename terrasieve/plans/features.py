@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import series as S
 from ..functions.exprs import digitize
+from ..operators import aggregates as A
 from ..operators import geometry as G
 from ..operators import sampling as P
 from ..operators import timeseries as T
@@ -107,7 +108,8 @@ k AS (SELECT CAST(l_extendedprice >= a AS INTEGER) + CAST(l_extendedprice >= b A
 r AS (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('5:' || l_orderkey), l_orderkey) AS r FROM d) SELECT bucket, l_orderkey FROM r WHERE r <= 20""")
 def hard_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice")
-    edges = li.agg(F.percentile("l_extendedprice", [0.1, 0.9, 0.95])).first()[0] or [0.0] * 3
+    found = A.exact_quantiles(li, [], "l_extendedprice", [0.1, 0.9, 0.95]).first()
+    edges = found["q"] if found and found["q"][0] is not None else [0.0] * 3
     d = li.select(digitize("l_extendedprice", edges).alias("bucket"), "l_orderkey").distinct()
     return P.cap_per_class(d, ["bucket"], ["l_orderkey"], 20, seed=5)
 
