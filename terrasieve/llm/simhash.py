@@ -19,6 +19,7 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -33,6 +34,9 @@ from .graph import components
 #: Members of a group that is compared at most, a power of two, and blocks of the open bits of a larger one.
 TILE, AGAIN = 1024, 6
 
+#: Tables whose blocks are on disk at a time.
+TABLES = 2
+
 #: Keys that a task sorts, about: some 40 MB. More keys take more tasks.
 TASK_KEYS = 1 << 20
 
@@ -275,7 +279,9 @@ def group(fps: DataFrame, distance: int = 4, tables: int = 1) -> DataFrame:
         each = F.posexplode(F.array("fp", *[f"fp{t}" for t in range(1, tables)])).alias("tab", "other")
         seen = stored(fps.select("fp", each).distinct(), "tables")
         node = stored(seen.groupBy("tab", "other").agg(F.min("fp").alias("node")), "nodes")
-        links = near_links(node.select("tab", F.col("other").alias("fp")), distance)
+        # a few tables after the others: their rows of blocks are let go before those of the next are made
+        some = [node.where(F.col("tab").between(t, t + TABLES - 1)).select("tab", F.col("other").alias("fp")) for t in range(0, tables, TABLES)]
+        links = reduce(DataFrame.union, [near_links(x, distance) for x in some])
         for end in ("a", "b"):
             links = links.join(node.select("tab", F.col("other").alias(end), F.col("node").alias(f"node_{end}")), ["tab", end])
         same = seen.join(node, ["tab", "other"]).where("fp <> node").select("fp", "node")

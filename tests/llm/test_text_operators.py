@@ -771,3 +771,16 @@ def test_op9_on_planted_passages_of_51_to_90_words(spark):
         n = len(p.encode()) + 2  # the blanks around it are shared too
         assert found[i] == found[100 + i] == (n if n >= 400 else 0)
     assert not any(found[300 + i] for i in range(20))
+
+
+def test_blocks_of_all_tables_are_never_on_disk_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} a{i} b{i} c{i} d{i} e{i}" if i % 3 else "the same words as others have") for i in range(30)], "doc_id long, text string")
+    at_once, links = [], simhash.near_links
+
+    def seen(distinct, *rest):
+        at_once.append({r.tab for r in distinct.select("tab").distinct().collect()})
+        return links(distinct, *rest)
+
+    monkeypatch.setattr(simhash, "near_links", seen)
+    assert {r.doc_id for r in simhash.keep_first(docs).collect()} == {0} | {i for i in range(30) if i % 3}
+    assert max(map(len, at_once)) <= simhash.TABLES < 8 and set().union(*at_once) == set(range(8))
