@@ -9,7 +9,9 @@ from math import pi, sqrt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .counting import counted
 from .joins import null_safe
 from .lineage import kept
 
@@ -50,6 +52,18 @@ def counted_values(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     return kept(df.groupBy(*by, (F.col(value).cast("double") + 0.0).alias("_v")).agg(F.count("*").alias("_n")), "counts")
 
 
+def counted_columns(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """by, _c, _v and _n: the same for each value of the c-th of many columns. Tasks count what they have before Spark adds up their counts."""
+    by = list(by)
+    doubles = df.select(*by, *[(F.col(c).cast("double") + 0.0).alias(f"_x{i}") for i, c in enumerate(columns)])
+    if any(kind.startswith(("array", "struct", "map", "variant")) for _, kind in doubles.select(*by).dtypes):  # Arrow has no groups of these
+        long = doubles.select(*by, F.posexplode(F.array(*[f"_x{i}" for i in range(len(columns))])).alias("_c", "_v"))
+        return kept(long.groupBy(*by, "_c", "_v").agg(F.count("*").alias("_n")), "counts")
+    schema = T.StructType([*doubles.select(*by).schema.fields, *[T.StructField(c, t) for c, t in (("_c", T.IntegerType()), ("_v", T.DoubleType()), ("_n", T.LongType()))]])
+    some = doubles.mapInArrow(lambda it: counted(it, by), schema)
+    return kept(some.groupBy(*by, "_c", "_v").agg(F.sum("_n").alias("_n")), "counts")
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], name: str = "q") -> DataFrame:
     """by and an array of the linear quantiles of each group's known values, in the order given."""
     return quantiles_of_counts(counted_values(df.where(F.col(value).isNotNull()), by, value), by, quantiles, name)
@@ -111,8 +125,7 @@ def column_stats(df: DataFrame, by: Sequence[str], columns: Sequence[str], *, qu
     Columns become rows, so the plan is as wide for hundreds of columns as for one. All follows from one count of the values.
     """
     names = list(columns)
-    long = df.select(*by, F.posexplode(F.array(*[F.col(c).cast("double") for c in names])).alias("_c", "_x"))
-    counts = counted_values(long, [*by, "_c"], "_x")
+    counts = counted_columns(df, by, names)
     known, ones = F.when(F.col("_v").isNotNull(), F.col("_n")), F.when(F.col("_v") == 1, F.col("_n")).otherwise(0)
     plain = counts.groupBy(*by, "_c").agg(F.min("_v").alias("min"), F.max("_v").alias("max"), F.try_divide(F.sum(F.col("_v") * F.col("_n")), F.sum(known)).alias("mean"), (F.sum(ones) / F.sum("_n")).alias("ratio"))
     both = null_safe(plain, quantiles_of_counts(counts, [*by, "_c"], quantiles, "_q"), [*by, "_c"], "left")

@@ -81,3 +81,34 @@ def test_rows_within_quantiles_need_no_buffer_of_a_group(spark):
     assert found["c"].x_p50 is None and found[None].x_max == 3.0 and found["a"].x_p75 == pytest.approx(np.quantile(a, 0.75))
     with_parts = A.with_quantiles(df, ["g"], "x", [0.5], "q").selectExpr("g", "q[0]").distinct()
     assert with_parts.count() == 3
+
+
+@pytest.mark.parametrize(("groups", "gathered", "most"), [(3, 1 << 23, 1 << 23), (3, 900, 1 << 23), (3, 900, 50), (400, 1 << 23, 1 << 23), (0, 900, 1 << 23)])
+def test_tasks_count_what_they_have(groups, gathered, most):
+    """Values, nulls and NaNs of each column, whatever is gathered or passed on at once; a large group gives one row a distinct value."""
+    from collections import Counter
+
+    import pyarrow as pa
+
+    from terrasieve.operators.counting import counted
+
+    r = np.random.default_rng(6)
+    x = [[None if v == 0 else float("nan") if v == 1 else float(v) for v in r.integers(0, 12, 1200)] for _ in range(2)]
+    g = [None if v == 0 else f"g{v}" for v in r.integers(0, max(groups, 1), 1200)]
+    keys = {"g": pa.array(g, pa.string())} if groups else {}
+    t = pa.table({**keys, **{f"_x{i}": pa.array(v, pa.float64(), from_pandas=False) for i, v in enumerate(x)}})
+    rows = pa.Table.from_batches(counted(iter(t.to_batches(max_chunksize=100)), list(keys), gathered, most)).to_pylist()
+    found = Counter()
+    for y in rows:
+        found[y.get("g"), y["_c"], str(y["_v"])] += y["_n"]
+    assert found == Counter((k if groups else None, c, str(v)) for c in range(2) for k, v in zip(g, x[c]))
+    if groups < 400 and most > 50:
+        assert len(rows) == len(found)
+
+
+def test_keys_that_arrow_cannot_group_give_the_same(spark):
+    d = spark.range(5000).selectExpr("id % 2 g", *[f"double(id % {k}) x{k}" for k in range(1, 9)])
+    found = A.column_stats(d, ["g"], [f"x{k}" for k in range(1, 9)], quantiles=(0.5,))
+    assert found.count() == 16
+    keyed = d.selectExpr("array(g) g", "x3")
+    assert {(x.g[0], x.mean) for x in A.column_stats(keyed, ["g"], ["x3"], quantiles=(0.5,)).collect()} == {(x.g, x.mean) for x in found.where("column = 'x3'").collect()}
