@@ -146,7 +146,7 @@ def sets_of(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([shingle_hashes(x, k, known).tobytes() for x in texts_of(part)], pa.binary())], ["node", "h"])
 
 
-FOUND = "a long, b long, parent long, q1 long, side int, here boolean, node long, size int, ball boolean, delta array<long>"
+FOUND = "a long, b long, parent long, q1 long, side int, here boolean, node long, size int, ball boolean, extra int, delta array<long>"
 
 
 def _differ(x: np.ndarray, y: np.ndarray, share: int) -> tuple[np.ndarray, int, bool]:
@@ -167,24 +167,26 @@ def near_pairs(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.Rec
 def compared(batches: Iterator[pa.RecordBatch], share: int) -> Iterator[pa.RecordBatch]:
     """Rows (parent, q1, q2, node, h, h1, h2) to links (a, b) with a pivot, and to what differs from both pivots, and if that side of the Voronoi boundary is ``here``.
 
-    Distances are fractions of whole numbers; only the windows use floats, with a margin.
+    The first ``extra`` differences are what the pivot hasn't. Distances are fractions of whole numbers; only the windows use floats, with a margin.
     """
     window = 2 * (1 - share / 100) + 1e-9
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("parent", pa.int64()), ("q1", pa.int64()), ("side", pa.int32()), ("here", pa.bool_()), ("node", pa.int64()), ("size", pa.int32()), ("ball", pa.bool_()), ("delta", pa.list_(pa.int64()))])
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("parent", pa.int64()), ("q1", pa.int64()), ("side", pa.int32()), ("here", pa.bool_()), ("node", pa.int64()), ("size", pa.int32()), ("ball", pa.bool_()), ("extra", pa.int32()), ("delta", pa.list_(pa.int64()))])
     for batch in batches:
         out: list[tuple] = []
         for parent, q1, q2, node, *sets in zip(*[batch.column(c).to_pylist() for c in ("parent", "q1", "q2", "node")], *[batch.column(c) for c in ("h", "h1", "h2")]):
             x, *pivots = (np.frombuffer(s.as_buffer(), np.uint64) for s in sets)
-            far, near, delta = [], [], []
+            far, near, extra, delta = [], [], [], []
             for q, p in zip((q1, q2), pivots):
                 d, union, is_near = _differ(x, p, share)
                 far.append(len(d) / union)
                 near.append(is_near)
-                delta.append(d)
+                own = x[np.minimum(np.searchsorted(x, d), len(x) - 1)] == d
+                extra.append(int(own.sum()))
+                delta.append(np.concatenate([d[own], d[~own]]))
                 if is_near and q != node:
-                    out.append((node, q, *[None] * 8))
+                    out.append((node, q, *[None] * 9))
             for side in (0, 1) if node != q2 else ():
-                out.append((None, None, parent, q1, side, far[side] <= far[1 - side] + window, node, len(x), near[side], delta[side].view(np.int64)))
+                out.append((None, None, parent, q1, side, far[side] <= far[1 - side] + window, node, len(x), near[side], extra[side], delta[side].view(np.int64)))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -231,14 +233,20 @@ def finer_cells(found: DataFrame, share: int) -> DataFrame:
     # where most members lie near the boundary, so that both regions would have them, the region stays whole
     split = found.where("node is not null").groupBy("parent", "q1").agg((F.count_if("here") < 1.5 * F.count_if(F.col("side") == 0)).alias("split"))
     sided = found.where("node is not null").join(stored(split, "split"), ["parent", "q1"]).where("if(split, here, side = 0)")
-    members = sided.select(F.xxhash64("parent", "q1", "side").alias("region"), "node", "size", "ball", "delta")
+    members = sided.select(F.xxhash64("parent", "q1", "side").alias("region"), "node", "size", "ball", "extra", "delta")
     open_ = stored(members.groupBy("region").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done"), F.max("size").alias("largest")).where("m > 1 and not done").select("region", "largest"), "open")
     # near sets x, y differ in (100 - share) / (100 + share) of |x| + |y| at most, and neither is larger than the other over the share
     d, allowed = F.size("delta"), F.floor((100 - share) * F.least((F.col("size") + F.col("largest")) / (100 + share), F.col("size") / share) + 1e-9).cast("int")
-    each = stored(members.join(open_, "region").select("region", "node", "ball", d.alias("d"), allowed.alias("allowed"), F.explode("delta").alias("e")), "differences")
-    common = stored(each.groupBy("region", "e").agg(F.count("*").alias("df")).where("df > 1"), "common")
-    kept = each.join(common, ["region", "e"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"), *[F.first(c).alias(c) for c in ("d", "allowed", "ball")])
-    kept = kept.withColumn("own", F.col("d") - F.size("s"))
+    opened = stored(members.join(open_, "region").select("region", "node", "ball", d.alias("d"), allowed.alias("allowed"), "extra", "delta"), "opened")
+    # what the pivot hasn't comes first: edits of a member alone are mostly there, and who has too many leaves before the others are looked at
+    added = stored(opened.select("region", "node", F.explode(F.slice("delta", F.lit(1), F.col("extra"))).alias("e")), "added")
+    shared = added.join(stored(shared_by(added), "shared"), ["region", "e"]).groupBy("region", "node").agg(F.count("*").alias("n"))
+    left = opened.select("region", "node", "ball", "d", "allowed", "extra").join(stored(shared, "shared"), ["region", "node"], "left")
+    left = stored(narrowed(left.select("region", "node", "ball", "d", "allowed", (F.col("extra") - F.coalesce("n", F.lit(0))).cast("int").alias("own"))).select("region", "node"), "left")
+    missing = opened.join(left, ["region", "node"]).select("region", "node", F.explode(F.slice("delta", F.col("extra") + 1, F.greatest("d", F.lit(1)))).alias("e"))
+    each = stored(added.join(left, ["region", "node"]).select("region", "node", "e").union(missing), "differences")
+    kept = each.join(stored(shared_by(each), "common"), ["region", "e"]).groupBy("region", "node").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("s"))
+    kept = kept.join(opened.select("region", "node", "d", "allowed", "ball"), ["region", "node"]).withColumn("own", F.col("d") - F.size("s"))
     for _ in range(2):  # what leaves narrows the bounds for the others
         kept = narrowed(stored(kept, "narrowed"))
     prefix = F.transform(F.slice("s", 1, F.size("s") - F.col("least") + 1), lambda x: x["e"])
@@ -247,12 +255,18 @@ def finer_cells(found: DataFrame, share: int) -> DataFrame:
     return sized_cells(keyed, keyed.groupBy("parent", "cell").agg(F.count("*").alias("m"), F.bool_and("ball").alias("done"), some.alias("some")).where("m > 1 and not done and some").select("parent", "cell", "m"))
 
 
+def shared_by(differences: DataFrame) -> DataFrame:
+    """The differences (region, e) that two or more members have, with their count df."""
+    return differences.groupBy("region", "e").agg(F.count("*").alias("df")).where("df > 1")
+
+
 def narrowed(kept: DataFrame) -> DataFrame:
-    """Members (region, node, s, d, own, allowed, ball) that may be near another one which the pivot doesn't link them to, with ``least``, the differences they must have in common.
+    """Members (region, node, d, own, allowed, ball) that may be near another one which the pivot doesn't link them to, with ``least``, the differences they must have in common.
 
     Near members x, y have (d(x) + d(y) - allowed) / 2 differences in common or more, and all own ones of both lie between them.
     So the one with fewer differences has half of ``allowed`` own ones at most, and the other
     no more differences than follows from that (``reach``). One near the pivot only looks for others that aren't.
+    ``own`` may be less than all own ones; then fewer leave.
     """
     small = 2 * F.col("own") <= F.col("allowed")
     stats = kept.groupBy("region").agg(F.max(F.when(small, F.col("d") - 2 * F.col("own"))).alias("reach"), F.min(F.when(~F.col("ball"), F.col("d"))).alias("ring"), F.min("d").alias("fewest"), F.min("own").alias("purest"), F.count("*").alias("m"))
@@ -261,7 +275,7 @@ def narrowed(kept: DataFrame) -> DataFrame:
     half = lambda x: F.ceil((F.col("d") + x - F.col("allowed")) / 2)
     ring = F.greatest(F.col("d") - F.col("allowed") + F.col("purest"), half(F.col("fewest")))
     both = both.withColumn("least", F.greatest(F.lit(1), F.when(F.col("ball"), half(F.col("ring"))).otherwise(ring)).cast("int"))
-    may = (F.size("s") >= F.col("least")) & (F.col("own") + F.col("purest") <= F.col("allowed")) & (small | (F.col("d") - F.col("allowed") <= F.col("reach")))
+    may = (F.col("d") - F.col("own") >= F.col("least")) & (F.col("own") + F.col("purest") <= F.col("allowed")) & (small | (F.col("d") - F.col("allowed") <= F.col("reach")))
     return both.where(may).drop("reach", "ring", "fewest", "purest", "m")
 
 

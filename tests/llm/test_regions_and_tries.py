@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terrasieve.llm import centroids, jaccard, registry, trie
 
@@ -182,6 +183,32 @@ def test_jaccard_components_at_wider_radius(spark, share):
     assert got == brute_components(rows, share)
 
 
+def test_members_with_too_many_edits_leave_before_all_differences_are_rows(spark, monkeypatch):
+    """Edits of one text that no other has: most members of a region go by what the pivot hasn't, and near ones among them stay (F: op12)."""
+    r, rows = random.Random(11), Counter()
+    base = [f"w{r.randrange(10**6)}" for _ in range(300)]
+
+    def edited(words, n):
+        return [f"e{r.randrange(10**6)}" if i in at else w for at in [set(r.sample(range(len(words)), n))] for i, w in enumerate(words)]
+
+    texts = [base, *[edited(base, 20) for _ in range(40)]]
+    texts += [edited(x, 2) for x in texts[1:6]]
+    kept = jaccard.stored
+
+    def counting(df, name, **options):
+        out = kept(df, name, **options)
+        if name in ("opened", "added", "differences"):
+            rows[name] += out.agg(F.sum("d")).first()[0] or 0 if name == "opened" else out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "stored", counting)
+    monkeypatch.setattr(jaccard, "FEW", 2)
+    docs = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    found = {x.doc_id: x.component_id for x in jaccard.jaccard_components(docs).collect()}
+    assert found == {i: i - 40 if i > 40 else i for i in range(len(texts))}
+    assert rows["opened"] > 2000 and rows["added"] <= 0.7 * rows["opened"] and rows["differences"] <= 0.5 * rows["opened"]
+
+
 def test_near_sets_agree_in_a_cell():
     r = np.random.default_rng(2)
     for size in (2, 8, 9, 10, 11, 19, 20, 40, 133, 1500):
