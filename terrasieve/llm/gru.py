@@ -22,18 +22,17 @@ in order of their bytes; an empty documents table gives no rows; extra columns a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, crc_mod, pick, stored, table, texts_of
+from .common import LOWER, crc_mod, pick, stored, table
 
 END = b""
 #: Words with embeddings, in classes of so many.
@@ -46,7 +45,9 @@ HIDDEN, EMBEDDING = 16, 12
 #: Steps of truncated backpropagation, documents side by side.
 STEPS, SIDE = 16, 512
 #: Windows of text that a lane takes at least when it has none left, the longest window, and rows of logits made at once.
-TAKEN, LONGEST, ROWS = 8, 512, 2048
+TAKEN, LONGEST, ROWS = 8, 512, 1024
+#: Bytes of text split at once.
+SPLIT = 1 << 24
 #: Tokens in a piece of a long document, and in the long documents that wait for each other at most.
 PIECE, WAITING = 512, 1 << 22
 #: Training rows are dealt in PARTS by hash; round r takes part r, so with as many rounds each row is visited once.
@@ -64,22 +65,32 @@ def rare_class(word: bytes) -> int:
     return crc32(word[:2]) % RARE
 
 
+def split_words(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """The words of the batch's texts, one after another, and how many each text has, some ``SPLIT`` bytes of texts at a time: ``words_of`` by columns."""
+    texts = batch.column("text").cast(pa.large_string())
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SPLIT)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)]):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts.slice(lo, hi - lo)))
+        n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = pc.list_flatten(lists).cast(pa.large_binary())
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # white space at either end leaves an empty one
+        if not some.all():
+            n = np.bincount(np.repeat(np.arange(len(n)), n)[some], minlength=len(n))
+            words = words.filter(pa.array(some))
+        yield words, n
+
+
 def count_words(train: DataFrame) -> DataFrame:
     """(text) to word and c, each text's end counted as the empty word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
         for batch in batches:
-            for x in texts_of(batch):
-                held.update(words_of(x))
-                held[END] += 1
-                if len(held) > 200_000:
-                    yield rows(held)
-                    held.clear()
-        yield rows(held)
-
-    def rows(held: Counter[bytes]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "c"])
+            for words, n in split_words(batch):
+                coded = words.dictionary_encode()
+                c = np.append(np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)), len(n))
+                each = pa.concat_arrays([coded.dictionary.cast(pa.binary()), pa.array([END], pa.binary())])
+                yield pa.RecordBatch.from_arrays([each, pa.array(c, pa.int64())], ["word", "c"])
 
     return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -127,15 +138,30 @@ class Vocabulary:
         return np.array([i if i < frequent else frequent + rare_class(w) for w, i in self.index.items()], np.int32)
 
 
-def softmax(h: np.ndarray, w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Logits, their exponentials and the sums of these. Rows are only shifted where the weights don't bound the logits: a state is within -1 and 1."""
-    a = h @ w
-    a += b
-    reach = np.abs(w).sum(0)
-    if (b + reach).max() > 60 or (b - reach).max() < -60:
+def augmented(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights with the biases as one more row, and of each such matrix whether its logits have to be shifted: a state is within -1 and 1."""
+    reach = np.abs(w).sum(-2)
+    wide = ((b + reach).max(-1) > 60) | ((b - reach).min(-1) < -60)
+    return np.concatenate([w, b[..., None, :]], -2), wide
+
+
+def softmax(h: np.ndarray, w: np.ndarray, wide: bool, at: np.ndarray, grad: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+    """ln of the share of column ``at`` of each row of h @ w; with ``grad``, to which that of the weights is added, also the gradient for h."""
+    a, rows = h @ w, np.arange(len(at))
+    if wide:
         a -= a.max(1, keepdims=True)
-    e = np.exp(a)
-    return a, e, e @ np.ones(e.shape[1], np.float32)
+    ln = a[rows, at]
+    np.exp(a, out=a)
+    s = a @ np.ones(a.shape[1], a.dtype)
+    ln -= np.log(s)
+    if grad is None:
+        return ln, None
+    a[rows, at] -= s  # all of this row is still to be divided by s
+    s = (1 / s)[:, None]
+    grad += (a.T @ (h * s)).T
+    dh = a @ w[:-1].T
+    dh *= s
+    return ln, dh
 
 
 class GRU:
@@ -181,7 +207,9 @@ class GRU:
         zr += 1
         np.reciprocal(zr, out=zr)
         z, r, hu = zr[:, :n], zr[:, n:], hu[:, 2 * n :]
-        new = np.tanh(x[:, 2 * n :] + r * hu)
+        new = r * hu
+        new += x[:, 2 * n :]
+        np.tanh(new, out=new)
         out = h - new
         out *= z
         out += new
@@ -192,69 +220,68 @@ class GRU:
 
     def output(self, h: np.ndarray, ids: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln of the class and, for frequent words, of the word in it; with ``grads`` also the gradient of the summed loss for h."""
-        p, cls = self.p, self.class_of(ids)
+        p, cls, n = self.p, self.class_of(ids), self.hidden
+        wc, wide = augmented(p["wc"], p["bc"])
+        h1 = np.ones((len(ids), n + 1), h.dtype)
+        h1[:, :n] = h
         out = np.empty(len(ids))
-        dh = np.empty_like(h) if grads is not None else None
+        gc, dh = (np.zeros_like(wc), np.empty((len(ids), n), h.dtype)) if grads is not None else (None, None)
         for i in range(0, len(ids), ROWS):  # some rows at a time, so that their logits stay in the cache
-            hi, ci = h[i : i + ROWS], cls[i : i + ROWS]
-            rows = np.arange(len(ci))
-            a, e, s = softmax(hi, p["wc"], p["bc"])
-            out[i : i + ROWS] = a[rows, ci] - np.log(s)
+            some = slice(i, i + ROWS)
+            out[some], d = softmax(h1[some], wc, wide, cls[some], gc)
             if grads is not None:
-                e *= (1 / s)[:, None]
-                e[rows, ci] -= 1
-                grads["wc"] += hi.T @ e
-                grads["bc"] += e.sum(0)
-                dh[i : i + ROWS] = e @ p["wc"].T
-        order = np.argsort(cls, kind="stable")
-        ends = np.searchsorted(cls[order], np.arange(self.classes - RARE + 1))
-        sorted_h, column, inside = h[order], ids[order] % CLASS, np.zeros(len(ids))
-        back = np.zeros_like(h) if grads is not None else None
+                dh[some] = d
+        own = np.flatnonzero(ids < self.frequent)
+        own = own[np.argsort(cls[own].astype(np.uint16), kind="stable")]
+        ends = np.searchsorted(cls[own], np.arange(self.classes - RARE + 1))
+        ww, wide = augmented(p["ww"], p["bw"])
+        gw = np.zeros_like(ww) if grads is not None else None
+        sorted_h, column, inside, back = h1[own], ids[own] % CLASS, np.empty(len(own)), np.empty((len(own), n), h.dtype)
         for k in np.flatnonzero(np.diff(ends)).tolist():
-            lo, hi = int(ends[k]), int(ends[k + 1])
-            hk, at, rows = sorted_h[lo:hi], column[lo:hi], np.arange(hi - lo)
-            a, e, s = softmax(hk, p["ww"][k], p["bw"][k])
-            inside[lo:hi] = a[rows, at] - np.log(s)
-            if grads is not None:
-                e *= (1 / s)[:, None]
-                e[rows, at] -= 1
-                grads["ww"][k] += hk.T @ e
-                grads["bw"][k] += e.sum(0)
-                back[lo:hi] = e @ p["ww"][k].T
-        out[order] += inside
+            for i in range(int(ends[k]), int(ends[k + 1]), 2 * ROWS):
+                some = slice(i, min(i + 2 * ROWS, int(ends[k + 1])))
+                inside[some], d = softmax(sorted_h[some], ww[k], wide[k], column[some], gw[k] if grads is not None else None)
+                if grads is not None:
+                    back[some] = d
+        out[own] += inside
         if grads is not None:
-            dh[order] += back
+            dh[own] += back
+            for name, bias, g in (("wc", "bc", gc), ("ww", "bw", gw)):
+                grads[name] += g[..., :-1, :]
+                grads[bias] += g[..., -1, :]
         return out, dh
 
     def backward(self, inputs: np.ndarray, caches: list, dhs: np.ndarray, grads: dict, keep: np.ndarray | None = None) -> None:
         """Through the steps of one window; what came before it is taken as given. ``keep`` is 0 where a state was cleared before its step."""
         p, n = self.p, self.hidden
         dh, (steps, lanes) = np.zeros_like(dhs[0]), dhs.shape[:2]
-        dx, dhu, hs = np.empty((steps, lanes, 3 * n), dhs.dtype), np.empty((steps, lanes, 3 * n), dhs.dtype), np.empty_like(dhs)
+        dx, y = np.empty((steps, lanes, 3 * n), dhs.dtype), np.empty((lanes, 3 * n), dhs.dtype)
         ut = np.ascontiguousarray(p["u"].T)
         for t in range(steps - 1, -1, -1):
             h, hu, z, r, new = caches[t]
             dh += dhs[t]
-            hs[t] = h
             gz = dh * z
-            dnew = (dh - gz) * (1 - new * new)
-            x, y = dx[t], dhu[t]
+            dnew = dh - gz
+            dnew *= 1 - new * new
+            x = dx[t]
             x[:, 2 * n :] = dnew
-            np.multiply(dnew, r, out=y[:, 2 * n :])
+            dnew *= r
+            y[:, 2 * n :] = dnew
+            dnew *= hu
+            np.multiply(dnew, 1 - r, out=x[:, n : 2 * n])
             np.multiply(gz * (1 - z), h - new, out=x[:, :n])
-            np.multiply(y[:, 2 * n :] * (1 - r), hu, out=x[:, n : 2 * n])
             y[:, : 2 * n] = x[:, : 2 * n]
+            grads["u"] += h.T @ y
             dh = y @ ut
             dh += gz
             if keep is not None:
                 dh *= keep[t]
         flat, ids = dx.reshape(-1, 3 * n), inputs.reshape(-1)
-        grads["u"] += hs.reshape(-1, n).T @ dhu.reshape(-1, 3 * n)
-        grads["b"] += flat.sum(0)
+        grads["b"] += np.ones(len(flat), flat.dtype) @ flat
         order = np.argsort(ids.astype(np.uint16) if len(p["emb"]) < 1 << 16 else ids, kind="stable")
         first = np.flatnonzero(np.diff(ids[order], prepend=-1))
         if len(first):  # of each word once, however often it stands
-            words, sums = ids[order][first], np.add.reduceat(flat[order], first, axis=0)
+            words, sums = ids[order][first], np.add.reduceat(np.take(flat, order, axis=0), first, axis=0)
             grads["wx"] += p["emb"][words].T @ sums
             grads["emb"][words] += sums @ p["wx"].T
 
@@ -290,7 +317,7 @@ def pieces_of(model: GRU, docs: list[np.ndarray], end: int) -> list[tuple[np.nda
             break
         before = np.array([np.concatenate([[docs[i][a - 1] if a else end], some[i][:-1]]) for i in full]).T
         h = h[: len(full)]
-        for x in xw[before]:
+        for x in np.take(xw, before, axis=0):
             h, _ = model.step(x, h)
     return out
 
@@ -351,7 +378,7 @@ def train_on(model: GRU, docs: Iterator[np.ndarray], end: int, rate: float = RAT
             held[lane] = held[lane][n:]
         live = np.arange(len(target))[:, None] < sizes
         before = np.concatenate([last[lanes][None, :], target[:-1]])
-        x = inputs[before]
+        x = np.take(inputs, before, axis=0)
         keep = (before != end)[:, :, None].astype(np.float32)  # a document starts from nothing
         state, caches, hs = h[lanes], [], np.empty((*before.shape, model.hidden), np.float32)
         for t in range(len(target)):
@@ -367,13 +394,43 @@ def train_on(model: GRU, docs: Iterator[np.ndarray], end: int, rate: float = RAT
         seen, due = seen + int(sizes.sum()), due + int(sizes.sum())
 
 
-def ids_of(v: Vocabulary, to_model: np.ndarray, frequent: int, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Places in the broadcast vocabulary (-1: none) and model ids of words."""
-    at = np.fromiter(map(v.index.get, words, repeat(-1)), np.int64, len(words))
-    ids = to_model[at] if len(to_model) else np.zeros(len(at), np.int32)
-    for i in np.flatnonzero(at < 0).tolist():
-        ids[i] = frequent + rare_class(words[i])
-    return at, ids
+@dataclass
+class Encoded:
+    """Texts one after another, each with its end: places in the broadcast vocabulary (-1: none), model ids, where each text begins; and the words without a place, each once a text."""
+
+    at: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+    unknown: pa.ListArray
+
+    def documents(self) -> list[np.ndarray]:
+        return np.split(self.ids, self.first[1:]) if len(self.first) else []
+
+
+class Encoder:
+    def __init__(self, v: Vocabulary, to_model: np.ndarray, frequent: int):
+        self.words, self.to_model, self.frequent, self.end = pa.array(list(v.index), pa.large_binary()), to_model, frequent, v.index.get(END, -1)
+
+    def __call__(self, words: pa.Array, n: np.ndarray) -> Encoded:
+        """Words of texts one after another, n of each."""
+        found = pc.fill_null(pc.index_in(words, self.words), -1).to_numpy(zero_copy_only=False)
+        first = np.cumsum(n + 1) - (n + 1)
+        at = np.full(len(found) + len(n), self.end, np.int32)
+        is_word = np.ones(len(at), bool)
+        is_word[first + n] = False
+        at[is_word] = found
+        ids = self.to_model[at] if len(self.to_model) else np.zeros(len(at), np.int32)
+        if self.end < 0:
+            ids[~is_word] = self.frequent + rare_class(END)
+        rest = np.flatnonzero(found < 0)
+        coded = words.take(pa.array(rest)).dictionary_encode()
+        each, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+        ids[np.flatnonzero(is_word)[rest]] = np.array([self.frequent + rare_class(w) for w in each.to_pylist()], np.int32)[code]
+        row = np.repeat(np.arange(len(n)), n)[rest]
+        key, times = np.unique(row * max(len(each), 1) + code, return_counts=True)
+        row, code = np.divmod(key, max(len(each), 1))
+        pairs = pa.StructArray.from_arrays([each.take(pa.array(code)), pa.array(times, pa.int64())], ["word", "n"])
+        return Encoded(at, ids, first, pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(len(n) + 1)), pa.int32()), pairs))
 
 
 def averaged(rows: DataFrame, part: str, order: str) -> DataFrame:
@@ -414,7 +471,8 @@ def train(rows: DataFrame, v: Vocabulary, *, frequent: int = FREQUENT, rounds: i
             voc, (flat, to_model) = shared.value, current.value
             local = GRU(frequent).load(flat)
             end = voc.index.get(END, 0)
-            docs = (np.append(ids_of(voc, to_model, frequent, words_of(x))[1], np.int32(end)) for batch in batches for x in texts_of(batch))
+            encode = Encoder(voc, to_model, frequent)
+            docs = (d for batch in batches for part in split_words(batch) for d in encode(*part).documents())
             if seen := train_on(local, docs, end):
                 p = local.flat()
                 parts = [p[i : i + SLICE].tobytes() for i in range(0, len(p), SLICE)]
@@ -430,7 +488,7 @@ def train(rows: DataFrame, v: Vocabulary, *, frequent: int = FREQUENT, rounds: i
     return model
 
 
-def log_likelihoods(model: GRU, docs: list[np.ndarray], end: int, side: int = 1 << 14, window: int = 16_384) -> np.ndarray:
+def log_likelihoods(model: GRU, docs: list[np.ndarray], end: int, side: int = 1 << 11, window: int = 1 << 15) -> np.ndarray:
     """ln of the class and word probabilities of whole documents, many side by side, longest first."""
     out = np.zeros(len(docs))
     xw = model.inputs()
@@ -440,20 +498,25 @@ def log_likelihoods(model: GRU, docs: list[np.ndarray], end: int, side: int = 1
         mine = by[a : a + side]
         long = lengths[mine]
         flat, first = np.concatenate([docs[i] for i in mine]), np.cumsum(long) - long
-        h = np.zeros((len(mine), model.hidden), np.float32)
-        hs, targets, who, held = [], [], [], 0
-        for t in range(int(long[0])):
-            n = int(np.searchsorted(-long, -t, side="left"))  # documents longer than t
-            target = flat[first[:n] + t]
-            h, _ = model.step(xw[flat[first[:n] + t - 1]] if t else np.repeat(xw[end][None, :], n, 0), h[:n])
-            hs.append(h)
-            targets.append(target)
-            who.append(mine[:n])
-            held += n
-            if held >= window or t + 1 == long[0]:
-                ln, _ = model.output(np.concatenate(hs), np.concatenate(targets))
-                out += np.bincount(np.concatenate(who), ln, len(docs))
-                hs, targets, who, held = [], [], [], 0
+        live = np.searchsorted(-long, -np.arange(int(long[0])), side="left")  # documents longer than t
+        upto = np.cumsum(live)
+        h, lo = np.zeros((len(mine), model.hidden), np.float32), 0
+        while lo < len(live):  # steps of a window
+            hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + window)))
+            n = live[lo:hi]
+            ends = np.cumsum(n)
+            who = np.arange(int(ends[-1])) - np.repeat(ends - n, n)
+            at = first[who] + np.repeat(np.arange(lo, lo + len(n)), n)
+            before = flat[at - 1]
+            if not lo:
+                before[: n[0]] = end
+            x, hs = np.take(xw, before, axis=0), np.empty((len(at), model.hidden), np.float32)
+            for i, j in zip((ends - n).tolist(), ends.tolist()):
+                h, _ = model.step(x[i:j], h[: j - i])
+                hs[i:j] = h
+            ln, _ = model.output(hs, flat[at])
+            out[mine] += np.bincount(who, ln, len(mine))
+            lo = hi
     return out
 
 
@@ -472,24 +535,17 @@ def score(docs: DataFrame, train_rows: DataFrame, *, frequent: int = FREQUENT) -
         local, end = GRU(frequent).load(flat), voc.index.get(END, 0)
         of_count = np.append(np.log10(voc.counts + 1.0), 0.0)  # the last: not in the broadcast vocabulary
         per_token, rare = np.log10(voc.total + voc.distinct + 1.0), np.log10(voc.rare_mass)
-        row = TaskContext.get().partitionId() << 40
+        encode, row = Encoder(voc, to_model, frequent), TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, rest, out = [], [], [[] for _ in range(4)]
-            for x in texts_of(batch):
-                words = words_of(x)
-                at, m = ids_of(voc, to_model, frequent, [*words, END])
-                ids.append(m)
-                logs, inside = of_count[at], m >= frequent
-                rest.append(list(Counter(words[i] for i in np.flatnonzero(at < 0).tolist() if i < len(words)).items()))
-                for c, y in zip(out, (len(m), int((at >= 0).sum()), float(logs.sum() - len(m) * per_token), float(logs[inside].sum() - rare[m[inside] - frequent].sum()))):
-                    c.append(y)
-            ln = log_likelihoods(local, ids, end)
-            rows = np.arange(row, row + len(ids), dtype=np.int64)
-            row += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(rows), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2]), pa.array(np.array(out[3]) + ln / np.log(10)), pa.array([[{"word": w, "n": n} for w, n in x] for x in rest], pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())])))],
-                ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"],
-            )
+            done = 0
+            for part in split_words(batch):
+                e, n = encode(*part), len(part[1])
+                logs, inside = of_count[e.at], e.ids >= frequent
+                sums = [np.add.reduceat(v, e.first) if n else np.zeros(0, v.dtype) for v in (np.ones(len(e.at), np.int64), (e.at >= 0).astype(np.int64), logs - per_token, np.where(inside, logs - rare[np.where(inside, e.ids - frequent, 0)], 0))]
+                sums[3] += log_likelihoods(local, e.documents(), end) / np.log(10)
+                rows = np.arange(row, row + n, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, n), pa.array(rows), *map(pa.array, sums), e.unknown], ["doc_id", "row", "n_tokens", "n_known", "base_score", "score", "rest"])
+                row, done = row + n, done + n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     direct = stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, row long, n_tokens long, n_known long, base_score double, score double, rest array<struct<word:binary,n:bigint>>"), "scores")

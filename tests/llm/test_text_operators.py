@@ -703,6 +703,43 @@ def test_gru_learns_from_rows_of_every_part(spark):
     assert not np.array_equal(gru.train(one, v, frequent=128).flat(), start.flat())
 
 
+def test_gru_words_by_columns_are_those_word_by_word(monkeypatch):
+    """Splitting, places, ids, counts and unknown words of whole batches, whatever is split at once, against one word at a time."""
+    every = "".join(chr(c) + "aB" * (c % 3) for c in range(128))
+    texts = [None, "", " \t ", every, "Ä ÄB é\u00a0x\u3000y\u2028z \x85w", *[" ".join(R.choices(["Ab", "c", "zz", "q", "né", "\x1cx"], k=R.randrange(30))) + " " * (k % 2) for k in range(200)]]
+    known = [b"", b"ab", b"c", "né".encode()]
+    v = gru.Vocabulary({w: i for i, w in enumerate(known)}, np.arange(4, 0, -1), 10, 4, np.ones(gru.RARE))
+    encode = gru.Encoder(v, v.model_ids(2), 2)
+    for size, kind in ((7, pa.string()), (400, pa.large_string()), (1 << 22, pa.string())):
+        monkeypatch.setattr(gru, "SPLIT", size)
+        batch = pa.record_batch([pa.array([None, *texts], kind).slice(1)], ["text"])
+        got = [encode(*part) for part in gru.split_words(batch)]
+        docs, rest = [d for e in got for d in e.documents()], [r for e in got for r in e.unknown.to_pylist()]
+        places = [p for e in got for p in np.split(e.at, e.first[1:])]
+        assert len(docs) == len(rest) == len(places) == len(texts)
+        for t, d, at, r in zip(texts, docs, places, rest):
+            words = [*gru.words_of((t or "").encode()), b""]
+            assert at.tolist() == [known.index(w) if w in known else -1 for w in words]
+            assert d.tolist() == [known.index(w) if w in known[:2] else 2 + gru.rare_class(w) for w in words]
+            assert {x["word"]: x["n"] for x in r} == Counter(w for w in words if w not in known) and len(r) == len({w for w in words if w not in known})
+
+
+def test_gru_softmax_is_the_same_where_logits_are_shifted():
+    h, r = np.random.default_rng(5).uniform(-1, 1, (40, 4)), np.random.default_rng(6)
+    w, wide = gru.augmented(r.standard_normal((3, 3, 7)) * np.array([1, 1, 90])[:, None, None], r.standard_normal((3, 7)))
+    assert wide.tolist() == [False, False, True]
+    h[:, 3], at = 1, r.integers(0, 7, 40)
+    for k in range(3):
+        a = h @ w[k]
+        p = np.exp(a - a.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        grad = np.zeros_like(w[k])
+        ln, dh = gru.softmax(h, w[k], wide[k], at, grad)
+        e = p - np.eye(7)[at]
+        assert np.allclose(ln, np.log(p[np.arange(40), at])) and np.allclose(ln, gru.softmax(h, w[k], wide[k], at)[0])
+        assert np.allclose(grad, h.T @ e) and np.allclose(dh, (e @ w[k].T)[:, :3])
+
+
 def test_op6_takes_added_tokens_as_the_library_does():
     from tokenizers import Tokenizer
 
